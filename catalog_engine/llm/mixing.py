@@ -189,12 +189,12 @@ WITH d AS (
   SELECT source, cls, z AS source_size, least((2 * z)::DOUBLE, w * level) AS target FROM s CROSS JOIN l
 ), p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.cls, floor(t.target)::BIGINT AS words,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), q AS (
   SELECT *, (CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * size
-             + greatest(0, least(size, words % source_size - at)) END)::BIGINT AS taken,
-         least(1.0::DOUBLE, at::DOUBLE / greatest(target, 1.0::DOUBLE)) AS share
+             + greatest(0, least(size, words % source_size - pos)) END)::BIGINT AS taken,
+         least(1.0::DOUBLE, pos::DOUBLE / greatest(target, 1.0::DOUBLE)) AS share
   FROM p
 )
 SELECT doc_id, size, source_size, target, taken,

@@ -46,7 +46,7 @@ RULES = (
     Rule("symbol_ratio", "n_symbols", "n_words", high=10, scale=100),
     Rule("shout_ratio", "n_shouts", "n_words", high=30, scale=100),
     Rule("stop_word_ratio", "n_stop_words", "n_words", low=2, scale=100),
-    Rule("duplicate_line_ratio", "n_dup_lines", "n_lines", high=30, scale=100),
+    Rule("duplicate_line_ratio", "n_dup_lines", "n_lines", high=40, scale=100),
 )
 
 
