@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, sharding, url_filter
+from . import minhash, mixing, quality_rules, sharding, url_filter
 from .session import table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.place(table(spark, sf_dir, "documents")))
 
@@ -28,12 +33,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_curriculum_mixing": op2_curriculum_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op10_sharding": op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_duplicates": minhash.ORACLE_SQL,
     "op2_curriculum_mixing": mixing.ORACLE_SQL,
     "op5_quality_rules": quality_rules.oracle_sql(),
     "op7_url_filters": url_filter.ORACLE_SQL,
