@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, quality_rules, sharding, url_filter
+from . import decontam, minhash, mixing, quality_rules, sharding, url_filter
 from .session import table
 
 
@@ -28,6 +28,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.digest(url_filter.judge(table(spark, sf_dir, "pages")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_curriculum_mixing": op2_curriculum_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filters": op7_url_filters,
+    "op8_decontamination": op8_decontamination,
     "op10_sharding": op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -20,6 +20,9 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _word = np.ones(256, bool)
 _word[[9, 10, 11, 12, 13, 32]] = False
+#: Letters, digits and all bytes beyond ASCII: words without punctuation.
+ALNUM = np.zeros(256, bool)
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,12 +60,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of rows lo..hi of a batch: starts and ends in ``data``, hashes, and the first word of each row."""
 
-    def __init__(self, lo: int, hi: int, offsets: np.ndarray, data: np.ndarray):
+    def __init__(self, lo: int, hi: int, offsets: np.ndarray, data: np.ndarray, kind: np.ndarray = _word):
         self.lo, self.hi = lo, hi
         self.offsets = offsets[lo : hi + 1] - offsets[lo]
         self.data = _lower[data[offsets[lo] : offsets[hi]]]
         n = len(self.data)
-        word = _word[self.data]
+        word = kind[self.data]
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:], after[:-1] = word[:-1], word[1:]
         begins, ends = self.offsets[:-1], self.offsets[1:]
@@ -89,14 +92,14 @@ class Words:
         return np.repeat(np.arange(self.hi - self.lo), self.counts)
 
 
-def sub_batches(column: pa.Array, most_rows: int = 4096) -> Iterator[Words]:
+def sub_batches(column: pa.Array, most_rows: int = 4096, kind: np.ndarray = _word) -> Iterator[Words]:
     """Rows in order, cut after SUB_BATCH bytes or most_rows rows; a row is never cut."""
     offsets, data = buffers(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + SUB_BATCH, side="right")) - 1
         hi = min(n, max(lo + 1, min(hi, lo + most_rows)))
-        yield Words(lo, hi, offsets, data)
+        yield Words(lo, hi, offsets, data, kind)
         lo = hi
 
 
