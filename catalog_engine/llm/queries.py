@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm_mixing, minhash, mixing, quality_rules, sharding, url_filter
+from . import decontam, lm_mixing, minhash, mixing, quality_knn, quality_rules, sharding, url_filter
 from .session import table
 
 
@@ -24,6 +24,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.digest(url_filter.judge(table(spark, sf_dir, "pages")))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_curriculum_mixing": op2_curriculum_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_quality_neighbours": op6_quality_neighbours,
     "op7_url_filters": op7_url_filters,
     "op8_decontamination": op8_decontamination,
     "op9_lm_scoring": op9_lm_scoring,
