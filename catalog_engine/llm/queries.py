@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm_mixing, minhash, mixing, quality_knn, quality_rules, sharding, url_filter
+from . import decontam, html_extract, lm_mixing, minhash, mixing, quality_knn, quality_rules, secrets, sharding, url_filter
 from .session import table
 
 
@@ -19,6 +19,15 @@ def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.place(table(spark, sf_dir, "documents")))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.filter("is_secret").select("doc_id", "word_index", "candidate", "probability")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -47,6 +56,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_curriculum_mixing": op2_curriculum_mixing,
+    "op3_secret_scans": op3_secret_scans,
+    "op4_html_extraction": op4_html_extraction,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_neighbours": op6_quality_neighbours,
     "op7_url_filters": op7_url_filters,
