@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import COST, CostRules
@@ -58,21 +58,25 @@ def shipping(length: Column, width: Column, height: Column, weight_kg: Column, r
     return F.when(known, F.lit(r.base_fee) + F.lit(r.per_kg) * F.greatest(weight_kg, volume, F.lit(r.least_kg)))
 
 
-def breakdown(r: CostRules = COST, qty: Column | None = None) -> dict[str, Column]:
-    """Columns of the profit breakdown over price, category, measures, price_tiers and base_price_cny.
+COST_PARTS = ("purchase_cost", "shipping_cost", "fba_fee", "commission", "ad_cost", "return_loss", "exchange_loss")
+
+
+def with_profit(df: DataFrame, r: CostRules = COST, qty: Column | None = None) -> DataFrame:
+    """Adds the profit breakdown to rows of price, category, measures, price_tiers and base_price_cny.
 
     ``missing_fields`` names what stops the calculation, in the order of the checks;
-    all amounts are null then.
+    all amounts are null then. Steps are projections of their own, so that the tier
+    lookup is computed once.
     """
     col = F.col
-    price = positive(col("price"))
-    wholesale = tier_price(col("price_tiers"), col("base_price_cny"), F.lit(r.batch_qty) if qty is None else qty)
+    out = df.withColumns({"_price": positive(col("price")), "_wholesale": tier_price(col("price_tiers"), col("base_price_cny"), F.lit(r.batch_qty) if qty is None else qty)})
     sides = [col("length_cm"), col("width_cm"), col("height_cm"), col("weight_kg")]
     gaps = F.array_compact(F.array(*[F.when(col(n).isNull(), F.lit(n)) for n in ("weight_kg", "length_cm", "width_cm", "height_cm")]))
-    missing = F.when(price.isNull(), F.array(F.lit("selling_price"))).when(wholesale.isNull(), F.array(F.lit("purchase_price"))).otherwise(gaps)
-    known = F.size(missing) == 0
+    missing = F.when(col("_price").isNull(), F.array(F.lit("selling_price"))).when(col("_wholesale").isNull(), F.array(F.lit("purchase_price"))).otherwise(gaps)
+    known = F.size("missing_fields") == 0
+    price = col("_price")
     parts = {
-        "purchase_cost": wholesale * F.lit(r.cny_to_usd),
+        "purchase_cost": col("_wholesale") * F.lit(r.cny_to_usd),
         "shipping_cost": shipping(*sides, r=r),
         "fba_fee": fee_band(*sides, r=r),
         "commission": price * keyed_rate(col("category"), r.commission, r.default_commission),
@@ -80,14 +84,12 @@ def breakdown(r: CostRules = COST, qty: Column | None = None) -> dict[str, Colum
         "return_loss": price * keyed_rate(col("category"), r.returns, r.default_return) * F.lit(r.return_loss),
         "exchange_loss": price * F.lit(r.exchange_loss),
     }
-    out = {"missing_fields": missing} | {k: F.when(known, v) for k, v in parts.items()}
-    total = parts["purchase_cost"]
-    for k in list(parts)[1:]:
-        total = total + parts[k]
-    out["total_cost"] = F.when(known, total)
-    out["net_profit"] = F.when(known, price - total)
-    out["profit_margin"] = F.when(known, (price - total) / price)
-    return out
+    out = out.withColumn("missing_fields", missing).withColumns({k: F.when(known, v) for k, v in parts.items()})
+    total = col(COST_PARTS[0])
+    for k in COST_PARTS[1:]:
+        total = total + col(k)
+    out = out.withColumn("total_cost", total)
+    return out.withColumns({"net_profit": price - col("total_cost"), "profit_margin": (price - col("total_cost")) / price}).drop("_price", "_wholesale")
 
 
 def supplier_profit_score(margin: Column) -> Column:

@@ -11,7 +11,8 @@ from ..rules import SCORE, ScoreRules
 
 
 def clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """The value held to [0, 1]; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def ratio(value: Column, target: float) -> Column:
@@ -189,14 +190,23 @@ def hard_filter_reasons(c: dict[str, Column], r: ScoreRules = SCORE) -> Column:
     return F.array_compact(F.array(*[F.when(t, F.lit(code)) for code, t in zip(REASONS, tests)]))
 
 
-def evidence_reason(missing: Column) -> Column:
-    """Rejection code of a list of missing fields; null if nothing is missing."""
+def cost_evidence_reasons(missing: Column) -> Column:
+    """Rejection codes of the fields that stopped the cost model; empty if none."""
     has = lambda *names: F.arrays_overlap(missing, F.array(*[F.lit(n) for n in names]))
     return (
-        F.when(F.size(missing) == 0, F.lit(None).cast("string"))
-        .when(has("selling_price"), F.lit("missing_selling_price"))
-        .when(has("purchase_price"), F.lit("missing_purchase_price"))
-        .when(has("moq"), F.lit("missing_moq"))
-        .when(has("weight_kg", "length_cm", "width_cm", "height_cm"), F.lit("missing_physical_evidence"))
-        .otherwise(F.lit("insufficient_evidence"))
+        F.when(has("purchase_price"), F.array(F.lit("missing_purchase_price")))
+        .when(has("weight_kg", "length_cm", "width_cm", "height_cm"), F.array(F.lit("missing_logistics_dimensions")))
+        .otherwise(F.transform(missing, lambda m: F.concat(F.lit("missing_"), m)))
+    )
+
+
+def score_evidence_reasons(competition: Column, supply: Column, logistics: Column, priced: Column, with_moq: Column) -> Column:
+    """Rejection codes of the first score dimension without evidence; priced and with_moq count offers that have each."""
+    gaps = F.array_compact(F.array(F.when(priced == 0, F.lit("missing_purchase_price")), F.when(with_moq == 0, F.lit("missing_moq"))))
+    both = F.array(F.lit("missing_purchase_price"), F.lit("missing_moq"))
+    return (
+        F.when(competition.isNull(), F.array(F.lit("missing_market_evidence")))
+        .when(supply.isNull(), F.when(F.size(gaps) == 0, both).otherwise(gaps))
+        .when(logistics.isNull(), F.array(F.lit("missing_logistics_dimensions")))
+        .otherwise(F.array().cast("array<string>"))
     )
