@@ -4,14 +4,17 @@ Texts with equal shingle sets form a class, so copies are never expanded. A clas
 has one SuperMinHash signature: each element walks a pseudo-random permutation of
 the signature's slots and leaves rank + step there, so that values of one element
 are correlated, and steps end as soon as no slot can still change. Bands of the
-signature make candidate pairs: first each class with one class of its bucket,
-then, per bucket, only pairs that are not in one component yet. Every link is
-confirmed on full shingle sets. Components come from union-find inside tasks and
-star contraction between them.
-
-Candidates whose 8-bit signature sketches agree on under ``SKETCH_LEAST`` of the
-slots are not verified: at a true similarity of 0.8 that is over six standard
-deviations away. With 32 bands of 5 a link at exactly 0.8 is missed by its own
+signature make candidates: first each class with one class of its bucket; then, in
+buckets whose classes are not in one component yet, each class outside the
+bucket's largest component with all others of the bucket. That second comparison
+runs on full sets in blocks of at most ``BLOCK`` classes a side, inside tasks, and
+returns links only, so no list of pairs is made and no pair is left out. Every
+link is confirmed on full shingle sets. Components come from union-find inside
+tasks and star contraction between them.
+
+First candidates whose 8-bit signature sketches agree on under ``SKETCH_LEAST`` of
+the slots are left to the second comparison: at a true similarity of 0.8 that is
+over six standard deviations away. With 32 bands of 5 a link at exactly 0.8 is missed by its own
 bands with probability 3e-6, and then usually held by other members of its group.
 
 Defined results: a null or empty text, or one of white space only, has an empty
@@ -40,6 +43,8 @@ SKETCH_LEAST = 0.55
 ELEMENT = U((1 << 52) - 1)
 #: Bits of the filter that tells tasks which classes need their full sets; at most 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
+#: Classes on each side of a block of comparisons.
+BLOCK = 1000
 
 
 def superminhash(rows: np.ndarray, elements: np.ndarray, n_rows: int, slots: int = SLOTS) -> np.ndarray:
@@ -208,25 +213,77 @@ def _agree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f[["a", "b"]]
 
 
+def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(cls, elements) of the given classes, in one more scan of the documents."""
+    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
+    for row in nodes.coalesce(8).mapInPandas(_marks, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row["bits"], np.uint8)
+    wanted = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    sets = docs.mapInArrow(_full_sets(k, wanted), "cls long, elements array<long>").join(nodes, "cls", "left_semi").dropDuplicates(["cls"])
+    return written(sets, "near-sets")
+
+
 def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The candidate pairs (a, b) of classes whose full sets are similar enough."""
-    spark = docs.sparkSession
     sketch = classes.select("cls", "sketch")
     sketched = pairs.join(sketch.withColumnsRenamed({"cls": "a", "sketch": "sa"}), "a").join(sketch.withColumnsRenamed({"cls": "b", "sketch": "sb"}), "b")
     pairs = checkpoint(sketched.select("a", "b", "sa", "sb").mapInPandas(_agree, "a long, b long"))
-    nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for row in nodes.coalesce(8).mapInPandas(_marks, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row["bits"], np.uint8)
-    wanted = spark.sparkContext.broadcast(bits.tobytes())
-    sets = docs.mapInArrow(_full_sets(k, wanted), "cls long, elements array<long>").join(nodes, "cls", "left_semi").dropDuplicates(["cls"])
-    sets = written(sets, "near-sets")
+    sets = full_sets(docs, pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), k)
     full = pairs.join(sets.withColumnsRenamed({"cls": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"cls": "b", "elements": "y"}), "b")
     both = F.size(F.array_intersect("x", "y"))
     ok = 100 * both >= percent * (F.size("x") + F.size("y") - both)
     return checkpoint(full.filter(ok).select("a", "b"))
 
 
+def _block_links(percent: int):
+    """Links between the asking classes of a block and all classes of it that are in other components; one per pair of components."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        cls, root, asks = rows["cls"].to_numpy(), rows["root"].to_numpy(), rows["asks"].to_numpy(zero_copy_only=False)
+        lists = rows["elements"].combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks)
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sizes = np.diff(offsets)
+        others = np.flatnonzero(~asks)
+        place = np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in others]) if len(others) else np.zeros(0, np.int64)
+        values, who = flat[place], np.repeat(np.arange(len(others)), sizes[others])
+        order = np.argsort(values, kind="stable")
+        values, who = values[order], who[order]
+        found: list[tuple[int, int]] = []
+        for q in np.flatnonzero(asks):
+            mine = flat[offsets[q] : offsets[q + 1]]
+            lo, hi = np.searchsorted(values, mine), np.searchsorted(values, mine, side="right")
+            n = hi - lo
+            total = int(n.sum())
+            at = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            both = np.bincount(who[at], minlength=len(others))
+            ok = (100 * both >= percent * (len(mine) + sizes[others] - both)) & (root[others] != root[q])
+            hit = others[np.flatnonzero(ok)]
+            _, once = np.unique(root[hit], return_index=True)
+            found += [(int(cls[q]), int(cls[r])) for r in hit[once]]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def missing_links(members: DataFrame, roots: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links inside buckets between classes that are in different components so far."""
+    placed = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    open_buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    open_buckets = open_buckets.select("bucket", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("n_ask"), F.ceil(F.col("all") / BLOCK).cast("int").alias("n_all"))
+    rows = checkpoint(placed.join(open_buckets, "bucket"))
+    sets = full_sets(docs, rows.select("cls").distinct(), k)
+    block = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    told = rows.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("n_ask") - 1)), "j": block(F.col("n_all")), "asks": F.lit(False)})
+    asking = rows.filter("root <> top").withColumns({"i": block(F.col("n_ask")), "j": F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)), "asks": F.lit(True)})
+    names = ["bucket", "i", "j", "cls", "root", "asks"]
+    blocks = told.select(*names).union(asking.select(*names)).join(sets, "cls")
+    return checkpoint(blocks.groupBy("bucket", "i", "j").applyInArrow(_block_links(percent), "a long, b long"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, cls (its set; null if empty), component_id and kept."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -239,16 +296,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = members.filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
     found = links(first, classes, docs, k, percent)
     roots = components(found)
-    # pairs of one bucket that are in different components still; none of them is skipped
-    placed = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    open_rows = checkpoint(placed.join(open_buckets, "bucket"))
-    left, right = open_rows.select("bucket", F.col("cls").alias("a"), F.col("root").alias("ra")), open_rows.select("bucket", F.col("cls").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "bucket").filter("ra < rb").select("a", "b").distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
-    more = links(rest, classes, docs, k, percent)
-    roots = components(found.union(more))
+    more = missing_links(members, roots, docs, k, percent)
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     least = classes.select("cls", "least_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     best = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = least.join(best, "root").select("cls", "component_id")
