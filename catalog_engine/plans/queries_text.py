@@ -270,7 +270,7 @@ def bestseller_items(spark, d):
     return readers.bestseller_items(events(spark, d).select("event_id", body.alias("json")), "json").select("event_id", "price", F.col("bsr_rank").cast("long").alias("bsr_rank"))
 
 
-@query("market_detail", "SELECT event_id, (event_id % 900)::INT AS est_monthly_sales, event_id % 2 = 0 AS is_fba, epoch_ms(ts) AS listed_at FROM events")
+@query("market_detail", "SELECT event_id, (event_id % 900)::INT AS est_monthly_sales, event_id % 2 = 0 AS is_fba, epoch_us(ts) // 1000 AS listed_at FROM events")
 def market_detail(spark, d):
     i = F.col("event_id")
     body = F.concat(F.lit('{"sales":{"month":'), (i % 900).cast("string"), F.lit('},"fba":"'), F.when(i % 2 == 0, "Y").otherwise("N"), F.lit('","listedAt":'), F.unix_millis("ts").cast("string"), F.lit("}"))
