@@ -4,8 +4,9 @@ Counting (words, symbols, lines, repeated windows) and the verdict are Spark
 expressions on one row each; there is no shuffle, no user function and no join.
 
 Defined results: null or empty text has zero counts and fails ``n_words``; texts
-of any length are read whole; extra columns of the input are left alone, and a
-column that clashes with a result column is replaced.
+of any length are read whole; extra columns of the input are left alone. In
+``apply_rules`` a column that clashes with a metric is replaced; ``keep`` returns
+every input column as it was.
 """
 
 from __future__ import annotations
@@ -118,8 +119,9 @@ def apply_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
 def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows that pass, with the columns they came with."""
     # the row number keeps the optimizer from copying the whole projection into a filter below it
-    judged = apply_rules(df, text_col).withColumn("_row", F.monotonically_increasing_id())
-    return judged.filter("kept and _row >= 0").select(*df.columns)
+    whole = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("input"), F.col(text_col).alias("text"))
+    judged = apply_rules(whole).withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter("kept and _row >= 0").select("input.*")
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
