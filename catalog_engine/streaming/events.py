@@ -72,13 +72,13 @@ class StaleProcessor(StatefulProcessor):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(last + self.lease_ms)
         self.state.update((last, attempts))
-        yield pd.DataFrame({"user_id": [], "last_ms": [], "attempt": [], "status": []})
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, attempts = self.state.get()
         attempts += 1
         self.state.update((last, attempts))
-        yield pd.DataFrame({"user_id": [key[0]], "last_ms": [last], "attempt": [attempts], "status": ["retry_wait" if attempts < self.most else "failed"]})
+        yield pd.DataFrame({"user_id": [key[0]], "last_ms": [last], "attempt": [attempts], "status": pd.Series(["retry_wait" if attempts < self.most else "failed"], dtype=object)})
 
     def close(self) -> None:
         pass

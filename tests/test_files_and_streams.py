@@ -115,3 +115,16 @@ def test_continuous_hands_over_every_row(spark, event_dir, tmp_path):
     q = ev.continuous(ev.read_events(spark, event_dir), str(tmp_path / "ck"), lambda df, i: writers.append_snapshot(df.withColumn("result_key", F.col("event_id").cast("string")), out))
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == spark.read.parquet(event_dir).count()
+
+
+@pytestmark_stream
+def test_stale_runs_are_reported_by_timer(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src = str(tmp_path / "beats")
+    rows = [(1, "2024-01-01 00:00:00", 1), (2, "2024-01-01 00:00:30", 2)]
+    later = [(3, "2024-01-01 06:00:00", 2)]
+    for part in (rows, later, [(4, "2024-01-01 12:00:00", 3)]):
+        spark.createDataFrame(part, "event_id long, t string, user_id long").selectExpr("event_id", "cast(t as timestamp) ts", "user_id", "'beat' event_type", "0D value", "'' props").coalesce(1).write.mode("append").parquet(src)
+    got = drained(spark, ev.stale_stream(ev.read_events(spark, src), 600, "1 minute"), "stale", "append")
+    found = {(r["user_id"], r["attempt"], r["status"]) for r in got.collect()}
+    assert (1, 1, "retry_wait") in found and (2, 1, "retry_wait") in found
