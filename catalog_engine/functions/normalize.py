@@ -176,3 +176,15 @@ def repair_evidence(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     audit = fixed.select(key, F.explode(changes).alias("change")).select(key, "change.*")
     repaired = fixed.drop("confidence", "result_count", "status").withColumnsRenamed({"new_confidence": "confidence", "new_count": "result_count", "new_status": "status"})
     return repaired, audit
+
+
+#: Search words with a known English wording (fixed values).
+QUERY_WORDS = {"螺栓": "bolt", "齿轮": "gear", "户外取暖器": "patio heater", "遮阳伞": "patio umbrella"}
+
+
+def query_keyword(c: Column, words: dict[str, str] = QUERY_WORDS) -> Column:
+    """struct(keyword, requires_english_query): mapped words in English; other Chinese text stays and is flagged."""
+    t = text(c)
+    table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in words.items()))
+    mapped = F.coalesce(F.try_element_at(table, t), t)
+    return F.struct(mapped.alias("keyword"), F.coalesce(mapped.rlike("[\\u4e00-\\u9fff]"), F.lit(False)).alias("requires_english_query"))

@@ -180,3 +180,14 @@ def flatten_attributes(value: Column) -> Column:
     """Attribute lists of a JSON text (two levels) as 'label: value' lines in order."""
     pairs = F.from_json(value, "array<struct<name:string,value:string>>")
     return F.array_join(F.transform(pairs, lambda p: F.concat_ws(": ", p["name"], p["value"])), "\n")
+
+
+def evidence_profile(df: DataFrame, texts: list[Column], trusted: list[Column] | None = None, weight_kg: str | None = None, pack: str | None = None) -> DataFrame:
+    """Adds the category profile of a row's evidence texts; untrusted texts are left out, numeric gaps are filled from columns."""
+    kept = texts if trusted is None else [F.when(F.coalesce(ok, F.lit(False)), t) for t, ok in zip(texts, trusted)]
+    out = df.withColumn("profile", category_profile(F.concat_ws(" ", *kept)))
+    if weight_kg:
+        out = out.withColumn("profile", F.col("profile").withField("weight_kg", F.coalesce("profile.weight_kg", F.col(weight_kg))))
+    if pack:
+        out = out.withColumn("profile", F.col("profile").withField("piece_count", F.coalesce("profile.piece_count", F.col(pack).cast("double"))))
+    return out

@@ -410,3 +410,17 @@ def similar_offers(spark, d):
     v = fx.read(spark, d, "embeddings")
     s = joins.similar_vectors(v, v.filter("vec_id % 50 = 0"))
     return s.select("query_id", "id", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("normalize_query_keyword", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'bolt' WHEN 1 THEN '铁锤' ELSE p_name END AS keyword, p_partkey % 3 = 1 AS requires_english_query FROM part")
+def normalize_query_keyword(spark, d):
+    k = F.col("p_partkey") % 3
+    word = nm.query_keyword(F.when(k == 0, F.lit(" 螺栓 ")).when(k == 1, F.lit("铁锤")).otherwise(F.col("p_name")))
+    return fx.read(spark, d, "part").select("p_partkey", word.alias("w")).select("p_partkey", "w.*")
+
+
+@query("evidence_profile", fx.with_ctes(fx.PRODUCT) + "SELECT asin, CASE WHEN p_partkey % 2 = 0 THEN 'patio_heater' END AS category, weight_kg FROM product")
+def evidence_profile(spark, d):
+    p = fx.products(spark, d)
+    out = text.evidence_profile(p, [F.col("title"), F.lit("patio heater")], [F.lit(True), F.col("p_partkey") % 2 == 0], weight_kg="weight_kg")
+    return out.select("asin", "profile.category", "profile.weight_kg")
