@@ -177,6 +177,20 @@ def test_secrets_found_and_others_left(spark, forest):
     assert secrets.scan(docs(spark, []), model=forest).count() == 0
 
 
+def test_secrets_are_found_anywhere_in_a_word(spark, forest):
+    h = lambda x, n=32: hashlib.sha256(x.encode()).hexdigest()[:n]
+    wrapped = [f'token = "{h("a")}"!! so', f'a token = "{h("b")}"### b', f'{{"key":"{h("c")}"}}', f'[password:"{h("d")}"], x', f"postgres://admin:{h('e')}@db.example.com/x", "the password: Xy7kP2mQ9 here", f"(secret={h('f')}]"]
+    two = f"password={h('g')};token={h('i')};api_key={h('j')}"
+    plain = ["call 555-6503-1234 on 2024-11-12 from 10.20.30.44", "password: required", "version: release-notes2", "a" * 100_000 + "=" + "b" * 100_000, "=" * 50_000 + " " + "x1" * 50_000 + ":" * 50_000]
+    rows = [(i, t, "s") for i, t in enumerate([*wrapped, two, *plain])]
+    got = defaultdict(set)
+    for r in secrets.scan(docs(spark, rows), model=forest).filter("is_secret").collect():
+        got[r["doc_id"]].add(r["candidate"])
+    want = [{h(c)} for c in "abcde"] + [{"Xy7kP2mQ9"}, {h("f")}, {h(c) for c in "gij"}]
+    assert [got[i] for i in range(len(want))] == want
+    assert not any(got[len(want) + i] for i in range(3))
+
+
 def test_forest_separates_held_out_findings(spark, forest):
     held = secrets.labelled_findings(spark, 4500).filter("hash(word) % 3 = 0")
     from pyspark.ml.feature import VectorAssembler
