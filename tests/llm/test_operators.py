@@ -349,6 +349,21 @@ def test_lm_base_equals_brute_force_and_model_learns(spark):
     assert lm_mixing.score(docs(spark, [])).count() == 0
 
 
+def test_kinds_are_fitted_on_all_documents_whole(spark, monkeypatch):
+    groups = [[f"{g}{j}" for j in range(40)] for g in "abcd"]
+    text = lambda i: "pad " * (6000 if i % 4 == 3 else 1) + " ".join(np.random.default_rng(i).choice(groups[i % 4], 3000 if i % 4 == 3 else 80))
+    rows = sorted(((i, text(i), "s") for i in range(80)), key=lambda r: r[0] % 4)
+    monkeypatch.setattr(lm_mixing, "SEED_DOCS", 30)
+    first, again = ({r["doc_id"]: r["score"] for r in lm_mixing.score(docs(spark, x).coalesce(1)).collect()} for x in (rows, rows[::-1]))
+    assert first == pytest.approx(again, rel=1e-4)
+    keys, logs = lm_mixing.fit_kinds(docs(spark, rows))
+    (words,) = textlib.sub_batches(pa.array([" ".join(w) for w in groups]))
+    assert set(words.hashes.tolist()) <= set(keys.tolist())
+    kinds = [int(np.argmax(x @ logs)) for x in lm_mixing._frequent(words, keys)]
+    assert len(set(kinds)) == 4
+    assert len(lm_mixing.fit_kinds(docs(spark, [(1, None, "s")]).fillna(""))[0]) == 0
+
+
 def test_spelling_model_is_a_distribution():
     m = lm_mixing.Mixer([(np.random.default_rng(i).random(1 << b).astype(np.float32) * 9, np.random.default_rng(i + 9).random(1 << b).astype(np.float32) * 9) for i, (_, b) in enumerate(lm_mixing.ORDERS)])
     total = 0.0
