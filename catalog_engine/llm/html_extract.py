@@ -9,7 +9,8 @@ written), and pages are decoded by Viterbi.
 
 One scan of the pages, no shuffle. Defined results: null or empty HTML, or a page
 without main blocks, gives an empty text; broken markup is read as far as it goes
-(an unclosed comment or script runs to the end); pages of any length are read
+(an unclosed comment or script runs to the end, an open head to the first tag or text that
+belongs to the body); pages of any length are read
 whole; repeated rows give the same text; other columns are not read.
 """
 
@@ -33,6 +34,9 @@ LABEL = re.compile(r'data-main="([01])"')
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is no markup: skipped to their end tag.
 RAW = frozenset("script style title textarea xmp".split())
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
+#: Elements that may stand in a head; any other closes it.
+IN_HEAD = RAW - {"xmp", "textarea"} | frozenset("base basefont bgsound head html link meta noframes noscript template".split())
 #: Elements whose content is never shown as text.
 HIDDEN = frozenset("head noscript template svg select iframe object canvas audio video math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -68,7 +72,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     pieces: list[str] = []
     linked = links = hidden = 0
-    skip: str | None = None
+    at = 0
 
     def flush() -> None:
         nonlocal linked
@@ -88,14 +92,14 @@ def blocks(page: str) -> list[Block]:
             links -= tag == "a"
         del stack[k:]
 
-    for m in TOKEN.finditer(page):
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
         closing, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if skip:
-            if tag and closing and tag.lower() == skip:
-                skip = None
-            continue
         if not tag:
             token = m[0]
+            if stack and stack[-1][0] == "head" and not token.startswith(("<!", "<?")) and token.strip():
+                leave(len(stack) - 1)
             if not hidden and not token.startswith(("<!", "<?")):
                 text = html.unescape(token) if "&" in token else token
                 pieces.append(text)
@@ -110,10 +114,15 @@ def blocks(page: str) -> list[Block]:
             if k is not None:
                 leave(k)
             continue
+        if tag == "body" or stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            k = next((i for i, (t, _, _) in enumerate(stack) if t == "head"), None)
+            if k is not None:
+                leave(k)
         if tag in RAW:
             # such content may hold anything that looks like markup
             if not (attrs or "").rstrip().endswith("/"):
-                skip = tag
+                end = RAW_ENDS[tag].search(page, at)
+                at = end.end() if end else len(page)
             continue
         if tag in VOID:
             continue

@@ -224,6 +224,16 @@ def test_extract_reads_odd_pages(spark):
     assert texts[4] == "open" and len(texts[6].split()) == 15000 and len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_scripts_and_open_heads_hide_no_text():
+    text = lambda page: " ".join(b.text for b in html_extract.blocks(page))
+    assert text("<p>one</p><script>for(i=0;i<n;i++){f(i)}</script><p>two</p>") == "one two"
+    assert text("<p>one</p><script>s = '<!--' + \"<p>\"</SCRIPT ><p>two</p><script>x</script>") == "one two"
+    assert text("<style>a<b{}</styles></style><p>two</p><textarea><!--</textarea>three<script>'</p>") == "two three"
+    for body in ("<body><p>two</p>", "<p>two</p>", "<div>two</div></body>", "two"):
+        assert text(f"<html><head><meta charset=x><title>no</title><noscript><img src=x>no</noscript><script>if(a<b)c</script>\n{body}") == "two"
+    assert text("<head><noscript>no<body><p>two") == "two" and text("<head><title>no</title></head><p>two") == "two"
+
+
 # --- op5 -----------------------------------------------------------------------------------------
 
 
