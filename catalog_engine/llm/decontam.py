@@ -9,10 +9,13 @@ join, never the result. Around each hit the passage and the item are compared
 word by word along the hit's diagonal.
 
 A document leaks an item if some ``WINDOW`` neighbouring words of the item (all,
-if it has fewer) stand in the document with at most a fifth of them substituted.
+if it has fewer) stand in the document with at most a fifth of them substituted;
+items under ``LEAST_WORDS`` words must stand there word for word. Items too short
+for the masks have masks by their length, one for each choice of blocks to leave
+out, so that every allowed substitution spares a seed.
 
-Defined results: words are lower-cased runs of letters and digits; items under
-``LEAST_WORDS`` words and null or empty texts are never found; equal items are
+Defined results: words are lower-cased runs of letters and digits; null
+and empty texts and texts without words are never found; equal items are
 reported under their least id; repeated rows give one pair; clashing extra
 columns are not read.
 """
@@ -20,6 +23,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,9 +40,22 @@ LEAST_WORDS = 8
 WINDOW = 13
 MARGIN = 16
 FILTER_BITS = 1 << 23
-#: Lengths of short items, each read whole by a mask of its own.
-SHORT = range(LEAST_WORDS, max(m[-1] for m in MASKS) + 1)
-ALL_MASKS = MASKS + tuple(tuple(range(n)) for n in SHORT)
+REACH = max(m[-1] for m in MASKS)
+
+
+def _short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item of n words: all of it, or all but as many blocks as words may be substituted."""
+    if n < LEAST_WORDS:
+        return [tuple(range(n))]
+    free = n // 5
+    blocks = np.array_split(np.arange(n), 3 + free)
+    kept = [[int(i) for j, b in enumerate(blocks) if j not in out for i in b] for out in combinations(range(len(blocks)), free)]
+    return sorted({tuple(i - k[0] for i in k) for k in kept})
+
+
+#: (item length, mask) for each length that MASKS alone do not cover.
+SHORT = [(n, m) for n in range(1, REACH + 2) for m in _short_masks(n)]
+ALL_MASKS = MASKS + tuple(m for _, m in SHORT)
 
 
 def _seeds(words, mask_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +90,12 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.append((at, h, words.rows()[at]))
             for r in range(words.hi - words.lo):
                 n = int(words.counts[r])
-                if n < LEAST_WORDS:
+                if not n:
                     continue
                 h = words.hashes[words.first[r] : words.first[r + 1]]
                 seeds = []
                 for m, (at, x, row) in enumerate(found):
-                    if m < len(MASKS) or n == len(ALL_MASKS[m]):
+                    if m < len(MASKS) or n == SHORT[m - len(MASKS)][0]:
                         mine = row == r
                         seeds += [{"mask": m, "hash": int(v), "at": int(a - words.first[r])} for a, v in zip(at[mine], x[mine].view(np.int64))]
                 key = int(mix(np.array([np.bitwise_xor.reduce(mix(h + U(0x9E37) * np.arange(1, n + 1, dtype=U)))], U)).view(np.int64)[0])
@@ -120,7 +137,7 @@ def _passages(wanted, masks: list[int]):
                 at, mask, h = at[order], mask[order], h[order].view(np.int64)
                 row = words.rows()[at]
                 lo = np.maximum(words.first[row], at - MARGIN)
-                hi = np.minimum(words.first[row + 1], at + max(SHORT) + 1 + MARGIN)
+                hi = np.minimum(words.first[row + 1], at + REACH + MARGIN)
                 new = np.ones(len(at), bool)
                 new[1:] = (row[1:] != row[:-1]) | (lo[1:] > np.maximum.accumulate(hi)[:-1])
                 begin = np.flatnonzero(new)

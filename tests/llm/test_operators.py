@@ -1,6 +1,7 @@
 """Every operator against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import json
 import math
 import re
@@ -335,6 +336,23 @@ def test_leaks_found_with_substitutions_and_fragments_left(spark):
     assert decontam.leaks(docs(spark, []), bench).count() == 0 and decontam.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_items_leak_under_every_allowed_substitution(spark):
+    items = [(n, " ".join(f"q{n}w{j}" for j in range(n))) for n in range(1, 13)]
+    rows, want = [], set()
+    for n, t in items:
+        w, free = t.split(), n // 5 if n >= decontam.LEAST_WORDS else 0
+        outs = [*itertools.combinations(range(n), free), *itertools.combinations(range(n), free + 1)]
+        for out in outs:
+            i = len(rows)
+            v = ["other" if j in out else x for j, x in enumerate(w)]
+            rows.append((i, " ".join([*["before"] * (i % 3), *v, *["after"] * (i % 2)]), "s"))
+            if len(out) <= free:
+                want.add((i, n))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.leaks(docs(spark, rows), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 # --- op9 -----------------------------------------------------------------------------------------
 
 
