@@ -356,11 +356,19 @@ def test_short_items_leak_under_every_allowed_substitution(spark):
 # --- op9 -----------------------------------------------------------------------------------------
 
 
+def held(i, fold=2, folds=7):
+    return i is not None and zlib.crc32(str(i).encode()) % folds == fold
+
+
+def corpus(n=150):
+    words = lambda i: " ".join(np.random.default_rng(i).choice(VOCAB[60 + i % 2 :: 2], 80)) + (" fresh%d" % i if i % 5 == 0 else "")
+    return [*ODD, *((10 + i, words(i), "s") for i in range(n)), *((900 + i, words(3) + f" tail{i % 2}", "s") for i in range(12))]
+
+
 def test_lm_base_equals_brute_force_and_model_learns(spark):
-    rows = [(i, t, s) for i, t, s in ODD if i != 7 and i != 6] + [(10 + i, " ".join(np.random.default_rng(i).choice(VOCAB[60 + i % 2 :: 2], 80)) + (" fresh%d" % i if i % 5 == 0 else ""), "s") for i in range(150)]
+    rows = corpus()
     got = lm_mixing.digest(lm_mixing.score(awkward(docs(spark, rows)))).collect()
     assert len(got) == len(rows)
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter()
     for i, t, _ in rows:
         if not held(i):
@@ -369,42 +377,140 @@ def test_lm_base_equals_brute_force_and_model_learns(spark):
     want = Counter()
     for i, t, _ in rows:
         w = [*(t or "").encode().lower().split(), None]
-        want[(i, held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6))] += 1
-    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+        want[(i, held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 5))] += 1
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
     tests = [r for r in got if r["held_out"] and r["n_tokens"] > 50 and r["n_known"] == r["n_tokens"]]
     assert tests and sum(r["score"] for r in tests) > sum(r["base_score"] for r in tests)
     assert lm_mixing.score(docs(spark, [])).count() == 0
-
-
-def test_kinds_are_fitted_on_all_documents_whole(spark, monkeypatch):
-    groups = [[f"{g}{j}" for j in range(40)] for g in "abcd"]
-    text = lambda i: "pad " * (6000 if i % 4 == 3 else 1) + " ".join(np.random.default_rng(i).choice(groups[i % 4], 3000 if i % 4 == 3 else 80))
-    rows = sorted(((i, text(i), "s") for i in range(80)), key=lambda r: r[0] % 4)
-    monkeypatch.setattr(lm_mixing, "SEED_DOCS", 30)
-    first, again = ({r["doc_id"]: r["score"] for r in lm_mixing.score(docs(spark, x).coalesce(1)).collect()} for x in (rows, rows[::-1]))
-    assert first == pytest.approx(again, rel=1e-4)
-    keys, logs = lm_mixing.fit_kinds(docs(spark, rows))
-    (words,) = textlib.sub_batches(pa.array([" ".join(w) for w in groups]))
-    assert set(words.hashes.tolist()) <= set(keys.tolist())
-    kinds = [int(np.argmax(x @ logs)) for x in lm_mixing._frequent(words, keys)]
-    assert len(set(kinds)) == 4
-    assert len(lm_mixing.fit_kinds(docs(spark, [(1, None, "s")]).fillna(""))[0]) == 0
-
-
-def test_spelling_model_is_a_distribution():
-    m = lm_mixing.Mixer([(np.random.default_rng(i).random(1 << b).astype(np.float32) * 9, np.random.default_rng(i + 9).random(1 << b).astype(np.float32) * 9) for i, (_, b) in enumerate(lm_mixing.ORDERS)])
+    alone = lm_mixing.score(docs(spark, [(next(i for i in range(99) if held(i)), "never trained", "s")])).first()
+    assert alone["train_tokens"] == 0 and alone["n_known"] == 0 and math.isfinite(alone["score"])
+
+
+def coded(rows, model):
+    """Scores of all rows of one region, coded one text, word and bit at a time."""
+    texts = [[*(t or "").encode().lower().split(), None] for _, t, _ in rows]
+    train = [not held(i) for i, _, _ in rows]
+    hash_of, short = {None: int(lm_mixing.END[0])}, {}
+    for w in textlib.sub_batches(pa.array(sorted({x.decode() for t in texts for x in t if x}), pa.string())):
+        for h, a, b in zip(w.hashes.tolist(), w.starts, w.ends):
+            hash_of[bytes(w.data[a:b])] = h
+    short = {x: (h >> 40) % lm_mixing.BUCKETS for x, h in hash_of.items() if x is not None and len(x) <= lm_mixing.SHORT}
+    mixer, code = model.mixer, model.code
+    odds = np.log(mixer.seen[:, :, 1] / mixer.seen[:, :, 0])
+
+    def spelled(word, kind):
+        data = np.frombuffer(word if word is not None else b"\n", np.uint8)
+        s = lm_mixing.Steps(code, data, np.array([0]), np.array([len(data)]), np.array([kind]))
+        total = 0.0
+        for i in range(len(s.at)):
+            state = [int(lm_mixing._state[t[x[i]]]) for t, x in zip(mixer.levels, s.slots)]
+            gate = min(int(s.place[s.at[i]]), 7) * 2 + int(s.depth[i]) + 16 * (state[5] > 0) + 32 * (state[4] > 0) + 64 * (state[3] > 0)
+            y = max(-16, min(16, sum(mixer.weights[gate, k] * odds[k][x] for k, x in enumerate(state))))
+            zero, one = mixer.refined[gate, round(max(-8, min(8, y)) * 2) + 16]
+            p = min(1 - 1e-6, max(1e-6, (1 / (1 + math.exp(-y)) + one / (zero + one)) / 2))
+            total += math.log10(p if s.bit[i] else 1 - p)
+        return total
+
+    def kind_of(words):
+        found = [short[w] for w in words if w in short]
+        return int(np.argmax(model.weights[found].sum(axis=0))) + 1 if found else 0
+
+    bucket = lambda x: max(i for i, c in enumerate(lm_mixing.COUNTS) if c <= x)
+    before = lambda t, j, order: tuple(t[j - k] if j >= k else "start" for k in range(1, order + 1))
+    after = {order: defaultdict(lambda: defaultdict(set)) for order in (2, 3)}
+    for d, t in enumerate(texts):
+        for j, w in enumerate(t):
+            for order in (2, 3):
+                after[order][before(t, j, order)][w] |= {d} if train[d] else set()
+    steps, tried, hits = [], Counter(), Counter()
+    for d, t in enumerate(texts):
+        own = defaultdict(list)
+        for j, w in enumerate(t):
+            guess, case = None, None
+            last = own[before(t, j, 3)]
+            if last:
+                guess, case = last[-1], (0, bucket(len(last)), len(last) > 1 and last[-1] == last[-2])
+            for i, order in ((1, 3), (2, 2)):
+                if case is None:
+                    context = before(t, j, order)
+                    best = sorted(after[order][context].items(), key=lambda x: (-len(x[1]), hash_of[x[0]]))[:2]
+                    left = [(len(of - {d}), x) for x, of in best] + [(0, None)] * (2 - len(best))
+                    n, x = left[0] if left[0][0] >= left[1][0] else left[1]
+                    if n > 0:
+                        guess, case = x, (i, bucket(n), bucket(max(1, sum(map(len, after[order][context].values())) // n)))
+            own[before(t, j, 3)].append(w)
+            steps.append((d, case, guess == w if case else None, w, kind_of(t[:j])))
+            if case and train[d]:
+                tried[case] += 1
+                hits[case] += guess == w
+    out, memo = [0.0] * len(texts), {}
+    for d, case, hit, w, kind in steps:
+        p = (hits[case] + 0.05) / (tried[case] + 1)
+        if hit:
+            out[d] += math.log10(p)
+            continue
+        if (w, kind) not in memo:
+            memo[w, kind] = spelled(w, kind)
+        out[d] += memo[w, kind] + (math.log10(1 - p) if case else 0)
+    return out
+
+
+def test_lm_scores_equal_a_sequential_coder(spark):
+    rows = [(i, (t or "")[:400] if i in (6, 7) else t, s) for i, t, s in corpus(30)]
+    df = docs(spark, rows)
+    model = lm_mixing.fit(df)
+    got = sorted((str(r["doc_id"]), r["score"]) for r in lm_mixing.score(df, model=model).collect())
+    want = sorted((str(i), x) for (i, _, _), x in zip(rows, coded(rows, model)))
+    assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-5)
+    # copies are told apart: others' words predict them, their own do not
+    by = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_mixing.score(df, model=model).collect()}
+    assert min(by[900 + i] for i in range(12)) > max(by[10 + i] for i in range(30) if i != 3)
+
+
+def test_lm_scores_do_not_depend_on_order_or_files(spark):
+    rows = corpus(60)
+    one = {(r["doc_id"], r["n_bytes"]): r["score"] for r in lm_mixing.score(docs(spark, rows).coalesce(1)).collect()}
+    two = {(r["doc_id"], r["n_bytes"]): r["score"] for r in lm_mixing.score(docs(spark, rows[::-1]).repartition(5)).collect()}
+    assert one == pytest.approx(two, rel=1e-7)
+
+
+def test_lm_regions_bound_copies_and_keep_every_row(spark, monkeypatch):
+    monkeypatch.setattr(lm_mixing, "CHUNK", 20_000)
+    rows = [(i, prose(40, i), "s") for i in range(100)] + [(500 + i, prose(60, 777), "s") for i in range(150)] + [(None, None, "s")] * 50
+    df = docs(spark, rows)
+    model = lm_mixing.fit(df)
+    dealt = lm_mixing.regions(lm_mixing._documents(df, "doc_id", "text", 7, 2).withColumn("row", F.monotonically_increasing_id()), model.sizes, 5)
+    assert dealt.count() == len(rows) and dealt.filter("doc_id >= 500").select("chunk").distinct().count() > 1
+    got = lm_mixing.score(df, model=model).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _, _ in rows)
+
+
+def test_spelling_is_a_distribution():
+    rng = np.random.default_rng(5)
+    m = lm_mixing.Mixer([rng.integers(0, 1 << 16, 1 << bits).astype(np.uint16) for *_, bits in lm_mixing.PREDICTORS])
+    code = lm_mixing.Code(rng.integers(1, 1000, 256))
     total = 0.0
-    for first in range(256):
-        s = lm_mixing.Spelled(pa.array([bytes([first])]))
-        p = np.ones(len(s.bytes))
-        for _, bit, gate, slots in s.bits():
-            q = m.probability(m.odds(slots), gate)
-            p *= np.where(bit == 1, q, 1 - q)
-        total += p[0]
+    for byte in range(256):
+        s = lm_mixing.Steps(code, np.array([byte, 0], np.uint8), np.array([0]), np.array([2]), np.array([1]))
+        first = s.at == 0
+        found, gate = m.read(s, False)
+        y = m.mixed(found, gate)[0]
+        p = np.clip((lm_mixing._squash(y) + (m.refined[:, :, 1] / m.refined.sum(axis=2))[gate, m.step(y)]) / 2, 1e-6, 1 - 1e-6)
+        total += np.prod(np.where(s.bit == 1, p, 1 - p)[first])
     assert total == pytest.approx(1)
 
 
+def test_kinds_follow_words_that_occur_together():
+    both = np.zeros((lm_mixing.BUCKETS, lm_mixing.BUCKETS), np.int64)
+    for k in range(4):
+        both[k * 10 : k * 10 + 10, k * 10 : k * 10 + 10] = 100 - k
+    weights = lm_mixing.fit_kinds(both + (both.sum(axis=1, keepdims=True) > 0) * (both.sum(axis=0) > 0))
+    assert len({tuple(np.argmax(weights[k * 10 : k * 10 + 10], axis=1)) for k in range(4)}) == 4
+    assert all(len(set(np.argmax(weights[k * 10 : k * 10 + 10], axis=1))) == 1 for k in range(4))
+    assert not lm_mixing.fit_kinds(both * 0).any()
+
+
 # --- op10 ----------------------------------------------------------------------------------------
 
 
