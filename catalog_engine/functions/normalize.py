@@ -8,11 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cells that mean no value (fixed values).
-NULL_TOKENS = ("", "-", "--", "n/a", "na", "null", "none", "nan", "无", "暂无")
+NULL_TOKENS = ("", "-", "--", "n/a", "na", "none", "null", "—")
 #: Multipliers of number units (fixed values).
 UNITS = {"k": 1e3, "m": 1e6, "b": 1e9, "千": 1e3, "万": 1e4, "百万": 1e6, "亿": 1e8}
+#: Currency words and signs that a number may carry (fixed values).
+CURRENCY_WORDS = ("usd", "cny", "rmb", "eur", "gbp", "jpy", "cad", "aud", "hkd")
+CURRENCY_SIGNS = "$¥￥€£₹"
 #: Seconds of duration units (fixed values).
-SECONDS = {"d": 86400, "h": 3600, "m": 60, "s": 1}
+SECONDS = {
+    "d": 86400, "day": 86400, "days": 86400, "天": 86400,
+    "h": 3600, "hour": 3600, "hours": 3600, "小时": 3600, "时": 3600,
+    "m": 60, "min": 60, "mins": 60, "minute": 60, "minutes": 60, "分钟": 60, "分": 60,
+    "s": 1, "sec": 1, "secs": 1, "second": 1, "seconds": 1, "秒": 1,
+}
 
 
 def header_key(name: str) -> str:
@@ -41,21 +49,21 @@ def canonical_headers(df: DataFrame, aliases: dict[str, list[str]], strict: bool
 
 def text(c: Column) -> Column:
     """Trimmed, runs of space as one; null tokens are null."""
-    t = F.regexp_replace(F.trim(c), r"\s+", " ")
+    t = F.trim(F.regexp_replace(c, r"[ \t\n\x0B\f\r]+", " "))
     return F.when(~F.lower(t).isin(*NULL_TOKENS), t)
 
 
 def numeric(c: Column) -> Column:
-    """struct(exact, lower_bound) of a number cell: (5) is -5, currency, % and thousands marks are dropped, units multiply, a trailing + makes it a lower bound."""
+    """struct(exact, lower_bound) of a number cell: (5) is -5, currency words and signs, % and thousands marks are dropped, units multiply, a trailing + makes it a lower bound."""
     t = F.lower(text(c))
-    negative = t.rlike(r"^\(.*\)$")
-    bare = F.regexp_replace(F.regexp_replace(t, r"^\((.*)\)$", "$1"), r"usd|cny|rmb|us\$|[$¥￥€£%,\s]|元", "")
-    plus = bare.endswith("+")
-    number = r"^([+-]?\d+(?:\.\d+)?|[+-]?\.\d+)(k|m|b|千|万|百万|亿)?\+?$"
+    bare = F.regexp_replace(t, r"^\((.*)\)$", "-$1")
+    bare = F.regexp_replace(bare, rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(CURRENCY_WORDS)})(?![\p{{L}}\p{{N}}_])", "")
+    bare = F.translate(bare, CURRENCY_SIGNS + "%, ", "")
+    number = r"^([+-]?(?:\d+(?:\.\d*)?|\.\d+))(k|m|b|千|万|百万|亿)?(\+)?$"
     table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in UNITS.items()))
     scale = F.coalesce(F.try_element_at(table, F.regexp_extract(bare, number, 2)), F.lit(1.0))
     value = F.when(bare.rlike(number), F.regexp_extract(bare, number, 1).try_cast("double") * scale)
-    value = F.when(negative, -value).otherwise(value)
+    plus = bare.endswith("+")
     return F.struct(F.when(~plus, value).alias("exact"), F.when(plus, value).alias("lower_bound"))
 
 
@@ -66,12 +74,12 @@ def numeric_simple(c: Column) -> Column:
 
 
 def duration_seconds(c: Column) -> Column:
-    """Seconds of texts such as 2d 3h 15m; null if anything else is in it."""
+    """Seconds of texts such as 2 days 3h 15 min or 2天3小时; null if anything but such parts, spaces and commas is in it."""
     t = F.lower(text(c))
-    token = r"(\d+(?:\.\d+)?)\s*(d|h|m|s)"
+    token = rf"(\d+(?:\.\d+)?)\s*({'|'.join(sorted(SECONDS, key=lambda u: (-len(u), u)))})(?![a-z])"
     table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(float(v))) for k, v in SECONDS.items()))
     parts = F.zip_with(F.regexp_extract_all(t, F.lit(token), F.lit(1)), F.regexp_extract_all(t, F.lit(token), F.lit(2)), lambda n, u: n.cast("double") * F.element_at(table, u))
-    return F.when(t.rlike(rf"^(?:\s*{token}\s*)+$"), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
+    return F.when(t.rlike(rf"^(?:[\s,]*{token}[\s,]*)+$"), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
 
 
 #: Date formats in order, each with the shape a cell must have.

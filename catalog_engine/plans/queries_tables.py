@@ -285,42 +285,6 @@ def union_queue(spark, d):
     return u.select("asin", "route")
 
 
-@query("set_operations", "SELECT p_partkey, p_partkey % 3 = 0 AS overlap, CASE WHEN p_partkey % 2 = 0 THEN 'complete' ELSE 'partial' END AS refs, 'capacity,material' AS hard, 'a,b,c' AS reasons FROM part")
-def set_operations(spark, d):
-    k = F.col("p_partkey")
-    words = lambda s: F.array(*[F.lit(w) for w in s.split()])
-    return fx.read(spark, d, "part").select(
-        "p_partkey", setops.feature_overlap(F.when(k % 3 == 0, words("a b")).otherwise(words("x")), words("b c")).alias("overlap"), setops.refs_subset(F.when(k % 2 == 0, words("a")).otherwise(words("a z")), words("a b")).alias("refs"),
-        F.array_join(setops.hard_conflicts(words("material colour capacity")), ",").alias("hard"), F.array_join(setops.reason_union(words("a b"), F.lit(None).cast("array<string>"), words("b c")), ",").alias("reasons"),
-    )
-
-
-@query("compare_specs", "SELECT p_partkey, " + half_up("(2.0::DOUBLE + CASE WHEN p_partkey % 3 = 0 THEN 1.0 WHEN p_partkey % 3 = 1 THEN 0.0 ELSE 0.35::DOUBLE END) / 3.0", 4) + " AS score, CASE WHEN p_partkey % 3 = 1 THEN 'capacity' ELSE '' END AS conflicts, CASE WHEN p_partkey % 3 = 2 THEN 'capacity' ELSE '' END AS missing FROM part")
-def compare_specs(spark, d):
-    k = F.col("p_partkey") % 3
-    cap = F.when(k == 0, F.lit(105.0)).when(k == 1, F.lit(200.0))
-    m = matching.compare_specs({"category": F.lit(True), "capacity": matching.close_number(F.lit(100.0), cap, 0.12)}, {"category": F.lit(True), "capacity": F.lit(True)})
-    return fx.read(spark, d, "part").select("p_partkey", m.alias("m")).select("p_partkey", "m.score", F.array_join("m.conflicts", ",").alias("conflicts"), F.array_join("m.missing", ",").alias("missing"))
-
-
-@query("compare_profiles", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 'manual_review' WHEN p_partkey % 4 = 1 THEN 'reject' ELSE 'keep' END AS decision FROM part")
-def compare_profiles(spark, d):
-    from ..operators import text as tx
-
-    k = F.col("p_partkey") % 4
-    p = fx.read(spark, d, "part").select("p_partkey", tx.category_profile(F.lit("Patio heater 40,000 BTU")).alias("t"), F.when(k != 3, tx.category_profile(F.when(k == 1, F.lit("Patio heater 90,000 BTU")).otherwise(F.lit("outdoor heater 41,000 btu")))).alias("o"))
-    return p.select("p_partkey", matching.compare_profiles("t", "o", ("heat_output_btu",)).alias("m")).select("p_partkey", "m.decision")
-
-
-@query("target_intent_match", "SELECT p_partkey, p_partkey % 3 <> 1 AS hit FROM part")
-def target_intent_match(spark, d):
-    from ..operators import text as tx
-
-    k = F.col("p_partkey") % 3
-    p = fx.read(spark, d, "part").select("p_partkey", tx.category_profile(F.when(k == 0, F.lit("gnome")).otherwise(F.lit("patio heater"))).alias("q"), tx.category_profile(F.when(k == 1, F.lit("patio umbrella")).otherwise(F.lit("patio heater"))).alias("p"))
-    return p.select("p_partkey", tx.target_intent("q", "p").alias("hit"))
-
-
 @query("match_quality", fx.with_ctes(fx.OFFER) + "SELECT asin, offer_id, " + half_up("(0.55::DOUBLE * (0.40::DOUBLE * match_quality_score + 0.60::DOUBLE * 0.45::DOUBLE) + 0.30::DOUBLE * (delivery_days / 60) + 0.15::DOUBLE * 0.45::DOUBLE) * greatest(0.45::DOUBLE, 1.0::DOUBLE - 0.15::DOUBLE * (source_pos % 3))", 4) + " AS score FROM offer")
 def match_quality(spark, d):
     n = F.lit(None).cast("double")
@@ -337,13 +301,6 @@ def match_evidence_decision(spark, d):
     return fx.offers(spark, d).select("asin", "offer_id", m.alias("m")).select("asin", "offer_id", "m.decision", "m.confidence")
 
 
-@query("tri_state_matches", fx.with_ctes(fx.OFFER) + "SELECT asin, offer_id, CASE WHEN source_pos % 3 = 0 THEN 1.0 WHEN source_pos % 3 = 1 THEN 0.0 END::DOUBLE AS type_match, CASE WHEN is_factory THEN 1.0 WHEN NOT is_factory THEN 0.0 END::DOUBLE AS manufacturer_match FROM offer")
-def tri_state_matches(spark, d):
-    k = F.col("source_pos") % 3
-    other = F.when(k == 0, "full_product").when(k == 1, "replacement").otherwise("unknown")
-    return fx.offers(spark, d).select("asin", "offer_id", matching.type_match(F.lit("full_product"), other).alias("type_match"), matching.manufacturer_match(F.col("is_factory")).alias("manufacturer_match"))
-
-
 @query("decision_brief", fx.with_ctes(*PIPELINE) + "SELECT asin, CASE WHEN passed THEN 'ready_to_sample' WHEN rejection <> '' THEN 'manual_verify' ELSE 'score_review' END AS action, CASE WHEN passed THEN 'high' ELSE 'medium' END AS confidence FROM scored")
 def decision_brief(spark, d):
     c, true = F.col, F.lit(True)
@@ -414,32 +371,6 @@ def ttl_state(spark, d):
     return ev.ttl_state(events(spark, d), ["user_id"], 86400, "2024-01-30 00:00:00").select("user_id", "event_type")
 
 
-@query("retry_backoff", "SELECT event_id, least(2.0 * pow(2.0, (event_id % 8 + 1) - 1), 60.0)::DOUBLE AS seconds FROM events")
-def retry_backoff(spark, d):
-    return events(spark, d).select("event_id", pr.retry_backoff(F.col("event_id") % 8 + 1).alias("seconds"))
-
-
-@query("classify_errors", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'human_required' WHEN 1 THEN 'timed_out' WHEN 2 THEN 'retryable' ELSE 'permanent' END AS class FROM events")
-def classify_errors(spark, d):
-    k = F.col("event_id") % 4
-    m = F.when(k == 0, "captcha shown").when(k == 1, "read timed out").when(k == 2, "HTTP 503").otherwise("bad request")
-    return events(spark, d).select("event_id", pr.error_class(F.lit("E"), m).alias("class"))
-
-
-@query("attempt_stats", "SELECT o_orderpriority, count(*) AS n_attempts, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_failed, quantile_cont(s, 0.5) AS p50, max(s) AS longest FROM (SELECT *, (o_orderkey % 977)::DOUBLE AS s FROM orders) GROUP BY o_orderpriority")
-def attempt_stats(spark, d):
-    o = fx.read(spark, d, "orders").select("o_orderpriority", F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 977).cast("double").alias("seconds"))
-    return ev.attempt_stats(o, ["o_orderpriority"]).select("o_orderpriority", "n_attempts", "n_failed", "p50", "longest")
-
-
 _legal = " OR ".join(f"(before = '{b}' AND event_type IN ({', '.join(repr(a) for a in after)}))" for b, after in ev.TRANSITIONS.items())
 
 
-@query("illegal_transitions", f"SELECT user_id, event_id, before, event_type AS after FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL AND NOT ({_legal})")
-def illegal_transitions(spark, d):
-    return ev.illegal_transitions(events(spark, d), ["user_id"])
-
-
-@query("manual_queue_upsert", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS reason, count(*) AS attempts, epoch_us(min(ts)) // 1000 AS created_at FROM events GROUP BY user_id")
-def manual_queue_upsert(spark, d):
-    return ev.manual_queue(events(spark, d), ["user_id"]).select("user_id", "reason", "attempts", F.unix_millis("created_at").alias("created_at"))

@@ -36,30 +36,6 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", cell.alias("cell"))
 
 
-@query("parse_numeric", f"WITH {CELL_SQL} SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id * 7 + 0.5 WHEN 1 THEN -(event_id % 50) WHEN 3 THEN event_id % 100 + 0.25 WHEN 5 THEN (event_id % 9 + 1) * 1000 + event_id % 1000 END::DOUBLE AS exact, CASE event_id % 6 WHEN 2 THEN (event_id % 90 + 1) * 1000 END::DOUBLE AS lower_bound FROM cell")
-def parse_numeric(spark, d):
-    return cells(spark, d).select("event_id", (nm.numeric(F.col("cell"))["exact"] + 0.0).alias("exact"), nm.numeric(F.col("cell"))["lower_bound"].alias("lower_bound"))
-
-
-@query("parse_numeric_simple", f"WITH {CELL_SQL} SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id * 7 + 0.5 WHEN 1 THEN -(event_id % 50) WHEN 2 THEN (event_id % 90 + 1) * 1000 WHEN 3 THEN event_id % 100 + 0.25 WHEN 5 THEN (event_id % 9 + 1) * 1000 + event_id % 1000 END::DOUBLE AS value FROM cell")
-def parse_numeric_simple(spark, d):
-    return cells(spark, d).select("event_id", (nm.numeric_simple(F.col("cell")) + 0.0).alias("value"))
-
-
-@query("parse_duration_seconds", "SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE (event_id % 7) * 86400 + (event_id % 24) * 3600 + (event_id % 60) * 60 END::DOUBLE AS seconds FROM events")
-def parse_duration_seconds(spark, d):
-    s = lambda c: c.cast("string")
-    i = F.col("event_id")
-    cell = F.concat(s(i % 7), F.lit("d "), s(i % 24), F.lit("h "), s(i % 60), F.lit("m"), F.when(i % 5 == 4, F.lit(" left")).otherwise(F.lit("")))
-    return events(spark, d).select("event_id", nm.duration_seconds(cell).alias("seconds"))
-
-
-@query("normalize_text", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_type || ' x' END AS t FROM events")
-def normalize_text(spark, d):
-    cell = F.when(F.col("event_id") % 3 == 0, F.lit(" N/A ")).otherwise(F.concat(F.lit("  "), "event_type", F.lit("   x ")))
-    return events(spark, d).select("event_id", nm.text(cell).alias("t"))
-
-
 @query("normalize_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
 def normalize_date(spark, d):
     k = F.col("o_orderkey") % 4
@@ -74,36 +50,6 @@ def positive_number(spark, d):
     return fx.read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", positive(F.col("l_discount")).alias("v"))
 
 
-@query("normalize_price_tiers", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS n_tiers FROM part")
-def normalize_price_tiers(spark, d):
-    from ..functions.cost import positive_tiers
-
-    tier = lambda q, p: F.struct(q.cast("double").alias("min_qty"), p.cast("double").alias("price_cny"))
-    tiers = F.array(tier(F.lit(1), F.col("p_retailprice")), tier(F.col("p_size") % 3, F.col("p_retailprice") / 2), tier(F.lit(5), F.lit(-1)))
-    return fx.read(spark, d, "part").select("p_partkey", F.size(positive_tiers(tiers)).cast("long").alias("n_tiers"))
-
-
-@query("parse_price_text", "SELECT p_partkey, " + half_up("CASE p_partkey % 5 WHEN 0 THEN (p_size * 100 + 37) / 100.0::DOUBLE WHEN 1 THEN p_size * 100 * 0.0067::DOUBLE WHEN 3 THEN (p_size + 500) * 0.0067::DOUBLE WHEN 4 THEN p_size + 0.25 END", 6) + " AS usd FROM part")
-def parse_price_text(spark, d):
-    s, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5
-    cell = F.when(k == 0, F.concat(F.lit("$"), s, F.lit(" 37"))).when(k == 1, F.concat(F.lit("¥"), s, F.lit("00"))).when(k == 2, F.concat(F.lit("List: $"), s)).when(k == 3, (F.col("p_size") + 500).cast("string")).otherwise(F.concat(F.lit("$"), s, F.lit(".25")))
-    return fx.read(spark, d, "part").select("p_partkey", F.round(nm.price_usd(cell), 6).alias("usd"))
-
-
-@query("offer_card_parsers", "SELECT p_partkey, p_retailprice AS price, (CASE WHEN p_partkey % 2 = 0 THEN p_size * 10000 ELSE p_size END)::DOUBLE AS sales, p_size / 100::DOUBLE AS repeat_rate, CASE WHEN p_partkey % 3 = 0 THEN p_size END::INT AS moq FROM part")
-def offer_card_parsers(spark, d):
-    s = F.col("p_size").cast("string")
-    cell = F.concat(F.lit("¥"), F.format_string("%.2f", "p_retailprice"), F.lit(" 月销"), s, F.when(F.col("p_partkey") % 2 == 0, F.lit("万")).otherwise(F.lit("件")), F.lit(" 回头率"), s, F.lit("% "), F.when(F.col("p_partkey") % 3 == 0, F.concat(s, F.lit("个起批"))).otherwise(F.lit("")))
-    return fx.read(spark, d, "part").select("p_partkey", nm.card_price_cny(cell).alias("price"), nm.card_monthly_sales(cell).alias("sales"), nm.card_repeat_rate(cell).alias("repeat_rate"), nm.card_moq(cell).alias("moq"))
-
-
-@query("parse_measures", "SELECT p_partkey, " + half_up("p_size * 0.45359237::DOUBLE", 6) + " AS kg, " + half_up("greatest(p_size, 7, 3) * 2.54::DOUBLE", 6) + " AS longest, " + half_up("least(p_size, 7, 3) * 2.54::DOUBLE", 6) + " AS shortest FROM part")
-def parse_measures(spark, d):
-    s = F.col("p_size").cast("string")
-    dims = nm.dimensions_cm(F.concat(F.lit("size 7 x "), s, F.lit(" x 3 inches")))
-    return fx.read(spark, d, "part").select("p_partkey", F.round(nm.weight_kg(F.concat(s, F.lit(" lbs"))), 6).alias("kg"), F.round(F.get(dims, 0), 6).alias("longest"), F.round(F.get(dims, 2), 6).alias("shortest"))
-
-
 @query("validate_asin", "SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN 'B0' || lpad(p_partkey::VARCHAR, 8, '0') END AS asin FROM part")
 def validate_asin(spark, d):
     raw = F.concat(F.lit(" b0"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.when(F.col("p_partkey") % 4 == 0, F.lit("-x")).otherwise(F.lit("")))
@@ -222,66 +168,14 @@ def search_page_kind(spark, d):
     return fx.read(spark, d, "pages").select("page_id", pr.search_page_kind(F.col("html")).alias("kind"), pr.page_block_code(F.col("html")).alias("block_code"))
 
 
-@query("factory_flag", fx.with_ctes(fx.OFFER) + "SELECT asin, offer_id, is_factory AS flag FROM offer")
-def factory_flag(spark, d):
-    words = F.when(F.col("is_factory"), "Acme 工厂 Ltd").when(~F.col("is_factory"), "Acme Trading Company").otherwise("Acme")
-    return fx.offers(spark, d).select("asin", "offer_id", pr.factory_flag(words).alias("flag"))
-
-
 # --- sources and sinks ---------------------------------------------------------------------------
 
 
-@query("offer_payloads", "SELECT event_id, nth AS source_pos, event_id * 10 + nth AS offer_id, (value + nth)::DOUBLE AS base_price_cny, nth + 1 AS moq FROM events, (SELECT unnest([0, 1]) AS nth) WHERE event_id % 2 = 0")
-def offer_payloads(spark, d):
-    item = lambda n: F.format_string('{"offerId":"%d","subject":"x","moq":%d,"priceTiers":[{"price":1},{"price":%s}]}', F.col("event_id") * 10 + n, F.lit(n + 1), (F.col("value") + n).cast("string"))
-    body = F.concat(F.lit('{"data":{"offers":['), item(0), F.lit(","), item(1), F.lit("]}}"))
-    e = events(spark, d).select("event_id", F.when(F.col("event_id") % 2 == 0, body).otherwise(F.lit("not json")).alias("json"))
-    o = readers.offer_payloads(e, "json")
-    return o.select("event_id", "source_pos", F.col("offer_id").cast("long").alias("offer_id"), "base_price_cny", "moq")
-
-
 @query("read_event_props", "SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events")
 def read_event_props(spark, d):
     return events(spark, d).select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"))
 
 
-@query("imported_offers", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR END AS own_id, event_id % 2 = 1 AS made FROM events WHERE event_id % 3 <> 0")
-def imported_offers(spark, d):
-    i = F.col("event_id")
-    body = F.concat(F.lit('{"x":1'), F.when(i % 2 == 0, F.concat(F.lit(',"id":"'), i.cast("string"), F.lit('"'))).otherwise(F.concat(F.lit(',"n":'), i.cast("string"))), F.when(i % 3 != 0, F.lit(',"title":"t"')).otherwise(F.lit("")), F.lit("}"))
-    o = readers.imported_offers(events(spark, d).select("event_id", body.alias("json")), "json")
-    made = F.col("offer_id").startswith("import-")
-    return o.select("event_id", F.when(~made, F.col("offer_id")).alias("own_id"), made.alias("made"))
-
-
-@query("price_history", "SELECT user_id, CASE WHEN user_id % 5 <> 0 THEN arg_max(value, event_id) / 100 END AS price FROM events GROUP BY user_id")
-def price_history(spark, d):
-    pairs = F.array_sort(F.collect_list(F.struct("event_id", "value")))
-    flat = F.flatten(F.transform(pairs, lambda p: F.array(p["event_id"].cast("double"), p["value"])))
-    s = events(spark, d).groupBy("user_id").agg(flat.alias("s"))
-    s = s.withColumn("price_series", F.when(F.col("user_id") % 5 == 0, F.concat("s", F.array(F.lit(0.0), F.lit(-1.0)))).otherwise(F.col("s"))).withColumn("rating_series", F.col("price_series"))
-    return readers.price_history(s).select("user_id", "price")
-
-
-@query("bestseller_items", "SELECT event_id, value AS price, event_id + 1 AS bsr_rank FROM events")
-def bestseller_items(spark, d):
-    i, v = F.col("event_id"), F.col("value").cast("string")
-    body = F.concat(F.lit('{"asin":"B000000000","rank":'), (i + 1).cast("string"), F.lit(',"price":'), F.when(i % 2 == 0, v).otherwise(F.concat(F.lit('{"value":'), v, F.lit("}"))), F.lit("}"))
-    return readers.bestseller_items(events(spark, d).select("event_id", body.alias("json")), "json").select("event_id", "price", F.col("bsr_rank").cast("long").alias("bsr_rank"))
-
-
-@query("market_detail", "SELECT event_id, (event_id % 900)::INT AS est_monthly_sales, event_id % 2 = 0 AS is_fba, epoch_us(ts) // 1000 AS listed_at FROM events")
-def market_detail(spark, d):
-    i = F.col("event_id")
-    body = F.concat(F.lit('{"sales":{"month":'), (i % 900).cast("string"), F.lit('},"fba":"'), F.when(i % 2 == 0, "Y").otherwise("N"), F.lit('","listedAt":'), F.unix_millis("ts").cast("string"), F.lit("}"))
-    return readers.market_detail(events(spark, d).select("event_id", body.alias("json")), "json").select("event_id", "est_monthly_sales", "is_fba", F.unix_millis("listed_at").alias("listed_at"))
-
-
-@query("page_evidence", "SELECT page_id, field_name, status FROM (SELECT page_id, unnest(['title', 'heading', 'canonical']) AS field_name, unnest([CASE WHEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) <> '' THEN 'extracted' ELSE 'missing' END, CASE WHEN trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) <> '' THEN 'extracted' ELSE 'missing' END, 'missing']) AS status FROM pages)")
-def page_evidence(spark, d):
-    return readers.page_evidence(fx.read(spark, d, "pages")).filter(F.col("field_name").isin("title", "heading", "canonical")).select(F.col("entity_ref").alias("page_id"), "field_name", "status")
-
-
 @query("offer_detail", "SELECT page_id, CASE WHEN regexp_matches(lower(html), 'captcha') THEN 'CAPTCHA' END AS block_code, sha256(html) AS provenance FROM pages")
 def offer_detail(spark, d):
     return readers.offer_detail(fx.read(spark, d, "pages")).select("page_id", "block_code", "provenance")
@@ -318,15 +212,6 @@ def manifest_verify(spark, d):
     return writers.manifest_verify(m, docs.select("path", "content"))
 
 
-@query("candidates_flat", fx.with_ctes(fx.PRODUCT, fx.OFFER) + "SELECT p.asin, p.title, o.offer_id AS top_offer_id, least(n, 10) AS n_suppliers FROM product p JOIN (SELECT asin, arg_min(offer_id, source_pos) AS offer_id, count(*) AS n FROM offer GROUP BY asin) o ON o.asin = p.asin")
-def candidates_flat(spark, d):
-    from ..operators.windows import top_per_key
-
-    o = top_per_key(fx.offers(spark, d).select("asin", "offer_id", "supplier", "source_pos"), ["asin"], [F.asc("source_pos")], 10, "offer_rank").drop("source_pos")
-    nested = writers.nested_candidates(fx.products(spark, d).select("asin", "title"), o).filter("suppliers is not null")
-    return writers.flat_candidates(nested).select("asin", "title", "top_offer_id", F.col("n_suppliers").cast("long").alias("n_suppliers"))
-
-
 @query("import_manifest", "SELECT event_type AS source_file, count(*) AS n_rows FROM events GROUP BY event_type")
 def import_manifest(spark, d):
     return writers.import_manifest(events(spark, d).withColumn("source_file", F.col("event_type"))).select("source_file", "n_rows")
@@ -342,29 +227,6 @@ def extract_specs(spark, d):
     return text.extract_specs(p, "t").select("p_partkey", "spec.category", "spec.material", "spec.color", "spec.capacity_ml", "spec.pack_count")
 
 
-@query("category_profile", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'patio_heater' WHEN p_partkey % 3 = 1 THEN 'patio_umbrellas_shade' END AS category, CASE WHEN p_partkey % 2 = 0 THEN 'replacement' ELSE 'full_product' END AS relation, CASE WHEN p_partkey % 3 = 0 THEN p_size * 1000 END::DOUBLE AS heat_output_btu FROM part")
-def category_profile(spark, d):
-    s, k = F.col("p_size").cast("string"), F.col("p_partkey")
-    t = F.concat(F.when(k % 3 == 0, F.concat(F.lit("Patio Heater "), s, F.lit(",000 BTU"))).when(k % 3 == 1, "cantilever umbrella 9 ft").otherwise("garden gnome"), F.when(k % 2 == 0, F.lit(" replacement")).otherwise(F.lit("")))
-    return fx.read(spark, d, "part").select("p_partkey", text.category_profile(t).alias("p")).select("p_partkey", "p.category", "p.relation", "p.heat_output_btu")
-
-
-@query("query_plan", "SELECT p_partkey, count(*) AS n, count(DISTINCT t) AS n_texts FROM (SELECT p_partkey, unnest(range(12)) AS t FROM part) GROUP BY p_partkey")
-def query_plan(spark, d):
-    p = fx.read(spark, d, "part")
-    texts = {t: F.concat_ws(" ", "p_brand", "p_name", F.lit("" if i % 3 else t)) for i, t in enumerate(text.QUERY_TYPES)}
-    q = text.query_plan(p, texts, "p_partkey", "p_brand")
-    return q.groupBy("p_partkey").agg(F.count("*").alias("n"), F.count_distinct("text").alias("n_texts"))
-
-
-@query("rewrite_queries", "SELECT p_partkey, p_name AS text FROM part WHERE p_size < 10")
-def rewrite_queries(spark, d):
-    p = fx.read(spark, d, "part")
-    plan = p.select("p_partkey", F.lit("a").alias("query_type"), F.concat("p_name", F.lit(" wholesale lot")).alias("text"))
-    rates = p.select("p_partkey", F.lit("a").alias("query_type"), (F.col("p_size") / 50).alias("hit_rate"))
-    return text.rewrite_queries(plan, rates, ["p_partkey"]).select("p_partkey", "text")
-
-
 @query("remove_brand_terms", "SELECT p_partkey, p_name || ' kit' AS clean, true AS had_brand FROM part")
 def remove_brand_terms(spark, d):
     t, b = F.concat("p_name", F.lit(" by "), "p_brand", F.lit(" kit")), text.brand_tokens(F.concat(F.lit("by "), "p_brand"))
@@ -412,13 +274,6 @@ def similar_offers(spark, d):
     return s.select("query_id", "id", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("normalize_query_keyword", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'bolt' WHEN 1 THEN '铁锤' ELSE p_name END AS keyword, p_partkey % 3 = 1 AS requires_english_query FROM part")
-def normalize_query_keyword(spark, d):
-    k = F.col("p_partkey") % 3
-    word = nm.query_keyword(F.when(k == 0, F.lit(" 螺栓 ")).when(k == 1, F.lit("铁锤")).otherwise(F.col("p_name")))
-    return fx.read(spark, d, "part").select("p_partkey", word.alias("w")).select("p_partkey", "w.*")
-
-
 @query("evidence_profile", fx.with_ctes(fx.PRODUCT) + "SELECT asin, CASE WHEN p_partkey % 2 = 0 THEN 'patio_heater' END AS category, weight_kg FROM product")
 def evidence_profile(spark, d):
     p = fx.products(spark, d)

@@ -8,29 +8,56 @@ from pyspark.sql import functions as F
 from ..functions import normalize as nm
 
 #: Header aliases of the two export kinds (fixed values).
-KEYWORD_HEADERS = {"keyword": ["search term", "关键词"], "search_volume": ["monthly searches", "搜索量"], "purchase_volume": ["purchases", "购买量"], "purchase_rate": ["购买率"], "difficulty": ["title density", "难度"], "duration": ["时长"]}
+KEYWORD_HEADERS = {
+    "keyword": ["keywords", "search term", "search terms", "关键词", "关键字", "搜索词", "流量词"],
+    "search_volume": ["monthly search volume", "searches", "搜索量", "月搜索量"],
+    "purchase_volume": ["monthly purchase volume", "purchases", "购买量", "月购买量"],
+    "purchase_rate": ["conversion rate", "购买率", "转化率"],
+    "competing_products": ["competing product", "product count", "competition", "竞品数", "竞争商品数", "商品数"],
+    "spr": [],
+    "organic_rank": ["natural rank", "自然排名"],
+    "ad_rank": ["sponsored rank", "广告排名"],
+    "trend": ["search trend", "趋势", "搜索趋势"],
+    "duration": ["time period", "period", "时长", "周期"],
+}
+KEYWORD_NUMBERS = ("search_volume", "purchase_volume", "purchase_rate", "competing_products", "spr", "organic_rank", "ad_rank")
 COMPETITOR_HEADERS = {
-    "seller": ["卖家", "store"], "asin": [], "title": ["product title", "商品标题"], "brand": ["品牌"], "price": ["价格"], "rating": ["评分"], "review_count": ["reviews", "评论数"],
-    "launch_date": ["上架时间"], "monthly_sales": ["月销量"], "monthly_revenue": ["月销售额"], "seller_product_count": ["seller products", "卖家商品数"],
-}
-
-
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """CSV export as text columns with its file name and row position; ragged rows fail the read."""
-    raw = spark.read.csv(path, header=True, encoding="UTF-8", mode="FAILFAST", enforceSchema=False, multiLine=True)
-    raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
-    return raw.withColumns({"source_file": F.col("_metadata.file_path"), "source_pos": F.monotonically_increasing_id()})
+    "seller": ["sellers", "store", "store name", "seller name", "卖家", "卖家名称", "店铺", "店铺名称", "商家"],
+    "brand": ["brand name", "品牌", "品牌名称"],
+    "asin": ["商品asin", "product asin", "parent asin"],
+    "title": ["product title", "product name", "商品标题", "标题", "产品名称", "商品名称"],
+    "price": ["avg price", "average price", "价格", "售价", "均价", "平均价格"],
+    "rating": ["ratings", "star", "stars", "review rating", "评分", "星级", "星评"],
+    "review_count": ["reviews", "review counts", "num reviews", "ratings count", "评论数", "评价数", "评分数", "评论数量"],
+    "launch_date": ["listing date", "date first available", "first available", "上架时间", "上架日期", "首次上架", "上架"],
+    "monthly_sales": ["sales", "units sold", "monthly units", "月销量", "销量", "月销", "月销售量"],
+    "monthly_revenue": ["revenue", "sales revenue", "月销售额", "销售额", "月营收", "月销额"],
+    "seller_product_count": ["seller products", "product count", "products", "卖家商品数", "在售商品数", "商品数", "在售数"],
+}
+
+
+def read_export(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV export as text columns with its file name and row position; ragged rows fail the read.
+
+    ``source_pos`` grows along a file however the file is split: the block's first
+    byte above the row's number in the task. ``multi_line`` reads cells with line
+    breaks, one task a file.
+    """
+    raw = spark.read.csv(path, header=True, encoding="UTF-8", mode="FAILFAST", enforceSchema=False, multiLine=multi_line)
+    raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 27) - 1))
+    return raw.withColumns({"source_file": F.col("_metadata.file_path"), "source_pos": F.shiftleft(F.col("_metadata.file_block_start"), 27) + nth})
 
 
 def keyword_rows(df: DataFrame) -> DataFrame:
-    """Normalised keyword rows: number pairs (exact, lower bound), rate, duration in seconds."""
+    """Normalised keyword rows: number pairs (exact, lower bound), trend text, duration in seconds."""
     df = nm.canonical_headers(df, KEYWORD_HEADERS, strict=True, required=("keyword",))
     has = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     out = df.withColumn("keyword", F.lower(nm.text(F.col("keyword"))))
-    for c in ("search_volume", "purchase_volume", "difficulty"):
+    for c in KEYWORD_NUMBERS:
         pair = nm.numeric(has(c))
         out = out.withColumns({c: pair["exact"], f"{c}_lower_bound": pair["lower_bound"]})
-    return out.withColumns({"purchase_rate": nm.numeric(has("purchase_rate"))["exact"], "duration_seconds": nm.duration_seconds(has("duration"))})
+    return out.withColumns({"trend": nm.text(has("trend")), "duration_seconds": nm.duration_seconds(has("duration"))})
 
 
 def competitor_rows(df: DataFrame) -> DataFrame:

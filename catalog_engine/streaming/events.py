@@ -10,8 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-#: Legal status changes of an execution node (fixed values).
-TRANSITIONS = {"view": ("click", "purchase", "view"), "click": ("view", "purchase", "click"), "purchase": ("view", "signup"), "signup": ("view", "click"), "error": ("view",)}
+#: Legal status changes of an execution node; a status never follows itself (fixed values).
+TRANSITIONS = {
+    "pending": ("running", "cancelled", "skipped"),
+    "running": ("succeeded", "failed", "retry_wait", "human_required", "cancelled", "timed_out"),
+    "retry_wait": ("pending", "cancelled"),
+    "human_required": ("pending", "cancelled"),
+    "failed": ("pending", "cancelled"),
+    "succeeded": (),
+    "cancelled": (),
+    "skipped": (),
+    "timed_out": ("pending", "cancelled"),
+}
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -57,8 +67,8 @@ def stale_batch(events: DataFrame, run: list[str], lease_seconds: int, most: int
 class StaleProcessor(StatefulProcessor):
     """Keeps the last heartbeat and attempts of a run; an event-time timer at heartbeat + lease emits its status."""
 
-    def __init__(self, lease_ms: int, most: int = 3):
-        self.lease_ms, self.most = lease_ms, most
+    def __init__(self, lease_ms: int, most: int = 3, run: str = "user_id"):
+        self.lease_ms, self.most, self.run = lease_ms, most, run
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -78,16 +88,17 @@ class StaleProcessor(StatefulProcessor):
         last, attempts = self.state.get()
         attempts += 1
         self.state.update((last, attempts))
-        yield pd.DataFrame({"user_id": [key[0]], "last_ms": [last], "attempt": [attempts], "status": pd.Series(["retry_wait" if attempts < self.most else "failed"], dtype=object)})
+        yield pd.DataFrame({self.run: [key[0]], "last_ms": [last], "attempt": [attempts], "status": pd.Series(["retry_wait" if attempts < self.most else "failed"], dtype=object)})
 
     def close(self) -> None:
         pass
 
 
-def stale_stream(events: DataFrame, lease_seconds: int, lateness: str = "10 minutes") -> DataFrame:
+def stale_stream(events: DataFrame, lease_seconds: int, lateness: str = "10 minutes", run: str = "user_id") -> DataFrame:
     """Runs whose heartbeat is older than the lease in event time."""
     source = events.withWatermark("ts", lateness).withColumn("ms", F.unix_millis("ts"))
-    return source.groupBy("user_id").transformWithStateInPandas(StaleProcessor(lease_seconds * 1000), "user_id long, last_ms long, attempt int, status string", "append", "eventTime")
+    schema = f"{run} {events.schema[run].dataType.simpleString()}, last_ms long, attempt int, status string"
+    return source.groupBy(run).transformWithStateInPandas(StaleProcessor(lease_seconds * 1000, run=run), schema, "append", "eventTime")
 
 
 def dedupe_batch(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,6 +118,13 @@ def ttl_state(events: DataFrame, keys: list[str], ttl_seconds: int, as_of: str)
     return latest.filter(age.between(0, ttl_seconds)).select(*keys, "row.*")
 
 
+def ttl_stream(events: DataFrame, keys: list[str], ttl: str, lateness: str = "10 minutes") -> DataFrame:
+    """Newest row of each key in stretches that no pause longer than the time to live ends; Spark drops a key's state when its last row has expired."""
+    source = events.withWatermark("ts", lateness)
+    out = source.groupBy(*keys, F.session_window("ts", ttl)).agg(F.max_by(F.struct("event_type", "value", "ts"), F.struct("ts", "event_id")).alias("row"), F.count("*").alias("writes"))
+    return out.select(*keys, "row.*", F.col("session_window.end").alias("expires_at"), "writes")
+
+
 def attempt_stats(attempts: DataFrame, by: list[str]) -> DataFrame:
     """Attempts, failures and duration percentiles; columns status and seconds."""
     return attempts.groupBy(*by).agg(
@@ -114,14 +132,15 @@ def attempt_stats(attempts: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def illegal_transitions(events: DataFrame, run: list[str], allowed: dict[str, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
-    """Consecutive stages of a run that may not follow each other."""
+def illegal_transitions(events: DataFrame, run: list[str], status: str = "status", allowed: dict[str, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
+    """Consecutive statuses of a run that may not follow each other; an unknown status may follow or precede none."""
     w = Window.partitionBy(*run).orderBy("ts", "event_id")
-    pairs = events.withColumn("before", F.lag("event_type").over(w)).filter("before is not null")
+    pairs = events.withColumn("before", F.lag(status).over(w)).filter("before is not null")
     legal = F.lit(False)
     for before, after in allowed.items():
-        legal = legal | ((F.col("before") == before) & F.col("event_type").isin(*after))
-    return pairs.filter(~legal).select(*run, "event_id", "before", F.col("event_type").alias("after"))
+        if after:
+            legal = legal | ((F.col("before") == before) & F.col(status).isin(*after))
+    return pairs.filter(~F.coalesce(legal, F.lit(False))).select(*run, "event_id", "before", F.col(status).alias("after"))
 
 
 def manual_queue(requests: DataFrame, key: list[str], most_keywords: int = 8) -> DataFrame:
@@ -131,6 +150,26 @@ def manual_queue(requests: DataFrame, key: list[str], most_keywords: int = 8) ->
     return requests.groupBy(*key).agg(F.min("ts").alias("created_at"), F.max_by("event_type", order).alias("reason"), F.count("*").alias("attempts"), F.slice(F.array_distinct(F.transform(words, lambda x: x["event_type"])), 1, most_keywords).alias("keywords"))
 
 
+def upsert_queue(requests: DataFrame, path: str, key: list[str], checkpoint: str, most_keywords: int = 8):
+    """A stream of requests kept as the table of ``manual_queue`` at ``path``: each batch adds its requests and writes the next version, and a batch that comes again changes nothing."""
+
+    def handle(df: DataFrame, batch: int) -> None:
+        df.select(*key, "ts", "event_id", "event_type").write.mode("overwrite").parquet(f"{path}/requests/batch={batch}")
+        every = df.sparkSession.read.parquet(f"{path}/requests")
+        manual_queue(every, key, most_keywords).write.mode("overwrite").parquet(f"{path}/queue/version={batch}")
+
+    return continuous(requests, checkpoint, handle)
+
+
+def append_once(path: str, make):
+    """A batch handler that writes ``make(df)`` under the batch's number, so that a batch that comes again replaces its own rows only."""
+
+    def handle(df: DataFrame, batch: int) -> None:
+        make(df).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return handle
+
+
 def continuous(events: DataFrame, checkpoint: str, handle, trigger: dict | None = None):
     """Starts a query that hands each micro-batch to ``handle(df, batch_id)``; by default it takes all that is there and ends."""
     return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

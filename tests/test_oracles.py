@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from catalog_engine.plans import queries, queries_tables, queries_text  # noqa: F401
+from catalog_engine.plans import queries, queries_inputs, queries_tables, queries_text  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
