@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import written
+from .session import filter_bits, row_key, written
 from .textlib import ALNUM, U, mix, sub_batches
 
 #: Word positions that each seed reads.
@@ -105,14 +105,6 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
 
 
-def _marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for f in frames:
-        for at in _probes(f["hash"].to_numpy().view(U)):
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    yield pd.DataFrame({"bits": [bits.tobytes()]})
-
-
 def _passages(wanted, masks: list[int]):
     """Stretches of documents around seeds that pass the filter, with those seeds."""
     seed_type = pa.struct([("mask", pa.int32()), ("hash", pa.int64()), ("at", pa.int32())])
@@ -191,9 +183,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     items = bench.mapInArrow(_item_seeds, f"item_id long, item_key long, tokens array<long>, seeds {seed}")
     items = written(items.groupBy("item_key").agg(F.min("item_id").alias("item_id"), F.first("tokens").alias("item_tokens"), F.first("seeds").alias("seeds")), "leak-items")
     seeds = items.select("item_key", F.inline("seeds")).withColumnRenamed("at", "item_at")
-    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for row in seeds.select("hash").coalesce(8).mapInPandas(_marks, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row["bits"], np.uint8)
+    bits = filter_bits(seeds.select("hash"), FILTER_BITS, _probes)
     masks = sorted(r["mask"] for r in seeds.select("mask").distinct().collect())  # of the fixed list of masks
     wanted = spark.sparkContext.broadcast(bits.tobytes())
     found = docs.mapInArrow(_passages(wanted, masks), f"doc_id long, start long, tokens array<long>, seeds {seed}")
@@ -208,6 +198,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without the documents that leak; rows without an id cannot be named and stay."""
-    bad = leaks(df, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(bad, id_col, "left_anti").select(*df.columns)
+    """The input's rows and columns without the documents that leak; rows are told apart by a hash of the whole row, whatever their id."""
+    name = next(n for n in ("row", "row_", "row__") if n not in df.columns)
+    keyed = df.withColumn(name, row_key(df))
+    bad = leaks(keyed, benchmark, name, text_col).select(F.col("doc_id").alias(name)).distinct()
+    return keyed.join(bad, name, "left_anti").select(*df.columns)

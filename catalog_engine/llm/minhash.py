@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import checkpoint, written
+from .session import checkpoint, filter_bits, row_key, written
 from .textlib import U, mix, shingle_hashes, sub_batches
 
 BANDS, ROWS = 32, 5
@@ -43,8 +43,8 @@ SKETCH_LEAST = 0.55
 ELEMENT = U((1 << 52) - 1)
 #: Bits of the filter that tells tasks which classes need their full sets; at most 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
-#: Classes on each side of a block of comparisons.
-BLOCK = 1000
+#: Classes on each side of a block of comparisons, and keys over which the classes of a component are spread.
+BLOCK, SALT = 1000, 16
 
 
 def superminhash(rows: np.ndarray, elements: np.ndarray, n_rows: int, slots: int = SLOTS) -> np.ndarray:
@@ -152,16 +152,6 @@ def _full_sets(k: int, wanted):
     return run
 
 
-def _marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One bit map of the classes in a partition."""
-    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for f in frames:
-        at = f["cls"].to_numpy().view(U) & U(FILTER_BITS - 1)
-        at = at.astype(np.int64)
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    yield pd.DataFrame({"bits": [bits.tobytes()]})
-
-
 def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Union-find over the edges of a partition: each node with its root, which is the least node."""
     parent: dict[int, int] = {}
@@ -215,9 +205,7 @@ def _agree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(cls, elements) of the given classes, in one more scan of the documents."""
-    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for row in nodes.coalesce(8).mapInPandas(_marks, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row["bits"], np.uint8)
+    bits = filter_bits(nodes.select("cls"), FILTER_BITS, lambda h: [(h & U(FILTER_BITS - 1)).astype(np.int64)])
     wanted = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
     sets = docs.mapInArrow(_full_sets(k, wanted), "cls long, elements array<long>").join(nodes, "cls", "left_semi").dropDuplicates(["cls"])
     return written(sets, "near-sets")
@@ -298,19 +286,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(found)
     more = missing_links(members, roots, docs, k, percent)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    least = classes.select("cls", "least_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    best = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = least.join(best, "root").select("cls", "component_id")
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    # only classes with links need a component; a component's classes are spread over SALT keys
+    linked = roots.select(F.col("node").alias("cls"), "root").union(roots.select(F.col("root").alias("cls"), "root").distinct())
+    linked = linked.join(classes.select("cls", "least_id"), "cls").withColumn("salt", F.pmod("cls", F.lit(SALT)))
+    best = linked.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
+    named = linked.join(best, ["root", "salt"]).select("cls", "component_id")
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls"))
+    out = out.join(classes.select("cls", "least_id"), "cls", "left").join(named, "cls", "left")
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "least_id"))
     return out.select("doc_id", "n_shingles", "cls", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The input's rows and columns with one document of each group: that of the least id. Rows without an id stay."""
-    kept = near_duplicates(df, id_col, text_col, k, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    named = df.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))
+    """The input's rows and columns with one document of each group: that of the least id, null ids last.
+
+    Rows are told apart by a hash of the whole row, so that null ids and ids that
+    several texts share are judged like others. Rows without words stay, all of them.
+    """
+    name = next(n for n in ("row", "row_", "row__") if n not in df.columns)
+    keyed = df.withColumn(name, row_key(df))
+    groups = near_duplicates(keyed, name, text_col, k, percent).select(F.col("doc_id").alias(name), "component_id", "n_shingles").distinct()
+    ids = groups.join(keyed.select(name, F.col(id_col).alias("id")).distinct(), name)
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", name)).alias("best")
+    alone = groups.filter("n_shingles = 0").select(name)
+    kept = written(ids.filter("n_shingles > 0").groupBy("component_id").agg(best).select(f"best.{name}").withColumn("once", F.lit(True)).union(alone.withColumn("once", F.lit(False))), "near-kept")
+    one = keyed.join(kept.filter("once").select(name), name, "left_semi").dropDuplicates([name])
+    return one.select(*df.columns).unionByName(keyed.join(kept.filter("not once").select(name), name, "left_semi").select(*df.columns))
 
 
 ORACLE_SQL = r"""

@@ -7,9 +7,11 @@ point of its source's word stream, so inverting the demand curve at that point
 gives the document's training position, and one range sort by position gives the
 training order.
 
-Shuffles move (doc_id, source, size, key) only, never text. Running sums inside a
-source are taken per (source, key prefix) with offsets from per-prefix totals, so
-a source that holds most rows is still spread over many tasks.
+``place`` shuffles (doc_id, source, size, key) only, no text; ``mix`` carries the
+rows themselves, once to their running sums and once to their place in the order.
+Running sums inside a source are taken per (source, run), a run being a key prefix,
+with offsets from the runs' totals, so a source that holds most rows is still spread
+over many tasks. A row that occurs more than HEAVY times is dealt to as many runs.
 
 Defined results: null text has size 0 and is never taken; a null source is one
 source of its own and comes last; repeated rows are separate documents; with no
@@ -27,6 +29,8 @@ from .session import checkpoint, word_count, written
 
 #: Hex digits of the key that split a source: 16**3 runs a source.
 PREFIX = 3
+#: Equal rows in one run.
+HEAVY = 100_000
 #: Relative weight at equally spaced times for each weight class: the heaviest sources lead, the lightest finish.
 SCHEDULES = ((1.4, 1.2, 0.8, 0.4), (1.0, 1.0, 1.0, 1.0), (0.4, 0.8, 1.2, 1.6))
 
@@ -116,7 +120,12 @@ def place(
         word_count(text).alias("size"),
         F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))).alias("row_key"),
         own.alias("own"),
-    ).withColumn("run", F.substring("row_key", 1, PREFIX))
+    ).withColumn("nth", F.monotonically_increasing_id())
+    equal = docs.groupBy("row_key").count().filter(F.col("count") > HEAVY).select("row_key", F.ceil(F.col("count") / HEAVY).alias("deal"))
+    run = F.substring("row_key", 1, PREFIX)
+    dealt = F.concat(run, F.lit("+"), F.col("row_key"), F.format_string("%08x", F.pmod(F.xxhash64("nth"), F.col("deal"))))
+    # at most one key for HEAVY rows: some 30 MB for the rows of 100 TB
+    docs = docs.join(F.broadcast(written(equal, "mix-equal")), "row_key", "left").withColumn("run", F.coalesce(dealt, run)).drop("deal", "nth")
     sizes = written(docs.drop("own"), "mix-sizes")
     runs = sizes.groupBy("src", "run").agg(F.sum("size").alias("run_size"))
     before = Window.partitionBy("src").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)

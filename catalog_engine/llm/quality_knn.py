@@ -3,7 +3,8 @@
 A bounded sample of labelled training rows (``SAMPLE``, chosen by hash of the id)
 gives a latent space: square-rooted shares of byte-class bigrams and of repeated
 words, centred, and projected on their leading singular directions. The sample's
-vectors and labels are broadcast (their number is the bound). Every document's
+vectors and labels are broadcast (their number is the bound; a row's features have
+a fixed size, so the bound holds in bytes too). Every document's
 vector is compared with all of them in exact blocked cosine products, and its
 nearest neighbours vote with their similarity.
 
@@ -80,14 +81,20 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         yield words.lo, words.hi, np.sqrt(x)
 
 
-def fit(texts: list[str], labels: list[int], dimensions: int = DIMENSIONS, seed: int = 6) -> dict | None:
-    """Centre, directions, unit vectors and labels of a labelled sample."""
-    if not texts:
+def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of labelled rows as half-precision bytes: a fixed size each, however long the text."""
+    for batch in batches:
+        for lo, hi, x in features(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
+
+
+def fit(x: np.ndarray, labels: list[int], dimensions: int = DIMENSIONS, seed: int = 6) -> dict | None:
+    """Centre, directions, unit vectors and labels of the feature rows of a labelled sample."""
+    if not len(x):
         return None
-    x = np.concatenate([f for _, _, f in features(pa.array(texts, pa.string()))])
     centre = x.mean(axis=0)
     x = x - centre
-    k = min(dimensions, len(texts), WIDTH)
+    k = min(dimensions, len(x), WIDTH)
     q = np.linalg.qr(x @ np.random.default_rng(seed).standard_normal((WIDTH, k + 16)).astype(np.float32))[0]
     for _ in range(4):
         q = np.linalg.qr(x @ np.linalg.qr(x.T @ q)[0])[0]
@@ -134,8 +141,10 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     marks = marks.filter(fold != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = docs.filter("not held_out").join(F.broadcast(marks), "doc_id").orderBy("doc_id", "label", "text").limit(sample).collect()
-    model = fit([r["text"] or "" for r in rows], [r["label"] for r in rows])
+    found = docs.filter("not held_out").join(F.broadcast(marks), "doc_id").select("doc_id", "text", "label")
+    rows = found.mapInArrow(_sample, "doc_id long, label int, x binary").orderBy("doc_id", "label", "x").limit(sample).collect()  # 8 KB each
+    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, WIDTH), np.float32)
+    model = fit(x, [r["label"] for r in rows])
     shared = df.sparkSession.sparkContext.broadcast(model)
     out = docs.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -42,7 +42,7 @@ class Rule:
 
 #: The threshold table. Ratios are per ``scale`` so that no floating point decides.
 RULES = (
-    Rule("length", "n_words", low=20, high=100_000),
+    Rule("length", "n_words", low=20),
     Rule("mean_word_length", "word_chars", "n_words", low=2, high=16),
     Rule("symbol_ratio", "n_symbols", "n_words", high=10, scale=100),
     Rule("shout_ratio", "n_shouts", "n_words", high=30, scale=100),
@@ -68,40 +68,41 @@ def _verdict(rule: Rule) -> Column:
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the metrics of the threshold table (all long) to each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = {n: next(c for c in (f"_{n}{'_' * i}" for i in range(len(df.columns) + 1)) if c not in df.columns) for n in ("words", "windows", "sorted", "starts", "lines")}
     stops = [w for s in STOP_WORDS for w in dict.fromkeys((s, s.capitalize()))]
-    out = df.withColumn("_words", F.array_remove(F.split(text, SPACE), ""))
+    out = df.withColumn(own["words"], F.array_remove(F.split(text, SPACE), ""))
     out = out.withColumn(
-        "_windows",
-        F.when(F.size("_words") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))),
+        own["windows"],
+        F.when(F.size(own["words"]) > WINDOW, F.transform(F.sequence(F.lit(1), F.size(own["words"]) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(own["words"], i, WINDOW)))),
     )
     # windows that occur again, as (hash, position) pairs in order of hash
-    again = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    out = out.withColumn("_sorted", F.when(again, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    again = F.size(F.array_distinct(own["windows"])) < F.size(own["windows"])
+    out = out.withColumn(own["sorted"], F.when(again, F.array_sort(F.transform(own["windows"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
 
     def twin(x: Column, k: Column) -> Column:
-        return F.coalesce(F.get("_sorted", k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_sorted", k + 1)["h"] == x["h"], F.lit(False))
+        return F.coalesce(F.get(own["sorted"], k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(own["sorted"], k + 1)["h"] == x["h"], F.lit(False))
 
-    out = out.withColumn("_starts", F.array_sort(F.transform(F.filter("_sorted", twin), lambda x: x["i"])))
+    out = out.withColumn(own["starts"], F.array_sort(F.transform(F.filter(own["sorted"], twin), lambda x: x["i"])))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("_lines", lines)
+    out = out.withColumn(own["lines"], lines)
     covered = F.aggregate(
-        F.transform("_starts", lambda s, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_starts", k + 1) - s, F.lit(WINDOW)))),
+        F.transform(own["starts"], lambda s, k: F.least(F.lit(WINDOW), F.coalesce(F.get(own["starts"], k + 1) - s, F.lit(WINDOW)))),
         F.lit(0),
         lambda a, x: a + x,
     )
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.size(own["words"]).cast("long"),
             "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_lines": F.size(own["lines"]).cast("long"),
+            "n_dup_lines": (F.size(own["lines"]) - F.size(F.array_distinct(own["lines"]))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-            "n_shouts": F.size(F.filter("_words", lambda w: w.endswith("!!"))).cast("long"),
-            "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stops))).cast("long"),
+            "n_shouts": F.size(F.filter(own["words"], lambda w: w.endswith("!!"))).cast("long"),
+            "n_stop_words": F.size(F.filter(own["words"], lambda w: w.isin(stops))).cast("long"),
         }
     )
-    return out.drop("_words", "_windows", "_sorted", "_starts", "_lines")
+    return out.drop(*own.values())
 
 
 def apply_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -119,7 +120,7 @@ def apply_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
 def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows that pass, with the columns they came with."""
     # the row number keeps the optimizer from copying the whole projection into a filter below it
-    whole = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("input"), F.col(text_col).alias("text"))
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("input"), F.col(text_col).alias("text"))
     judged = apply_rules(whole).withColumn("_row", F.monotonically_increasing_id())
     return judged.filter("kept and _row >= 0").select("input.*")
 

@@ -14,6 +14,9 @@ an empty one; other columns are not read.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -37,7 +40,14 @@ ADDRESS_WORDS = "mailto email mail e-mail from to cc contact xmpp sip acct"
 DICTIONARY = "example sample test demo dummy placeholder your here change password secret token key user name admin release notes version update report image photo page index article news draft final copy file data module config default service client server request response error value number string result north south summer winter street house school market music video world people water light paper green black white"
 FORMATS = r"^(?:AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)$"
 PATH_WORDS = r"(?i)(?:^|[^a-z])(?:test|tests|example|examples|fixture|fixtures|docs?|sample|mock)(?:[^a-z]|$)"
-FEATURES = ["length", "distinct", "digits", "uppers", "lowers", "signs", "hex", "kind_turns", "vowel_turns", "repeats", "words", "named", "format", "secret_near", "other_near", "shape_uuid", "sample_path"]
+FEATURES = ["length", "distinct", "digits", "uppers", "lowers", "signs", "hex", "kind_turns", "vowel_turns", "transitions", "repeats", "words", "named", "format", "secret_near", "other_near", "shape_uuid", "sample_path"]
+
+
+def _transitions() -> tuple[dict[str, float], float]:
+    """log2 probability of each letter after another in the dictionary's words, and that of pairs it lacks."""
+    pairs = Counter(w[i : i + 2] for w in DICTIONARY.split() for i in range(len(w) - 1))
+    first = Counter(p[0] for p in pairs.elements())
+    return {p: math.log2((n + 0.5) / (first[p[0]] + 13)) for p, n in sorted(pairs.items())}, math.log2(1 / 52)
 
 
 def _any(words: str) -> str:
@@ -51,6 +61,9 @@ def with_features(df: DataFrame) -> DataFrame:
     near = F.concat_ws(" ", "name", "before")
     low = F.lower("candidate")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    logs, rare = _transitions()
+    table = F.create_map(*[F.lit(x) for pair in logs.items() for x in pair])
+    steps = F.transform(F.regexp_extract_all(low, F.lit("(?=([a-z]{2}))"), F.lit(1)), lambda p: F.coalesce(F.try_element_at(table, p), F.lit(rare)))
     return df.withColumns(
         {
             "length": F.length("candidate").cast("double"),
@@ -62,6 +75,7 @@ def with_features(df: DataFrame) -> DataFrame:
             "hex": flag(F.col("candidate").rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
             "kind_turns": share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
             "vowel_turns": F.regexp_count(low, F.lit("(?<=[aeiou])(?=[b-df-hj-np-tv-z])")) / n,
+            "transitions": F.when(F.size(steps) > 0, F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / F.size(steps)).otherwise(F.lit(rare)),
             "repeats": F.regexp_count("candidate", F.lit(r"(.)(?=\1)")) / n,
             "words": 1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY.split(), key=lambda w: (-len(w), w))), "")) / n,
             "named": flag(F.col("name") != ""),

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it; a word is a run of anything else.
@@ -14,11 +17,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one in local mode; on a cluster, an error."""
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or sc.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -38,6 +44,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(df: DataFrame) -> Column:
+    """A 64-bit hash of a whole row: equal rows share it, rows that differ anywhere do not. Columns of maps and variants are left out."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.xxhash64(*plain)
+
+
+def filter_bits(hashes: DataFrame, bits: int, places) -> np.ndarray:
+    """A bit map of fixed size over all partitions: each sends its blocks that have bits set, and blocks are joined by OR.
+
+    ``places(uint64 array)`` lists the arrays of bit numbers that hashes (one long column) set.
+    """
+    block = 1 << 16
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(bits >> 3, np.uint8)
+        for f in frames:
+            for at in places(f.iloc[:, 0].to_numpy().view(np.uint64)):
+                np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        found = [(i, out[i : i + block].tobytes()) for i in range(0, len(out), block) if out[i : i + block].any()]
+        yield pd.DataFrame(found, columns=["start", "bits"]).astype({"start": "int32"})
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"start": [key[0]], "bits": [np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in rows["bits"]])).tobytes()]})
+
+    out = np.zeros(bits >> 3, np.uint8)
+    for row in hashes.mapInPandas(mark, "start int, bits binary").groupBy("start").applyInPandas(merge, "start int, bits binary").toLocalIterator():  # bits / 8 bytes in all
+        out[row["start"] : row["start"] + block] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
 def word_count(text):
     """Number of words of a text column; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

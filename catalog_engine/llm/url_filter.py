@@ -75,7 +75,10 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: t
         F.coalesce(F.translate(F.regexp_extract(url, "://([^/?#]*)", 1), UPPER, LOWER), F.lit("")).alias("host"),
         F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"),
     )
-    urls = pages.groupBy("host", "path").count()
+    # a page without a URL has no tokens, so no rule can fit it: it stays out of the shuffles
+    blank = pages.filter("host = '' and path = ''")
+    some = pages.filter("host <> '' or path <> ''")
+    urls = some.groupBy("host", "path").count()
     tokens = F.array_distinct(F.array_remove(F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+"), ""))
     tokens = urls.withColumn("token", F.explode(tokens))
     table = rules if isinstance(rules, DataFrame) else (rules_table(spark, rules) if rules else None)
@@ -89,7 +92,8 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: t
         index = index.select("token", "rule", "rule_verdict", "regex", "tier", "length")
         hits = tokens.join(index, "token").filter(F.expr("concat(host, path) rlike regex"))
         best = F.max_by(F.struct("rule", "rule_verdict", "tier"), F.struct("tier", "length", "rule"))
-        found = pages.join(hits.groupBy("host", "path").agg(best.alias("best")), ["host", "path"], "left").select("page_id", "host", "path", "best.*")
+        found = some.join(hits.groupBy("host", "path").agg(best.alias("best")), ["host", "path"], "left").select("page_id", "host", "path", "best.*")
+        found = found.unionByName(blank, allowMissingColumns=True)
     return found.select("page_id", "host", "path", "rule", F.col("tier").alias("rule_tier"), F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
 
 

@@ -89,6 +89,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, 2, 80)
 
 
+def test_dropping_near_duplicates_goes_by_rows_not_ids(spark):
+    one, two, three = prose(50, 1), prose(50, 2), prose(50, 3)
+    rows = [(1, one, "a"), (1, two, "b"), (None, one, "c"), (None, three, "d"), (None, three, "d"), (2, two + " tail", "e"), (None, None, "f"), (None, None, "f"), (3, "", "g")]
+    df = awkward(docs(spark, rows)).withColumn("row", F.lit("clash"))
+    got = minhash.drop_near_duplicates(df, k=5, percent=80)
+    assert got.columns == df.columns
+    kept = Counter((r["doc_id"], r["text"], r["source"]) for r in got.collect())
+    assert kept == Counter([(1, one, "a"), (1, two, "b"), (None, three, "d"), (None, None, "f"), (None, None, "f"), (3, "", "g")])
+
+
+def test_near_duplicates_of_a_third_of_all_rows(spark):
+    rows = [(i, prose(40, 999 if i % 3 == 0 else i), "s") for i in range(90)] + [(200 + i, prose(40, 999) + f" end{i}", "s") for i in range(30)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows), k=2).collect()}
+    assert all(got[i] == (0 if i % 3 == 0 or i >= 200 else i) for i in got)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(docs(spark, []), k=2).count() == 0
     assert minhash.near_duplicates(docs(spark, [(1, None, "a"), (2, "", "a")])).filter("component_id = doc_id and kept").count() == 2
@@ -152,6 +168,16 @@ def test_mixed_rows_repeat_documents(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.digest(mixing.place(docs(spark, [(1, None, None)]))).first()["taken"] == 0
 
 
+def test_equal_rows_are_dealt_to_runs(spark, monkeypatch):
+    rows = [(i, prose(8, i), "hot") for i in range(40)] + [(7, prose(8, 7), "hot")] * 60 + [(None, None, None)] * 30
+    want = Counter((r["doc_id"], r["taken"]) for r in mixing.place(docs(spark, rows)).collect())
+    monkeypatch.setattr(mixing, "HEAVY", 10)
+    got = mixing.place(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and sum(r["taken"] for r in got) == sum(t * n for (_, t), n in want.items())
+    starts = sorted(t["position"] for r in got for t in r["takes"])
+    assert len(set(starts)) == len(starts)  # no two of the equal rows stand at one place
+
+
 def test_demand_curve_inverts():
     for knots in mixing.SCHEDULES:
         parts = mixing.Curve(knots).segments()
@@ -263,6 +289,13 @@ def test_quality_rules_equal_brute_force(spark):
     assert {r["doc_id"] for r in quality_rules.keep(df).collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_rules_leave_extra_columns_alone(spark):
+    df = awkward(docs(spark, [(1, prose(40, 1), "s")])).withColumns({c: F.lit("clash") for c in ("_words", "_words_", "_lines", "_row")})
+    judged = quality_rules.apply_rules(df)
+    assert set(df.columns) <= set(judged.columns) and judged.first()["_words"] == judged.first()["_lines"] == "clash"
+    assert quality_rules.keep(df).columns == df.columns and quality_rules.keep(docs(spark, [(1, prose(120_000, 2), "s")])).count() == 1
+
+
 # --- op6 -----------------------------------------------------------------------------------------
 
 
@@ -280,6 +313,22 @@ def test_neighbours_vote_on_held_out_documents(spark):
     assert none["score"] == 0.5 and quality_knn.score(docs(spark, []), labels).count() == 0
 
 
+def test_vote_equals_a_full_sort_of_cosines():
+    texts = [prose(30 + i, i).replace("a", "ä" if i % 2 else "a") + "!?#|"[i % 4] * (i % 7) for i in range(120)] + ["", "one"]
+    x = np.concatenate([f for _, _, f in quality_knn.features(pa.array(texts))])
+    model = quality_knn.fit(x[:80], [i % 3 == 0 for i in range(80)], dimensions=12)
+    got = quality_knn.vote(model, x)
+    for i, row in enumerate(x):
+        if not row.any():
+            assert got[i] == pytest.approx(float(model["labels"].mean()))
+            continue
+        v = (row - model["centre"]) @ model["directions"]
+        cosine = model["vectors"] @ (v / np.linalg.norm(v))
+        near = np.argsort(-cosine, kind="stable")[: quality_knn.NEIGHBOURS]
+        weight = np.maximum(0, cosine[near]).astype(float) ** quality_knn.SHARPNESS + 1e-6
+        assert got[i] == pytest.approx(float((weight * model["labels"][near]).sum() / weight.sum()), abs=1e-4)
+
+
 # --- op7 -----------------------------------------------------------------------------------------
 
 
@@ -310,6 +359,12 @@ def test_url_filters_equal_brute_force(spark):
     assert url_filter.judge(df, rules=()).filter("verdict = 'allow'").count() == len(got) and url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_filters_with_many_blank_and_equal_urls(spark):
+    rows = [(i, None if i % 3 == 0 else "no scheme" if i % 3 == 1 else "http://a.example.org/en/1/" + "x" * (20_000 if i < 9 else 3)) for i in range(300)]
+    got = url_filter.digest(url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"))).collect()
+    assert Counter((r["rule"], r["verdict"]) for r in got) == Counter({(None, "allow"): 200, ("example.org/en/1", "block"): 100})
+
+
 # --- op8 -----------------------------------------------------------------------------------------
 
 
