@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,14 +99,42 @@ def keyword_containment(documents: DataFrame, keywords: DataFrame, id_col: str,
     return index.join(wanted, "token").groupBy(key_col, id_col).agg(F.count("*").alias("hits"))
 
 
-def similar_vectors(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", block: str | None = "label", top_k: int = 20, least: float = 0.7) -> DataFrame:
-    """(query_id, id, similarity, rank): cosine top-k of each query among the vectors of its block."""
-    unit = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), *([F.col(block).alias("block")] if block else [F.lit(0).alias("block")])).withColumn("nv", unit(F.col("v")))
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("q"), *([F.col(block).alias("block")] if block else [F.lit(0).alias("block")])).withColumn("nq", unit(F.col("q")))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    pairs = q.join(v, "block").filter("query_id <> id").withColumn("similarity", F.try_divide(dot, F.col("nq") * F.col("nv")))
-    return top_per_key(pairs.filter(F.col("similarity") >= least), ["query_id"], [F.desc("similarity"), F.asc("id")], top_k).select("query_id", "id", "similarity", "rank")
+def _near(top_k: int, least: float):
+    """Top neighbours of each query of a batch among the vectors of a chunk, by one product of matrices."""
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if queries.num_rows and vectors.num_rows:
+            unit = lambda t: (x := np.stack(t["v"].to_numpy()).astype(np.float64)) / np.maximum(1e-300, np.sqrt((x * x).sum(axis=1, keepdims=True)))
+            ids, names = vectors["id"].to_numpy(), queries["id"].to_numpy()
+            cosine = unit(queries) @ unit(vectors).T
+            for i, row in enumerate(cosine):
+                ok = np.flatnonzero((row >= least) & (ids != names[i]))
+                ok = ok[np.lexsort((ids[ok], -row[ok]))[:top_k]]
+                found.append((np.full(len(ok), names[i]), ids[ok], row[ok]))
+        cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "similarity": pa.array(cols[2], pa.float64())})
+
+    return run
+
+
+def similar_vectors(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", block: str | None = "label", top_k: int = 20, least: float = 0.7, chunk: int = 20_000, batch: int = 1_000) -> DataFrame:
+    """(query_id, id, similarity, rank): exact cosine top-k of each query among the vectors of its block.
+
+    Vectors of a block are dealt to chunks and its queries to batches, so that a
+    block of any size is many tasks; every batch meets every chunk of its block once.
+    Null and empty vectors are left out, and only vectors of one length meet.
+    """
+    own = lambda df: df.filter(F.size(vec_col) > 0).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.struct(*([F.col(block).alias("label")] if block else []), F.size(vec_col).alias("size")).alias("block"))
+    v, q = own(vectors), own(queries)
+    counts = v.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n_chunks")).join(q.groupBy("block").agg(F.ceil(F.count("*") / batch).cast("int").alias("n_batches")), "block")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    v = v.join(counts, "block").select("id", "v", "block", dealt("n_chunks").alias("chunk"), every("n_batches").alias("batch"))
+    q = q.join(counts, "block").select("id", "v", "block", every("n_chunks").alias("chunk"), dealt("n_batches").alias("batch"))
+    keys = ["block", "chunk", "batch"]
+    near = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(_near(top_k, least), "query_id long, id long, similarity double")
+    return top_per_key(near, ["query_id"], [F.desc("similarity"), F.asc("id")], top_k).select("query_id", "id", "similarity", "rank")
 
 
 def fingerprint(*columns: str) -> Column:

@@ -52,43 +52,6 @@ def compare_specs(states: dict[str, Column], has_target: dict[str, Column], feat
     return F.struct(F.round(F.when(total > 0, score / total).otherwise(F.lit(0.0)), 4).alias("score"), listed(matched).alias("matched"), listed(missing).alias("missing"), listed(conflicts).alias("conflicts"))
 
 
-#: Numeric profile fields with tolerance and weight (fixed values).
-PROFILE_FIELDS = (("capacity_l", 0.15, 1.2), ("piece_count", 0.0, 2.5), ("heat_output_btu", 0.10, 2.5), ("canopy_diameter_cm", 0.08, 2.5), ("weight_kg", 0.20, 1.2))
-
-
-def compare_profiles(target: str, other: str, critical: tuple[str, ...] = ()) -> Column:
-    """struct(decision, score, matched, missing, conflicts) of two profile structs with category, relation, subtype and numeric fields.
-
-    A conflict rejects; a critical field that is missing goes to manual review;
-    otherwise 0.80 keeps. Without a candidate profile: manual review with score 0.
-    """
-    t, o = (lambda n: F.col(f"{target}.{n}")), (lambda n: F.col(f"{other}.{n}"))
-    fields = [("category", t("category") == o("category"), 3.0), ("relation", t("relation") == o("relation"), 3.0), ("subtype", F.when(t("subtype") != "generic", t("subtype") == o("subtype")), 2.5)]
-    for name, tolerance, weight in PROFILE_FIELDS:
-        near = F.abs(t(name) - o(name)) / F.greatest(F.abs(t(name)), F.lit(1.0)) <= tolerance
-        fields.append((name, F.when(t(name).isNotNull(), near), weight))
-    score, total, matched, missing, conflicts = F.lit(0.0), F.lit(0.0), [], [], []
-    for name, state, weight in fields:
-        wanted = (t(name).isNotNull() & (F.lit(True) if name != "subtype" else t(name) != "generic")) if name != "relation" else t(name).isNotNull()
-        total = total + F.when(wanted, F.lit(weight)).otherwise(F.lit(0.0))
-        score = score + F.when(state, F.lit(weight)).otherwise(F.lit(0.0))
-        matched.append(F.when(state, F.lit(name)))
-        conflicts.append(F.when(~state, F.lit(name)))
-        missing.append(F.when(wanted & state.isNull(), F.lit(name)))
-    listed = lambda cs: F.array_compact(F.array(*cs))
-    value = F.round(F.when(total > 0, score / total).otherwise(F.lit(0.0)), 4)
-    gap = F.arrays_overlap(listed(missing), F.array(*[F.lit(c) for c in critical])) if critical else F.lit(False)
-    decision = F.when(F.col(other).isNull(), "manual_review").when(F.size(listed(conflicts)) > 0, "reject").when(gap, "manual_review").when(value >= 0.80, "keep").otherwise("manual_review")
-    none = F.array().cast("array<string>")
-    return F.struct(
-        decision.alias("decision"),
-        F.when(F.col(other).isNull(), F.lit(0.0)).otherwise(value).alias("score"),
-        F.when(F.col(other).isNull(), none).otherwise(listed(matched)).alias("matched"),
-        listed(missing).alias("missing"),
-        F.when(F.col(other).isNull(), none).otherwise(listed(conflicts)).alias("conflicts"),
-    )
-
-
 def match_quality(attribute: Column, title: Column, spec: Column, visual: Column, n_conflicts: Column, irrelevant: Column) -> Column:
     """struct(score, decision): heuristics of attributes and title blended with specification and visual evidence; conflicts scale it down; keep above 0.40."""
     h = F.lit(0.40) * F.coalesce(attribute, F.lit(0.45)) + F.lit(0.60) * F.coalesce(title, F.lit(0.45))

@@ -69,29 +69,6 @@ def extract_specs(df: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-#: Outdoor categories by words, in order (fixed values).
-OUTDOOR = (("outdoor_storage", ["deck box", "storage shed", "outdoor storage", "户外储物"]), ("patio_heater", ["patio heater", "outdoor heater", "户外取暖"]), ("patio_umbrellas_shade", ["patio umbrella", "umbrella", "shade sail", "canopy", "遮阳"]), ("patio_furniture_sets", ["patio furniture", "patio set", "conversation set", "bistro set", "户外家具"]))
-
-
-def category_profile(text: Column) -> Column:
-    """struct(category, relation, subtype, capacity_l, piece_count, heat_output_btu, canopy_diameter_cm, weight_kg)."""
-    from ..functions.normalize import weight_kg
-
-    low = F.lower(text)
-    relation = F.when(low.rlike("replacement|spare part|配件|替换"), "replacement").when(low.rlike(r"\bcover\b|accessor|罩"), "accessory").otherwise("full_product")
-    subtype = F.when(low.rlike("pyramid"), "pyramid").when(low.rlike("tabletop"), "tabletop").when(low.rlike("cantilever"), "cantilever").when(low.rlike("deck box"), "deck_box").when(low.rlike(r"\bshed\b"), "shed").otherwise("generic")
-    btu = F.regexp_replace(F.regexp_extract(low, r"(\d[\d,]*)\s*btu", 1), ",", "").try_cast("double")
-    feet = F.regexp_extract(low, r"(\d+(?:\.\d+)?)\s*(?:ft|feet|foot)\b", 1).try_cast("double") * 30.48
-    return F.struct(first_alias(text, OUTDOOR).alias("category"), relation.alias("relation"), subtype.alias("subtype"), (capacity_ml(text) / 1000).alias("capacity_l"), pack_count(text).cast("double").alias("piece_count"), btu.alias("heat_output_btu"), feet.alias("canopy_diameter_cm"), weight_kg(text).alias("weight_kg"))
-
-
-def target_intent(query: str, product: str) -> Column:
-    """Whether a product profile is what a query profile asks for; an unknown query asks for anything."""
-    q, p = (lambda n: F.col(f"{query}.{n}")), (lambda n: F.col(f"{product}.{n}"))
-    ok = (q("category") == p("category")) & (p("relation") == "full_product") & ((q("subtype") == "generic") | (q("subtype") == p("subtype")))
-    return F.when(q("category").isNull(), F.lit(True)).otherwise(F.coalesce(ok, F.lit(False)))
-
-
 def brand_tokens(brand: Column) -> Column:
     """The brand and its words of two letters or more, lower case, longest first."""
     low = F.lower(F.trim(brand))
@@ -253,24 +230,34 @@ def extract_links(df: DataFrame, keys: list[str], html: str, pattern: str) -> Da
     return df.select(*keys, F.posexplode(found).alias("rank", "link"))
 
 
-def extract_reasons(text: Column) -> Column:
-    """``reasons`` of the first flat JSON object in a text that parses and has them."""
-    objects = F.filter(F.regexp_extract_all(text, F.lit(r"(\{[^{}]*\})"), F.lit(1)), lambda o: F.get_json_object(o, "$.reasons").isNotNull())
-    return F.get_json_object(F.get(objects, 0), "$.reasons")
-
-
-def flatten_attributes(value: Column) -> Column:
-    """Attribute lists of a JSON text (two levels) as 'label: value' lines in order."""
-    pairs = F.from_json(value, "array<struct<name:string,value:string>>")
-    return F.array_join(F.transform(pairs, lambda p: F.concat_ws(": ", p["name"], p["value"])), "\n")
+def json_objects(text: Column, depth: int = 3) -> Column:
+    """JSON objects in a text, outermost first, with up to ``depth`` levels of braces inside; braces in quoted strings do not count."""
+    quoted = r'"(?:[^"\\\\]|\\\\.)*+"'.replace("\\\\", "\\")
+    inner = rf'\{{(?:[^{{}}"]|{quoted})*+\}}'
+    for _ in range(depth):
+        inner = rf'\{{(?:[^{{}}"]|{quoted}|{inner})*+\}}'
+    return F.regexp_extract_all(text, F.lit(f"({inner})"), F.lit(1))
 
 
-def evidence_profile(df: DataFrame, texts: list[Column], trusted: list[Column] | None = None, weight_kg: str | None = None, pack: str | None = None) -> DataFrame:
-    """Adds the category profile of a row's evidence texts; untrusted texts are left out, numeric gaps are filled from columns."""
-    kept = texts if trusted is None else [F.when(F.coalesce(ok, F.lit(False)), t) for t, ok in zip(texts, trusted)]
-    out = df.withColumn("profile", category_profile(F.concat_ws(" ", *kept)))
-    if weight_kg:
-        out = out.withColumn("profile", F.col("profile").withField("weight_kg", F.coalesce("profile.weight_kg", F.col(weight_kg))))
-    if pack:
-        out = out.withColumn("profile", F.col("profile").withField("piece_count", F.coalesce("profile.piece_count", F.col(pack).cast("double"))))
-    return out
+def extract_reasons(text: Column) -> Column:
+    """``reasons`` of the first JSON object in a text that parses and has them; objects may be nested."""
+    return F.get_json_object(F.get(F.filter(json_objects(text), lambda o: F.get_json_object(o, "$.reasons").isNotNull()), 0), "$.reasons")
+
+
+#: Names that a label and a value of an attribute go by (fixed values).
+ATTRIBUTE_NAMES = ("attributeName", "attrName", "name", "key", "propertyName")
+ATTRIBUTE_VALUES = ("value", "attributeValue", "attrValue", "propertyValue", "text")
+
+
+def flatten_attributes(value: Column, depth: int = 5) -> Column:
+    """Attributes of a JSON text as 'label: value' lines in order of level: an object with a label and a plain value is one, wherever it stands down to ``depth`` levels."""
+    variant = lambda v, t, p: F.try_variant_get(v, p, t)
+    below = lambda v: F.concat(F.coalesce(variant(v, "array<variant>", "$"), F.array().cast("array<variant>")), F.coalesce(F.map_values(variant(v, "map<string,variant>", "$")), F.array().cast("array<variant>")))
+    first = lambda v, names: F.coalesce(*[F.when(F.schema_of_variant(F.coalesce(variant(v, "variant", f"$.{n}"), v)).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"), variant(v, "string", f"$.{n}")) for n in names])
+    line = lambda v: F.when(first(v, ATTRIBUTE_NAMES).isNotNull() & first(v, ATTRIBUTE_VALUES).isNotNull(), F.concat_ws(": ", first(v, ATTRIBUTE_NAMES), first(v, ATTRIBUTE_VALUES)))
+    level = F.array(F.try_parse_json(value))
+    lines = []
+    for _ in range(depth + 1):
+        lines.append(F.array_compact(F.transform(level, line)))
+        level = F.flatten(F.transform(F.filter(level, lambda v: v.isNotNull()), below))
+    return F.array_join(F.concat(*lines), "\n")

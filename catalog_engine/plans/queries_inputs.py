@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import cost
 from ..functions import normalize as nm
 from ..functions import predicates as pr
-from ..operators import decisions, matching, setops, text
-from ..sources import readers, writers
+from ..operators import matching, profiles, setops, text
+from ..sources import detail, readers, writers
 from ..streaming import events as ev
 from . import fixtures as fx
 from .queries import half_up, query
@@ -272,38 +272,57 @@ def profile_text(side: str):
     c = F.col
     size = c(side + "sz").cast("string")
     what = (
-        F.when(c(side + "t").isin("ECONOMY", "LARGE"), F.concat(F.lit("Patio heater "), size, F.lit(",000 BTU")))
+        F.when(c(side + "t").isin("ECONOMY", "LARGE"), F.concat(F.lit("Pyramid propane patio heater "), size, F.lit(",000 BTU")))
         .when(c(side + "t").isin("MEDIUM", "SMALL"), F.concat(F.lit("Outdoor storage deck box "), size, F.lit(" gallon")))
-        .when(c(side + "t") == "STANDARD", F.concat(F.lit("Cantilever umbrella "), size, F.lit(" ft")))
+        .when(c(side + "t") == "STANDARD", F.concat(size, F.lit(" ft cantilever umbrella")))
         .otherwise(F.lit("Garden gnome"))
     )
     return F.concat(what, F.when(c(side + "n").endswith("ring"), F.lit(" replacement part")).otherwise(F.lit("")), F.lit(" "), c(side + "n"))
 
 
+def profiled(df, **texts):
+    for out, side in texts.items():
+        df = profiles.with_profile(df, profile_text(side), out)
+    return df
+
+
+_MEASURE = "CASE {k} WHEN 'patio_heater' THEN {s} * 1000.0::DOUBLE WHEN 'outdoor_storage' THEN round({s} * 3.785411784::DOUBLE, 2) WHEN 'patio_umbrellas_shade' THEN round({s} * 30.48::DOUBLE, 2) END"
+
+
 @query(
     "compare_profiles",
-    f"WITH {_PAIR}, k AS (SELECT *, {_KIND.format(t='aty')} AS ak, {_KIND.format(t='bty')} AS bk, {_REL.format(n='an')} AS ar, {_REL.format(n='bn')} AS br FROM pair), s AS (SELECT *, CASE WHEN ak = bk THEN abs(asz - bsz) * CASE ak WHEN 'patio_heater' THEN 1000.0 WHEN 'outdoor_storage' THEN 3.785411784 ELSE 30.48 END / greatest(asz * CASE ak WHEN 'patio_heater' THEN 1000.0 WHEN 'outdoor_storage' THEN 3.785411784 ELSE 30.48 END, 1.0) <= CASE ak WHEN 'patio_heater' THEN 0.10 WHEN 'outdoor_storage' THEN 0.15 ELSE 0.08 END END AS near FROM k) "
-    + "SELECT p_partkey, other, CASE WHEN (ak <> bk) IS TRUE OR ar <> br OR near IS FALSE OR ak IN ('outdoor_storage', 'patio_umbrellas_shade') AND bk IS NULL THEN 'reject' WHEN ak IS NULL OR bk IS NOT NULL THEN 'keep' ELSE 'manual_review' END AS decision FROM s",
+    f"WITH {_PAIR}, k AS (SELECT *, {_KIND.format(t='aty')} AS ak, {_KIND.format(t='bty')} AS bk, {_REL.format(n='an')} AS ar, {_REL.format(n='bn')} AS br FROM pair), m AS (SELECT *, {_MEASURE.format(k='ak', s='asz')} AS am, {_MEASURE.format(k='bk', s='bsz')} AS bm FROM k WHERE ak IS NOT NULL), "
+    + "s AS (SELECT *, ak = bk AND abs(am - bm) / greatest(abs(am), 1.0::DOUBLE) <= CASE ak WHEN 'outdoor_storage' THEN 0.12::DOUBLE ELSE 0.10::DOUBLE END AS near FROM m) "
+    + "SELECT p_partkey, other, CASE WHEN bk IS NULL THEN 'manual_review' WHEN ak <> bk OR ar <> br OR NOT near THEN 'reject' ELSE 'keep' END AS decision, CASE WHEN bk IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN ak <> bk THEN 'category' END, CASE WHEN ar <> br THEN 'relation' END], lambda x: x IS NOT NULL), ',') END AS conflicts FROM s",
 )
 def compare_profiles(spark, d):
-    p = pairs(spark, d).select("p_partkey", "other", text.category_profile(profile_text("a")).alias("t"), text.category_profile(profile_text("b")).alias("o"))
-    return p.select("p_partkey", "other", matching.compare_profiles("t", "o", ("heat_output_btu", "capacity_l", "canopy_diameter_cm")).alias("m")).select("p_partkey", "other", "m.decision")
+    p = profiled(pairs(spark, d), t="a", o="b").filter("t is not null").select("p_partkey", "other", profiles.compare("t", "o").alias("m"))
+    kept = F.filter("m.conflicts", lambda x: x.isin("category", "relation"))
+    return p.select("p_partkey", "other", "m.decision", F.array_join(kept, ",").alias("conflicts"))
 
 
-@query("target_intent_match", f"WITH {_PAIR} SELECT p_partkey, other, CASE WHEN {_KIND.format(t='aty')} IS NULL THEN true ELSE coalesce({_KIND.format(t='aty')} = {_KIND.format(t='bty')} AND bn NOT LIKE '%ring', false) END AS hit FROM pair")
+@query("target_intent_match", f"WITH {_PAIR} SELECT p_partkey, other, CASE WHEN {_KIND.format(t='aty')} IS NULL THEN true ELSE coalesce({_KIND.format(t='aty')} = {_KIND.format(t='bty')} AND bn NOT LIKE '%ring' AND NOT (aty = 'STANDARD' AND an LIKE '%ring'), false) END AS hit FROM pair")
 def target_intent_match(spark, d):
-    p = pairs(spark, d).select("p_partkey", "other", text.category_profile(profile_text("a")).alias("q"), text.category_profile(profile_text("b")).alias("p"))
-    return p.select("p_partkey", "other", text.target_intent("q", "p").alias("hit"))
+    return profiled(pairs(spark, d), q="a", p="b").select("p_partkey", "other", profiles.intent("q", "p").alias("hit"))
 
 
 @query(
     "category_profile",
-    f"SELECT p_partkey, {_KIND.format(t='p_type')} AS category, {_REL.format(n='p_name')} AS relation, CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN p_size * 1000.0::DOUBLE END AS heat_output_btu, CASE WHEN p_type IN ('MEDIUM', 'SMALL') THEN p_size * 3785.411784::DOUBLE / 1000 END AS capacity_l, CASE WHEN p_type = 'STANDARD' THEN p_size * 30.48::DOUBLE END AS canopy_diameter_cm FROM part",
+    f"SELECT p_partkey, {_KIND.format(t='p_type')} AS category, CASE WHEN {_KIND.format(t='p_type')} IS NOT NULL THEN {_REL.format(n='p_name')} END AS relation, CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN 'pyramid_heater' WHEN p_type IN ('MEDIUM', 'SMALL') THEN 'deck_box' WHEN p_type = 'STANDARD' THEN CASE WHEN p_name LIKE '%ring' THEN 'replacement_canopy' ELSE 'cantilever_umbrella' END END AS subtype, "
+    + "CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN 'propane' END AS fuel_type, CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN p_size * 1000.0::DOUBLE END AS heat_output_btu, CASE WHEN p_type IN ('MEDIUM', 'SMALL') THEN round(p_size * 3.785411784::DOUBLE, 2) END AS capacity_l, CASE WHEN p_type = 'STANDARD' THEN round(p_size * 30.48::DOUBLE, 2) END AS canopy_diameter_cm FROM part",
 )
 def category_profile(spark, d):
     p = fx.read(spark, d, "part").select("p_partkey", F.col("p_size").alias("xsz"), F.col("p_type").alias("xt"), F.col("p_name").alias("xn"))
-    out = p.select("p_partkey", text.category_profile(profile_text("x")).alias("p"))
-    return out.select("p_partkey", "p.category", "p.relation", "p.heat_output_btu", "p.capacity_l", "p.canopy_diameter_cm")
+    fields = ["category", "relation", "subtype", "fuel_type", "heat_output_btu", "capacity_l", "canopy_diameter_cm"]
+    return profiled(p, p="x").select("p_partkey", *[f"p.{f}" for f in fields])
+
+
+@query("evidence_profile", fx.with_ctes(fx.PRODUCT) + "SELECT asin, CASE WHEN brand < 'Brand#2' THEN 'patio_heater' END AS category, CASE WHEN brand < 'Brand#2' THEN round(weight_kg, 3) END AS weight_kg, CASE WHEN brand < 'Brand#2' THEN round(length_cm, 2) END AS first_side, CASE WHEN brand < 'Brand#2' THEN price * 100 END AS power_w FROM product")
+def evidence_profile(spark, d):
+    p = fx.products(spark, d)
+    power = F.concat((F.col("price") * 100).cast("decimal(18,4)").cast("string"), F.lit(" watts"))
+    out = profiles.evidence_profile(p, [F.col("title"), F.concat(F.lit("patio heater "), power)], [F.lit(True), F.col("brand") < "Brand#2"], F.array("length_cm", "width_cm", "height_cm"), F.col("weight_kg"))
+    return out.select("asin", "profile.category", "profile.weight_kg", F.get("profile.dimensions_cm", 0).alias("first_side"), "profile.power_w")
 
 
 @query("tri_state_matches", f"WITH {_PAIR} SELECT p_partkey, other, CASE WHEN bty <> 'PROMO' THEN ({_REL.format(n='an')} = {_REL.format(n='bn')})::INT::DOUBLE END AS type_match, CASE WHEN bsz > 5 THEN (len(list_intersect(string_split(an, ' '), string_split(bn, ' '))) > 0)::INT::DOUBLE END AS function_match, CASE WHEN s_nationkey % 3 = 0 THEN 1.0 WHEN s_nationkey % 3 = 1 THEN 0.0 END::DOUBLE AS manufacturer_match FROM pair LEFT JOIN supplier ON s_suppkey = asz")
@@ -469,3 +488,82 @@ def candidates_flat(spark, d):
     o = top_per_key(fx.offers(spark, d).select("asin", "offer_id", "supplier", "source_pos"), ["asin"], [F.asc("source_pos")], 10, "offer_rank").drop("source_pos")
     nested = writers.nested_candidates(fx.products(spark, d).select("asin", "title"), o).filter("suppliers is not null")
     return writers.flat_candidates(nested).select("asin", "title", "top_offer_id", "top_supplier", F.col("n_suppliers").cast("long").alias("n_suppliers"))
+
+
+# --- product and offer pages made of parts and lines ---------------------------------------------
+
+
+def product_pages(spark, d):
+    c = F.col
+    row = lambda label, value: F.concat(F.lit(f"<tr><th class='k'> {label} </th><td> "), value, F.lit(" </td></tr>"))
+    s, small = c("p_size").cast("string"), c("p_size") < 10
+    price = c("p_retailprice").cast("decimal(18,2)").cast("string")
+    html = F.concat(
+        F.lit('<html><span id="productTitle" class="big"> '), c("p_name"), F.lit(" &amp; more </span><a id=\"bylineInfo\">Visit the "), c("p_brand"), F.lit("</a>"),
+        F.when(small, F.lit("")).otherwise(F.concat(F.lit('<span class="a-price"><span class="a-offscreen">List: $9</span><span class="a-offscreen">$'), price, F.lit("</span></span>"))),
+        F.lit('<i id="acrPopover" title="4.'), (c("p_size") % 10).cast("string"), F.lit(' out of 5 stars"></i><span id="acrCustomerReviewText">1,'), F.lpad(s, 3, "0"), F.lit(" ratings</span><table>"),
+        row("Best Sellers Rank", F.concat(F.lit("#"), (c("p_partkey") + 1).cast("string"), F.lit(" in Tools"))), row("Item Weight", F.concat(s, F.when(c("p_type") == "SMALL", " ounces").otherwise(" pounds"))),
+        row("Product Dimensions", F.concat(s, F.lit(" x 7 x 3 "), F.when(c("p_type") == "LARGE", "cm").otherwise("inches"))), row("Material", c("p_type")), row("Number of Items", s),
+        F.lit('</table><div id="merchant-info">Ships from Acme Sold by '), c("p_brand"), F.lit('.</div><ul id="feature-bullets"><li> one </li><li>'), c("p_name"), F.lit('</li></ul><img id="landingImage" src="https://img.example/'), c("p_partkey").cast("string"), F.lit('.jpg"></html>'),
+    )
+    return fx.read(spark, d, "part").select("p_partkey", html.alias("html"))
+
+
+_PAGE = {
+    "title": "p_name || ' & more'", "brand": "p_brand", "rating": "'4.' || p_size % 10", "review_count": "(1000 + p_size)::VARCHAR", "bsr": "(p_partkey + 1)::VARCHAR", "material": "p_type", "package_quantity": "p_size::VARCHAR",
+    "seller": "p_brand", "fulfillment": "'Acme'", "bullet_points": "'[\"one\",\"' || p_name || '\"]'", "main_image": "'https://img.example/' || p_partkey || '.jpg'",
+}
+_PAGE_NUMBERS = {"price": "CASE WHEN p_size >= 10 THEN round(p_retailprice, 2) END", "weight_kg": "round(p_size * CASE WHEN p_type = 'SMALL' THEN 0.0283495 ELSE 0.453592 END::DOUBLE, 6)"}
+
+
+@query("product_page_evidence", "SELECT p_partkey, unnest([" + ", ".join(f"'{k}'" for k in _PAGE) + "]) AS field_name, unnest([" + ", ".join(_PAGE.values()) + "]) AS value, 'extracted' AS status FROM part UNION ALL SELECT p_partkey, unnest(['coupon', 'seller_count', 'a_plus', 'description']), NULL, 'missing' FROM part")
+def product_page_evidence(spark, d):
+    e = detail.product_evidence(product_pages(spark, d), "p_partkey").filter(F.col("field_name").isin(*_PAGE, "coupon", "seller_count", "a_plus", "description"))
+    return e.select(F.col("entity_ref").alias("p_partkey"), "field_name", "value", "status")
+
+
+@query("product_page_numbers", "SELECT p_partkey, " + ", ".join(f"{v} AS {k}" for k, v in _PAGE_NUMBERS.items()) + ", round(greatest(p_size, 7) * CASE WHEN p_type = 'LARGE' THEN 1.0 ELSE 2.54 END::DOUBLE, 6) AS longest FROM part")
+def product_page_numbers(spark, d):
+    f = detail.product_fields(F.col("html"))
+    longest = F.round(F.get(F.from_json(f["product_dimensions"], "array<double>"), 0), 6)
+    return product_pages(spark, d).select("p_partkey", F.round(f["price"], 2).alias("price"), F.round(f["weight_kg"], 6).alias("weight_kg"), longest.alias("longest"))
+
+
+@query(
+    "offer_detail",
+    "WITH o AS (SELECT l_orderkey, min(l_quantity)::INT AS moq, count(*)::INT AS days, list(struct_pack(q := l_quantity, p := l_extendedprice)) AS x, max(l_returnflag) AS flag, max(l_suppkey) AS years FROM lineitem GROUP BY l_orderkey) "
+    + "SELECT l_orderkey, moq, days AS delivery_days, len(x) AS n_tiers, list_min(list_transform(list_filter(x, lambda t: t.q = list_min(list_transform(x, lambda u: u.q))), lambda t: t.p)) AS base_price_cny, CASE flag WHEN 'R' THEN 'factory' WHEN 'N' THEN 'trader' END AS supplier_type, CASE flag WHEN 'R' THEN true WHEN 'N' THEN false END AS factory, years::INT AS supplier_years, 'cn ' || moq AS origin, CASE WHEN years > 50 THEN 'glass' ELSE '' END AS risks FROM o",
+)
+def offer_detail(spark, d):
+    c = F.col
+    tier = F.struct(c("l_quantity").alias("beginAmount"), c("l_extendedprice").alias("price"))
+    by = fx.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_quantity").cast("int").alias("moq"), F.count("*").alias("days"), F.collect_list(tier).alias("x"), F.max("l_returnflag").alias("flag"), F.max("l_suppkey").alias("years"))
+    kind = F.when(c("flag") == "R", "factory").when(c("flag") == "N", "trader")
+    rich = F.to_json(F.struct(F.struct(c("x").alias("priceTiers"), F.struct(kind.alias("companyType"), c("years").alias("companyYears")).alias("company")).alias("data"), F.array(F.struct(F.lit("产地").alias("attrName"), F.concat(F.lit("cn "), c("moq").cast("string")).alias("attrValue"))).alias("attributes")))
+    html = F.concat(F.lit('<script>var a = {"moq": 1};</script><p>'), c("moq").cast("string"), F.lit("件起 "), c("days").cast("string"), F.lit(" 天"), F.when(c("years") > 50, " glass").otherwise(""), F.lit("</p><script>window.data = "), rich, F.lit(";</script>"))
+    o = detail.offer_evidence(by.select("l_orderkey", html.alias("html")), "l_orderkey")
+    return o.select("l_orderkey", "moq", "delivery_days", F.size("price_tiers").cast("long").alias("n_tiers"), "base_price_cny", "supplier_type", "factory", "supplier_years", "origin", F.array_join("risk_flags", ",").alias("risks"))
+
+
+# --- exports -------------------------------------------------------------------------------------
+
+
+@query("keyword_export_rows", "SELECT event_id, lower(event_type) || ' ' || user_id AS keyword, CASE WHEN event_type <> 'error' THEN floor(value * 100)::DOUBLE END AS search_volume, CASE WHEN event_type = 'error' THEN floor(value) * 1000 END AS search_volume_lower_bound, value AS purchase_rate, user_id::DOUBLE AS organic_rank, user_id * 3600.0::DOUBLE AS duration_seconds FROM events")
+def keyword_export_rows(spark, d):
+    c = F.col
+    e = events(spark, d).select(
+        "event_id", F.concat(F.lit(" "), F.upper("event_type"), F.lit("  "), c("user_id").cast("string")).alias("关键词"), F.when(c("event_type") == "error", F.concat(F.floor("value").cast("string"), F.lit("K+"))).otherwise(F.format_number(F.floor(c("value") * 100), 0)).alias("月搜索量"),
+        F.concat(c("value").cast("string"), F.lit("%")).alias("Conversion_Rate"), c("user_id").cast("string").alias("natural-rank"), F.concat(c("user_id").cast("string"), F.lit(" hours")).alias("时长"),
+    )
+    return readers.keyword_rows(e).select("event_id", "keyword", "search_volume", "search_volume_lower_bound", "purchase_rate", "organic_rank", "duration_seconds")
+
+
+@query("competitor_export_rows", fx.with_ctes(fx.COMPETITOR) + "SELECT asin, coalesce(CASE WHEN seller_product_count IS NOT NULL THEN seller END, brand) AS seller, brand, price, rating, review_count::DOUBLE AS review_count, launch_date::VARCHAR AS launch_date, monthly_sales * 1000 AS monthly_sales, seller_product_count::DOUBLE AS seller_product_count FROM competitor")
+def competitor_export_rows(spark, d):
+    c, s = F.col, lambda x: F.col(x).cast("string")
+    k = fx.competitors(spark, d).select(
+        F.lower("asin").alias("商品ASIN"), F.when(c("seller_product_count").isNotNull(), c("seller")).otherwise(F.lit("N/A")).alias("店铺名称"), c("brand").alias("Brand Name"), F.concat(F.lit("$"), s("price")).alias("avg_price"), s("rating").alias("评分"),
+        F.format_number("review_count", 0).alias("Review Count"), F.date_format("launch_date", "yyyy/M/d").alias("上架时间"), F.concat(s("monthly_sales"), F.lit("k")).alias("月销量"), s("seller_product_count").alias("products"),
+    )
+    out = readers.competitor_rows(k)
+    return out.select("asin", "seller", "brand", "price", "rating", "review_count", out["launch_date"].cast("string").alias("launch_date"), "monthly_sales", "seller_product_count")

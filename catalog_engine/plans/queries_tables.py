@@ -46,10 +46,10 @@ def dedupe_records(spark, d):
     return windows.dedupe_records(s, fields=()).select("asin", "kept")
 
 
-@query("review_fallback", fx.with_ctes(*PIPELINE) + ", none AS (SELECT category FROM scored GROUP BY category HAVING NOT coalesce(bool_or(passed), false)) SELECT category, asin, rank FROM (SELECT category, asin, row_number() OVER (PARTITION BY category ORDER BY total_score DESC NULLS LAST, coalesce(net_profit, 0) DESC, bsr_rank) AS rank FROM scored SEMI JOIN none USING (category) WHERE n_offers > 0 AND (total_score IS NOT NULL AND net_profit IS NOT NULL OR rejection <> '')) WHERE rank <= 5")
+@query("review_fallback", fx.with_ctes(*PIPELINE) + ", none AS (SELECT brand, title FROM scored GROUP BY brand, title HAVING NOT coalesce(bool_or(passed), false)) SELECT brand, title, asin, rank FROM (SELECT brand, title, asin, row_number() OVER (PARTITION BY brand, title ORDER BY total_score DESC NULLS LAST, coalesce(net_profit, 0) DESC, bsr_rank) AS rank FROM scored SEMI JOIN none USING (brand, title) WHERE n_offers > 0 AND (total_score IS NOT NULL AND net_profit IS NOT NULL OR rejection <> '')) WHERE rank <= 5")
 def review_fallback(spark, d):
     s = scored(spark, d).withColumn("source_pos", F.col("bsr_rank"))
-    return windows.review_fallback(s, ["category"]).select("category", "asin", F.col("rank").cast("long").alias("rank"))
+    return windows.review_fallback(s, ["brand", "title"]).select("brand", "title", "asin", F.col("rank").cast("long").alias("rank"))
 
 
 @query("top_candidates", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

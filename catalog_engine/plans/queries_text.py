@@ -176,11 +176,6 @@ def read_event_props(spark, d):
     return events(spark, d).select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"))
 
 
-@query("offer_detail", "SELECT page_id, CASE WHEN regexp_matches(lower(html), 'captcha') THEN 'CAPTCHA' END AS block_code, sha256(html) AS provenance FROM pages")
-def offer_detail(spark, d):
-    return readers.offer_detail(fx.read(spark, d, "pages")).select("page_id", "block_code", "provenance")
-
-
 @query("extract_links", "SELECT page_id, (generate_subscripts(l, 1) - 1)::INT AS rank, unnest(l) AS link FROM (SELECT page_id, list_distinct(x) AS u, list_filter(x, lambda e, i: list_position(x, e) = i) AS l FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"/([^\"]*)\"', 1) AS x FROM pages))")
 def extract_links(spark, d):
     return text.extract_links(fx.read(spark, d, "pages"), ["page_id"], "html", '<a href="/([^"]*)"')
@@ -267,15 +262,8 @@ def imported_offer_match(spark, d):
     return joins.keyword_containment(fx.read(spark, d, "documents"), words, "doc_id", "text", "keyword", "word")
 
 
-@query("similar_offers", "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS sim FROM q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s WHERE sim >= 0.7) SELECT query_id, id, round(sim, 9) AS similarity, rank FROM r WHERE rank <= 20")
+@query("similar_offers", "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS sim FROM q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s WHERE sim >= 0.2) SELECT query_id, id, round(sim, 9) AS similarity, rank FROM r WHERE rank <= 20")
 def similar_offers(spark, d):
     v = fx.read(spark, d, "embeddings")
-    s = joins.similar_vectors(v, v.filter("vec_id % 50 = 0"))
+    s = joins.similar_vectors(v, v.filter("vec_id % 50 = 0"), least=0.2)
     return s.select("query_id", "id", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("long").alias("rank"))
-
-
-@query("evidence_profile", fx.with_ctes(fx.PRODUCT) + "SELECT asin, CASE WHEN p_partkey % 2 = 0 THEN 'patio_heater' END AS category, weight_kg FROM product")
-def evidence_profile(spark, d):
-    p = fx.products(spark, d)
-    out = text.evidence_profile(p, [F.col("title"), F.lit("patio heater")], [F.lit(True), F.col("p_partkey") % 2 == 0], weight_kg="weight_kg")
-    return out.select("asin", "profile.category", "profile.weight_kg")

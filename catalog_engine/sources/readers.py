@@ -161,19 +161,3 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     seen = F.lit(observed).cast("timestamp")
     found = F.col("value").isNotNull()
     return out.withColumns({"status": F.when(found, "extracted").otherwise("missing"), "confidence": F.when(found, 0.9).otherwise(0.0), "observed_at": seen, "expires_at": seen + F.expr("interval 1 day")})
-
-
-def offer_detail(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Offer fields of JSON islands in script tags, the richest island first, with text fallbacks; blocked pages carry a code."""
-    from ..functions.predicates import page_block_code
-
-    h = F.coalesce(F.col(html_col), F.lit(""))
-    islands = F.filter(F.transform(F.regexp_extract_all(h, F.lit(r"(?s)<script[^>]*>[^{<]*(\{.*?\})\s*;?\s*</script>"), F.lit(1)), lambda s: F.try_parse_json(s)), lambda v: v.isNotNull())
-    names = {"moq": ("int", ("$.moq", "$.data.moq")), "delivery_days": ("int", ("$.deliveryDays", "$.data.deliveryDays")), "base_price_cny": ("double", ("$.price", "$.data.price")), "product_type": ("string", ("$.productType", "$.data.productType"))}
-    score = lambda v: sum((F.when(_first(v, t, *ps).isNotNull(), 1).otherwise(0) for t, ps in names.values()), F.lit(0))
-    ranked = F.transform(islands, lambda v: F.struct((-score(v)).alias("rank"), F.to_json(v).alias("json")))
-    best = F.try_parse_json(F.get(F.array_sort(ranked), 0)["json"])
-    out = pages.select(F.col(id_col), F.col(html_col), best.alias("_best"), page_block_code(h).alias("block_code"))
-    text = {"moq": F.regexp_extract(F.col(html_col), r"(\d+)\s*(?:件|pcs)\s*起", 1).try_cast("int"), "delivery_days": F.regexp_extract(F.col(html_col), r"(\d+)\s*(?:天|days)", 1).try_cast("int")}
-    cols = {n: F.coalesce(_first(F.col("_best"), t, *ps), text[n]) if n in text else _first(F.col("_best"), t, *ps) for n, (t, ps) in names.items()}
-    return out.withColumns(cols).withColumn("provenance", F.sha2(F.coalesce(F.col(html_col), F.lit("")), 256)).drop(html_col, "_best")

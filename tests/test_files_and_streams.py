@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from catalog_engine.sources import readers, writers
+from catalog_engine.sources import detail, readers, writers
 from catalog_engine.streaming import events as ev
 
 SF = "/root/testdata/sf0.001/events.parquet"
@@ -70,7 +70,7 @@ def test_shortlist_writes_both_parts(spark, tmp_path):
 
 def test_offer_detail_islands(spark):
     html = '<script>var x = {"moq": 5};</script><script>{"moq": 7, "price": 2.5, "deliveryDays": 3};</script> 9 pcs 起'
-    rows = readers.offer_detail(spark.createDataFrame([(1, html), (2, "please log in"), (3, None)], "page_id int, html string")).orderBy("page_id").collect()
+    rows = detail.offer_evidence(spark.createDataFrame([(1, html), (2, "please log in"), (3, None)], "page_id int, html string")).orderBy("page_id").collect()
     assert (rows[0]["moq"], rows[0]["base_price_cny"], rows[0]["delivery_days"]) == (7, 2.5, 3)
     assert rows[1]["block_code"] == "AUTH_REQUIRED" and rows[2]["moq"] is None
 
