@@ -22,25 +22,33 @@ def share(condition: Column) -> Column:
     return F.coalesce(F.try_divide(F.count_if(condition).cast("double"), F.count("*").cast("double")), F.lit(0.0))
 
 
-def supply_features(offers: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per product: what its offers that have both a price and an MOQ show; n_priced and n_with_moq count over real offers."""
-    price = F.coalesce(positive(F.col("base_price_cny")), positive(F.get("price_tiers", 0)["price_cny"]))
-    real = offers.filter(~F.coalesce(F.col("source") == "mock", F.lit(False))).withColumns({"_price": price, "_moq": positive(F.col("moq"))})
-    ok = F.col("_price").isNotNull() & F.col("_moq").isNotNull()
+def supply_columns() -> dict[str, Column]:
+    """Aggregates of a product's offers: what those that have both a price and an MOQ show; n_priced and n_with_moq count over real offers. Without real offers all are null."""
+    real = ~F.coalesce(F.col("source") == "mock", F.lit(False))
+    price = F.when(real, F.coalesce(positive(F.col("base_price_cny")), positive(F.get("price_tiers", 0)["price_cny"])))
+    moq = F.when(real, positive(F.col("moq")))
+    ok = price.isNotNull() & moq.isNotNull()
     only = lambda c: F.when(ok, c)
-    return real.groupBy(*(keys or ["asin"])).agg(
-        F.count_if(ok).alias("n_offers"),
-        F.count("_price").alias("n_priced"),
-        F.count("_moq").alias("n_with_moq"),
-        exact_avg(only(F.col("repeat_buyer_rate"))).alias("avg_repeat"),
-        F.min(only(F.col("moq"))).alias("min_moq"),
-        F.min(only(F.col("delivery_days"))).alias("min_days"),
-        F.min(only(positive(F.col("base_price_cny")))).alias("min_price"),
-        exact_avg(only(F.col("match_quality_score"))).alias("avg_match"),
-        F.coalesce(F.bool_or(only(F.col("fba_ready"))), F.lit(False)).alias("any_fba"),
-        exact_avg(only(F.when(F.col("is_factory"), F.lit(1.0)).when(~F.col("is_factory"), F.lit(0.45)))).alias("factory_score"),
-        exact_avg(only(F.col("monthly_sales"))).alias("avg_sales"),
-    )
+    out = {
+        "n_offers": F.count_if(ok),
+        "n_priced": F.count(price),
+        "n_with_moq": F.count(moq),
+        "avg_repeat": exact_avg(only(F.col("repeat_buyer_rate"))),
+        "min_moq": F.min(only(F.col("moq"))),
+        "min_days": F.min(only(F.col("delivery_days"))),
+        "min_price": F.min(only(positive(F.col("base_price_cny")))),
+        "avg_match": exact_avg(only(F.col("match_quality_score"))),
+        "any_fba": F.coalesce(F.bool_or(only(F.col("fba_ready"))), F.lit(False)),
+        "factory_score": exact_avg(only(F.when(F.col("is_factory"), F.lit(1.0)).when(~F.col("is_factory"), F.lit(0.45)))),
+        "avg_sales": exact_avg(only(F.col("monthly_sales"))),
+    }
+    return {k: F.when(F.count_if(real) > 0, v) for k, v in out.items()}
+
+
+def supply_features(offers: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``supply_columns`` of each product that has real offers."""
+    found = offers.groupBy(*(keys or ["asin"])).agg(*[v.alias(k) for k, v in supply_columns().items()])
+    return found.filter("n_offers is not null")
 
 
 def seller_aggregate(rows: DataFrame, by: str = "monthly_revenue", niche: list[str] | None = None, pos: str = "source_pos") -> DataFrame:

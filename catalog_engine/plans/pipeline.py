@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cost, scores, supplier
-from ..operators.aggregates import supply_features
-from ..operators.windows import dedupe_offers, first_per_key, rank_candidates, rank_offers
+from ..operators.aggregates import supply_columns
+from ..operators.windows import rank_candidates, rank_offers
 from ..rules import COST, SCORE, CostRules, ScoreRules
 
 
@@ -31,13 +31,22 @@ def priced_offers(products: DataFrame, offers: DataFrame, r: CostRules = COST) -
 
 def score_products(products: DataFrame, offers: DataFrame, market: DataFrame, cost_rules: CostRules = COST, r: ScoreRules = SCORE) -> DataFrame:
     """One row per product that has offers: best offer's profit, six scores, total, passed and reasons."""
-    ranked = dedupe_offers(priced_offers(products, offers, cost_rules), ["asin"])
-    best = first_per_key(ranked, ["asin"], [F.col("net_profit").isNull().asc(), F.asc("offer_rank")])
-    top = ranked.groupBy("asin").agg(
-        F.min_by("match_quality_score", "offer_rank").alias("top_match"), F.min_by("rank_score", "offer_rank").alias("top_candidate"), F.count("*").alias("supplier_count"), F.min("moq").alias("best_moq")
+    # one grouping of the priced pairs gives the best offer, the top offer's scores and the supply features
+    pairs = priced_offers(products, offers, cost_rules)
+    nth = F.row_number().over(Window.partitionBy("asin", F.trim("offer_id")).orderBy("offer_rank"))
+    pairs = pairs.withColumn("_first", nth == 1)
+    kept = lambda c: F.when(F.col("_first"), c)
+    own = ["title", "brand", "category", "price", "bsr_rank", "length_cm", "width_cm", "height_cm", "weight_kg", "net_profit", "profit_margin", "missing_fields"]
+    best = F.min_by(F.struct(*own, F.col("offer_id").alias("best_offer_id")), kept(F.struct(F.col("net_profit").isNull(), "offer_rank")))
+    out = pairs.groupBy("asin").agg(
+        best.alias("_best"),
+        F.min_by("match_quality_score", kept(F.col("offer_rank"))).alias("top_match"),
+        F.min_by("rank_score", kept(F.col("offer_rank"))).alias("top_candidate"),
+        F.count_if("_first").alias("supplier_count"),
+        F.min(kept(F.col("moq"))).alias("best_moq"),
+        *[v.alias(k) for k, v in supply_columns().items()],
     )
-    out = best.select("asin", "title", "brand", "category", "price", "bsr_rank", "length_cm", "width_cm", "height_cm", "weight_kg", "net_profit", "profit_margin", "missing_fields", F.col("offer_id").alias("best_offer_id"))
-    out = out.join(top, "asin").join(supply_features(offers), "asin", "left").join(market, "asin", "left")
+    out = out.select("asin", "_best.*", *[n for n in out.columns if n not in ("asin", "_best")]).join(market, "asin", "left")
     c = F.col
     dims = {
         "profit": scores.score_profit(c("profit_margin"), r),
