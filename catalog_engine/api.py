@@ -6,11 +6,14 @@ import math
 
 from pyspark.sql import SparkSession
 
+from .operators.text import CATEGORY_NAMES, RELATION_NAMES, TYPE_QUALIFIERS
 from .plans import fixtures
 from .rules import COST, SCORE
 
 _K = math.log(19) / (SCORE.profit_ceiling - SCORE.profit_target)
 
+_TOTAL = "100D * (" + " + ".join(f"{w}D * {n}" for n, w in SCORE.weights) + ")"
+
 #: Name, parameters, result type and body of each function.
 FUNCTIONS = (
     ("positive_number", "x DOUBLE", "DOUBLE", "CASE WHEN x > 0 AND NOT isnan(x) AND x < double('Infinity') THEN x END"),
@@ -25,14 +28,31 @@ FUNCTIONS = (
     ("score_profit", "margin DOUBLE", "DOUBLE", f"CASE WHEN margin <= {SCORE.profit_floor} THEN 0D WHEN margin >= {SCORE.profit_ceiling} THEN 1D ELSE 1D / (1D + exp(-{_K}D * (margin - {SCORE.profit_target}D))) END"),
     ("supplier_profit_score", "margin DOUBLE", "DOUBLE", "CASE WHEN margin <= 0 THEN 0D WHEN margin >= 0.40 THEN 1D ELSE round(margin / 0.40D, 4) END"),
     ("retry_backoff", "attempt INT", "DOUBLE", "least(2D * pow(2D, attempt - 1), 60D)"),
+    ("total_score", ", ".join(f"{n} DOUBLE" for n, _ in SCORE.weights), "DOUBLE", _TOTAL),
     ("validate_asin", "s STRING", "STRING", "CASE WHEN upper(trim(s)) RLIKE '^[A-Z0-9]{10}$' THEN upper(trim(s)) END"),
 )
 
 
+def _query_plan_table() -> str:
+    """SQL of the table function query_plan_udtf: raw wording of each query type from a product's names, for lateral joins."""
+    named = lambda column, names, default: f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE {default} END"
+    around = lambda t: f"concat_ws(' ', generic_name, generic_name, '{TYPE_QUALIFIERS[t]}')"
+    category = named("category", CATEGORY_NAMES, "coalesce(nullif(trim(category), ''), '工业品')")
+    texts = {
+        "generic_name": "concat_ws(' ', generic_name, '通用产品')", "supply_chain_name": "concat_ws(' ', supply_name, '供应链')", **{t: around(t) for t in ("function", "material", "structure", "use_case", "specification")},
+        "package_quantity": "concat_ws(' ', CASE WHEN package_quantity > 0 THEN concat(package_quantity, '件装') ELSE '包装批发' END, generic_name)",
+        "replacement_consumable": f"concat_ws(' ', {named('relation', RELATION_NAMES, repr('通用产品'))}, supply_name)", "debranded_description": "concat_ws(' ', generic_name, '产品描述')",
+        "factory_synonym": "concat_ws(' ', supply_name, '生产厂家')", "alibaba_category": f"concat_ws(' ', '1688', {category}, supply_name)",
+    }
+    rows = ", ".join(f"named_struct('n', {i}, 'query_type', '{t}', 'text', {texts[t]})" for i, t in enumerate(TYPE_QUALIFIERS))
+    return f"CREATE OR REPLACE TEMPORARY FUNCTION query_plan_udtf(generic_name STRING, supply_name STRING, relation STRING, category STRING, package_quantity INT) RETURNS TABLE(n INT, query_type STRING, text STRING) RETURN SELECT inline(array({rows}))"
+
+
 def register(spark: SparkSession, sf_dir: str | None = None) -> None:
     """Creates the SQL functions, and the domain views if a folder of tables is given."""
     for name, parameters, result, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
+    spark.sql(_query_plan_table())
     if sf_dir:
         for name in ("products", "offers", "competitors", "market"):
             getattr(fixtures, name)(spark, sf_dir).createOrReplaceTempView(name)

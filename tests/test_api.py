@@ -6,6 +6,7 @@ import pytest
 
 from catalog_engine import api
 from catalog_engine.functions import cost, scores
+from catalog_engine.operators import text
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +22,17 @@ def test_sql_functions(spark):
     assert tuple(r) == (4.0, 60.0, "B000000001")
 
 
+def test_query_plan_as_a_table_function(spark):
+    api.register(spark)
+    df = spark.createDataFrame([("red bolt", "螺栓件", "replacement", "patio_heater", 4), ("gear", "齿轮件", None, None, None)], "generic_name string, supply_name string, relation string, category string, package_quantity int")
+    df.createOrReplaceTempView("named")
+    got = spark.sql("SELECT p.n, p.query_type, p.text FROM named, LATERAL query_plan_udtf(generic_name, supply_name, relation, category, package_quantity) p").collect()
+    texts = text.query_texts(df.columns)
+    want = {(i, t, r[t].strip()) for r in df.select(*[texts[t].alias(t) for t in text.QUERY_TYPES]).collect() for i, t in enumerate(text.QUERY_TYPES)}
+    assert {tuple(r) for r in got} == want and len(got) == 24
+    assert spark.sql("SELECT total_score(0.5D, 1D, 0D, 0.2D, 1D, 1D) AS s").first()["s"] == pytest.approx(100 * (0.1 + 0.25 + 0.03 + 0.1 + 0.1))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_views(spark):
     api.register(spark, SF)
