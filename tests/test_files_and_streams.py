@@ -128,3 +128,64 @@ def test_stale_runs_are_reported_by_timer(spark, tmp_path):
     got = drained(spark, ev.stale_stream(ev.read_events(spark, src), 600, "1 minute"), "stale", "append")
     found = {(r["user_id"], r["attempt"], r["status"]) for r in got.collect()}
     assert (1, 1, "retry_wait") in found and (2, 1, "retry_wait") in found
+
+
+@pytestmark_stream
+def test_ttl_stream_keeps_the_newest_row_of_each_stretch(spark, event_dir):
+    got = drained(spark, ev.ttl_stream(ev.read_events(spark, event_dir), ["user_id"], "2 days", "1 minute"), "ttl", "append")
+    rows = spark.read.parquet(event_dir).orderBy("user_id", "ts", "event_id").collect()
+    want, last, n = {}, None, 0
+    for r in rows:
+        n = n + 1 if last and last["user_id"] == r["user_id"] and (r["ts"] - last["ts"]).total_seconds() < 2 * 86400 else 1
+        want[r["user_id"], r["ts"]] = n
+        if n > 1:
+            del want[last["user_id"], last["ts"]]
+        last = r
+    found = {(r["user_id"], r["ts"]): r["writes"] for r in got.collect()}
+    assert found and set(found.items()) <= set(want.items())  # stretches still open at the end are not given out
+
+
+@pytestmark_stream
+def test_queue_and_scores_are_kept_once_per_batch(spark, event_dir, tmp_path):
+    out = str(tmp_path / "queue")
+    ev.upsert_queue(ev.read_events(spark, event_dir), out, ["user_id"], str(tmp_path / "ck1")).awaitTermination(120)
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "queue" / "queue").iterdir() if "=" in p.name)
+    got = spark.read.parquet(f"{out}/queue/version={last}")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, ev.manual_queue(spark.read.parquet(event_dir), ["user_id"]).select(*got.columns).collect()), key=str)
+    handle = ev.append_once(str(tmp_path / "scores"), lambda df: df.selectExpr("event_id", "value * 2 AS score"))
+    batch = spark.read.parquet(event_dir)
+    handle(batch, 0)
+    handle(batch, 0)  # a batch that comes again
+    assert spark.read.parquet(str(tmp_path / "scores")).count() == batch.count()
+
+
+def test_positions_follow_the_file_however_it_is_split(spark, tmp_path):
+    with open(tmp_path / "long.csv", "w") as f:
+        f.write("keyword,searches\n" + "".join(f"word {i},{i}\n" for i in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        rows = readers.keyword_rows(readers.read_export(spark, str(tmp_path)))
+        assert rows.rdd.getNumPartitions() > 3
+        assert [r["search_volume"] for r in rows.orderBy("source_pos").select("search_volume").collect()] == list(range(20_000))
+        assert rows.select("source_pos").distinct().count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_error_classes(spark):
+    from catalog_engine.functions import predicates as pr
+
+    rows = [("", "ValueError", "unknown author", "permanent"), ("", "ValueError", "generated file", "permanent"), ("login_required", "X", "", "human_required"), ("", "TimeoutError", "", "timed_out"), ("http_429", "X", "", "retryable"), ("", "ConnectionResetError", "", "retryable")]
+    rows += [("", "CancellationRequested", "captcha", "cancelled"), ("", "FileNotFoundError", "", "permanent"), (None, None, "Rate limit hit", "retryable"), ("", "OSError", "captcha shown", "human_required"), (None, None, None, "permanent")]
+    df = spark.createDataFrame(rows, "c string, k string, m string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", pr.error_class(F.col("c"), F.col("k"), F.col("m")).alias("got")).collect())
+
+
+def test_product_page_fields(spark):
+    html = '<div id="feature-bullets"><ul><li><span>A &amp; b</span></li><li> </li></ul></div><div id="merchant-info">Sold by Acme Ltd and Fulfilled by Big Co</div><div id="altImages"><img src="http://x/1.jpg"><img src="data:1"></div><th>Item Weight</th><td>1.5 kilograms</td>'
+    e = {r["field_name"]: r for r in detail.product_evidence(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).filter("entity_ref = 1").collect()}
+    assert len(e) == 25 and e["bullet_points"]["value"] == '["A & b"]' and e["seller"]["value"] == "Acme Ltd" and e["secondary_images"]["value"] == '["http://x/1.jpg"]'
+    assert e["weight_kg"]["value"] == "1.5" and e["title"]["status"] == "missing" and e["title"]["expires_at"] is None
+    own = detail.product_evidence(spark.createDataFrame([(1, "x")], "page_id int, html string"), parser=lambda h: {"whole": h}).first()
+    assert own["field_name"] == "whole" and own["value"] == "x"
