@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, html_extract, lm_mixing, minhash, mixing, quality_knn, quality_rules, secrets, sharding, url_filter
+from . import chat_format, decontam, html_extract, lm_mixing, minhash, mixing, quality_knn, quality_rules, secrets, sharding, spelling, url_filter, whitening
 from .session import table
 
 
@@ -53,6 +54,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    (conv_id, _, *pair), (_, _, second, text) = chat_format.PLANTED
+    planted = spark.range(2).select(F.lit(conv_id).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, pair[0]).otherwise(second).alias("role"), F.lit(text).alias("text"))
+    return chat_format.digest(chat_format.format_chats(chats.union(planted)))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.group_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_curriculum_mixing": op2_curriculum_mixing,
@@ -64,10 +81,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_sharding": op10_sharding,
+    "op11_chat_format": op11_chat_format,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_duplicates": minhash.ORACLE_SQL,
     "op2_curriculum_mixing": mixing.ORACLE_SQL,
     "op5_quality_rules": quality_rules.oracle_sql(),
     "op7_url_filters": url_filter.ORACLE_SQL,
+    "op11_chat_format": chat_format.oracle_sql(),
 }
