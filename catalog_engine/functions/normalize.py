@@ -103,11 +103,12 @@ def price_usd(c: Column, jpy: float = 0.0067) -> Column:
     return F.when(t.rlike(r"^\s*(?:list|was|rrp)\b"), F.lit(None).cast("double")).when(marked, number * jpy).otherwise(F.coalesce(split, compact, bare, number))
 
 
-def weight_kg(c: Column) -> Column:
+def weight_kg(c: Column, pound: float = 0.45359237, ounce: float = 0.028349523125) -> Column:
+    """First weight in kilograms; the factors may be those that a source rounds to."""
     t = F.lower(c)
     pattern = r"(\d+(?:\.\d+)?)\s*(kilograms?|kg|pounds?|lbs?|ounces?|oz|grams?|g)\b"
     v, u = F.regexp_extract(t, pattern, 1).try_cast("double"), F.regexp_extract(t, pattern, 2)
-    return F.when(u.rlike("^k"), v).when(u.rlike("^(p|l)"), v * 0.45359237).when(u.rlike("^o"), v * 0.028349523125).when(u.rlike("^g"), v / 1000)
+    return F.when(u.rlike("^k"), v).when(u.rlike("^(p|l)"), v * pound).when(u.rlike("^o"), v * ounce).when(u.rlike("^g"), v / 1000)
 
 
 def dimensions_cm(c: Column) -> Column:

@@ -7,68 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import COLOURS, MATERIALS
-
-#: Product categories by words, in order of precedence (fixed values).
-SPEC_CATEGORIES = (("storage", ["storage box", "deck box", "shed", "cabinet", "收纳", "储物"]), ("heater", ["patio heater", "heater", "取暖"]), ("umbrella", ["umbrella", "shade sail", "canopy", "遮阳", "伞"]), ("furniture", ["table", "chair", "sofa", "桌", "椅"]), ("tool", ["bolt", "gear", "anvil", "widget", "gizmo", "ring", "plate"]))
-FEATURES = ("waterproof", "foldable", "portable", "adjustable", "rechargeable", "wireless", "heavy duty", "lockable")
-RISKS = ("battery", "liquid", "magnet", "glass", "blade", "pesticide")
-ML = {"ml": 1.0, "l": 1000.0, "liter": 1000.0, "litre": 1000.0, "gal": 3785.411784, "gallon": 3785.411784, "oz": 29.5735295625, "升": 1000.0, "毫升": 1.0}
-
-
-def alias_match(text: Column, alias: str) -> Column:
-    """Whether the alias stands in the text: digits between non-digits, Latin words between non-alphanumerics, other scripts anywhere."""
-    low, word = F.lower(text), alias.lower()
-    if word.isdigit():
-        return low.rlike(rf"(?<![0-9]){word}(?![0-9])")
-    if re.fullmatch(r"[a-z0-9 .&'-]+", word):
-        return low.rlike(rf"(?<![a-z0-9]){re.escape(word)}(?![a-z0-9])")
-    return F.contains(low, F.lit(word))
-
-
-def first_alias(text: Column, table) -> Column:
-    out = F.lit(None).cast("string")
-    for name, words in reversed(list(table)):
-        hit = alias_match(text, name) if name.isascii() else F.lit(False)
-        for w in words:
-            hit = hit | alias_match(text, w)
-        out = F.when(hit, F.lit(name)).otherwise(out)
-    return out
-
-
-def capacity_ml(text: Column, strict: bool = True) -> Column:
-    """First capacity in millilitres; strict wants a border after the unit, so that 12 lbs is no volume."""
-    low = F.lower(text)
-    border = "(?![a-z])" if strict else ""
-    pattern = rf"(\d+(?:\.\d+)?)\s*(ml|l|liter|litre|gallon|gal|升|毫升){border}"
-    v, u = F.regexp_extract(low, pattern, 1).try_cast("double"), F.regexp_extract(low, pattern, 2)
-    scale = F.lit(None).cast("double")
-    for unit, factor in ML.items():
-        scale = F.when(u == unit, F.lit(factor)).otherwise(scale)
-    return v * scale
-
-
-def pack_count(text: Column) -> Column:
-    low = F.lower(text)
-    v = F.coalesce(*[F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in (r"(?:pack|set) of (\d+)", r"(\d+)\s*[- ]?(?:pack|pcs|pieces|count|件套|只装|个装)")])
-    return v.try_cast("int")
-
-
-def extract_specs(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds a spec struct of category, material, colour, dimensions, weight, capacity, pack count, features and risk flags."""
-    from ..functions.normalize import dimensions_cm, weight_kg
-
-    t = F.col(text_col)
-    listed = lambda words: F.array_compact(F.array(*[F.when(alias_match(t, w), F.lit(w)) for w in words]))
-    return df.withColumn(
-        "spec",
-        F.struct(
-            first_alias(t, SPEC_CATEGORIES).alias("category"), first_alias(t, MATERIALS.items()).alias("material"), first_alias(t, COLOURS.items()).alias("color"), dimensions_cm(t).alias("dimensions_cm"),
-            (weight_kg(t) * 1000).alias("weight_g"), capacity_ml(t).alias("capacity_ml"), pack_count(t).alias("pack_count"), listed(FEATURES).alias("features"), listed(RISKS).alias("risk_flags"),
-        ),
-    )
-
-
 def brand_tokens(brand: Column) -> Column:
     """The brand and its words of two letters or more, lower case, longest first."""
     low = F.lower(F.trim(brand))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import cost, scores, supplier
 from ..operators import aggregates, joins, research, windows
 from ..rules import COST, SCORE
+from ..sources.buckets import work_dir
+from ..streaming import scoring
 from . import fixtures as fx
 from . import pipeline
 
@@ -140,6 +142,20 @@ def candidate_pipeline(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("continuous_scoring", fx.with_ctes(*PIPELINE) + "SELECT asin, best_offer_id, " + half_up("total_score", 4) + " AS total_score, passed FROM scored")
+def continuous_scoring(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches and one that comes again: old prices and half of the offers, the other offers, the right prices."""
+    products, offers, path = fx.products(spark, d), fx.offers(spark, d), work_dir(spark, "scores")
+    market = fx.market(spark, d).withColumn("asin", F.concat(F.lit("B0"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"))).drop("p_partkey")
+    corrected = F.col("p_partkey") % 3 == 0
+    old = products.withColumns({"price": F.when(corrected, F.col("price") * 2).otherwise(F.col("price"))})
+    even = F.col("source_pos") % 2 == 0
+    batches = [(old, offers.filter(even)), (products.limit(0), offers.filter(~even)), (products.filter(corrected), offers.limit(0))]
+    for n in (0, 1, 2, 2):
+        scoring.score_batch(*batches[n], market, path, n, buckets=8)
+    return scoring.current_scores(spark, path).select("asin", "best_offer_id", r6("total_score", 4).alias("total_score"), "passed")
+
+
 @query("profit_breakdown", fx.with_ctes(*OFFERS) + "SELECT asin, offer_id, " + ", ".join(f"{half_up(c, 6)} AS {c}" for c in ("purchase_cost", "total_cost", "net_profit", "profit_margin")) + ", " + half_up("shipping_cost", 6) + " AS shipping_cost, fba_fee FROM priced WHERE total_cost IS NOT NULL")
 def profit_breakdown(spark: SparkSession, d: str) -> DataFrame:
     p = pipeline.priced_offers(fx.products(spark, d), fx.offers(spark, d)).filter(F.size("missing_fields") == 0)

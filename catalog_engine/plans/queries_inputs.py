@@ -362,7 +362,10 @@ def normalize_price_tiers(spark, d):
     return by.select("l_partkey", "l_suppkey", F.size(q).cast("long").alias("n_tiers"), F.array_min(q).alias("first_qty"), F.array_max(q).alias("last_qty"), F.get(best, 0)["p"].alias("first_price"))
 
 
-@query("factory_flag", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'factory|manufacturer|工厂|厂家') THEN true WHEN regexp_matches(lower(text), 'trading company|trader|贸易') THEN false END AS flag FROM (SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' Werk Manufacturer' WHEN lang = 'fr' THEN text || ' 贸易' ELSE text END AS text FROM documents)")
+_SAYS = lambda words: f"regexp_matches(lower(text), '{'|'.join(words)}')"
+
+
+@query("factory_flag", f"SELECT doc_id, CASE WHEN {_SAYS(pr.FACTORY_WORDS)} THEN true WHEN {_SAYS(pr.TRADER_WORDS)} THEN false END AS flag FROM (SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' Werk Manufacturer' WHEN lang = 'fr' THEN text || ' 贸易' ELSE text END AS text FROM documents)")
 def factory_flag(spark, d):
     said = F.when(F.col("lang") == "de", F.concat("text", F.lit(" Werk Manufacturer"))).when(F.col("lang") == "fr", F.concat("text", F.lit(" 贸易"))).otherwise(F.col("text"))
     return fx.read(spark, d, "documents").select("doc_id", pr.factory_flag(said).alias("flag"))
@@ -426,10 +429,14 @@ def manual_queue_upsert(spark, d):
     return q.select("user_id", "reason", "attempts", F.unix_millis("created_at").alias("created_at"), F.array_join("keywords", ",").alias("keywords"))
 
 
-@query("attempt_stats", "SELECT o_orderpriority, count(*) AS n_attempts, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_failed, round(quantile_cont(s, 0.5), 2) AS p50, round(quantile_cont(s, 0.95), 2) AS p95, max(s) AS longest FROM (SELECT o_orderpriority, o_orderstatus, o_totalprice / 100 AS s FROM orders) GROUP BY o_orderpriority")
+@query("attempt_stats", "SELECT o_orderpriority, count(*) AS n_attempts, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_failed, max(o_totalprice / 100) AS longest, true AS p50_holds, true AS p95_holds FROM orders GROUP BY o_orderpriority")
 def attempt_stats(spark, d):
-    o = fx.read(spark, d, "orders").select("o_orderpriority", F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") / 100).alias("seconds"))
-    return ev.attempt_stats(o, ["o_orderpriority"]).withColumns({c: F.round(c, 2) for c in ("p50", "p95")})
+    """Sketches by month, merged over the months; each percentile's true rank must be within three times the sketch's rank error."""
+    o = fx.read(spark, d, "orders").select("o_orderpriority", F.month("o_orderdate").alias("month"), F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") / 100).alias("seconds"))
+    stats = ev.attempt_stats(ev.merge_attempts(ev.attempt_sketches(o, ["o_orderpriority", "month"]), ["o_orderpriority"]), ["o_orderpriority"])
+    ranks = o.join(F.broadcast(stats), "o_orderpriority").groupBy("o_orderpriority", "n_attempts", "n_failed", "longest").agg(*[F.avg((F.col("seconds") <= F.col(c)).cast("int")).alias(c) for c in ("p50", "p95")])
+    near = lambda c, q: F.abs(F.col(c) - q) <= 3 * ev.RANK_ERROR
+    return ranks.select("o_orderpriority", "n_attempts", "n_failed", "longest", near("p50", 0.5).alias("p50_holds"), near("p95", 0.95).alias("p95_holds"))
 
 
 # --- query plans ---------------------------------------------------------------------------------
@@ -531,18 +538,32 @@ def product_page_numbers(spark, d):
 
 @query(
     "offer_detail",
-    "WITH o AS (SELECT l_orderkey, min(l_quantity)::INT AS moq, count(*)::INT AS days, list(struct_pack(q := l_quantity, p := l_extendedprice)) AS x, max(l_returnflag) AS flag, max(l_suppkey) AS years FROM lineitem GROUP BY l_orderkey) "
-    + "SELECT l_orderkey, moq, days AS delivery_days, len(x) AS n_tiers, list_min(list_transform(list_filter(x, lambda t: t.q = list_min(list_transform(x, lambda u: u.q))), lambda t: t.p)) AS base_price_cny, CASE flag WHEN 'R' THEN 'factory' WHEN 'N' THEN 'trader' END AS supplier_type, CASE flag WHEN 'R' THEN true WHEN 'N' THEN false END AS factory, years::INT AS supplier_years, 'cn ' || moq AS origin, CASE WHEN years > 50 THEN 'glass' ELSE '' END AS risks FROM o",
+    "WITH o AS (SELECT l_orderkey, min(l_quantity)::INT AS moq, count(*)::INT AS days, list(struct_pack(q := l_quantity, p := l_extendedprice)) AS x, max(l_returnflag) AS flag, max(l_suppkey) AS years FROM lineitem GROUP BY l_orderkey), "
+    # of equal quantities the last tier counts, and tiers are listed by quantity and price
+    + "t AS (SELECT l_orderkey, count(*) AS n, min(p) AS p FROM (SELECT l_orderkey, l_quantity AS q, max(l_extendedprice) AS p FROM lineitem GROUP BY ALL) GROUP BY l_orderkey) "
+    + "SELECT l_orderkey, moq, days AS delivery_days, n AS n_tiers, p AS base_price_cny, CASE flag WHEN 'R' THEN 'factory' WHEN 'N' THEN 'trading' END AS supplier_type, CASE flag WHEN 'R' THEN true WHEN 'N' THEN false END AS factory, years::INT AS supplier_years, 'cn ' || moq AS origin, "
+    + "CASE WHEN years > 50 THEN 'magnet,patent_claim' ELSE '' END AS risks, CASE WHEN moq % 2 = 0 THEN '不锈钢' ELSE '硅胶' END AS material, moq || '.0x5.0x7.0cm' AS sides, NULL AS error_code FROM o JOIN t USING (l_orderkey) WHERE l_orderkey % 5 > 1 "
+    + "UNION ALL SELECT l_orderkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '', NULL, NULL, CASE l_orderkey % 5 WHEN 0 THEN 'OFFER_ID_MISMATCH' ELSE 'CAPTCHA' END FROM o WHERE l_orderkey % 5 <= 1",
 )
 def offer_detail(spark, d):
+    """An offer page per order: a poor object, a rich one, and visible text that fills what the object lacks; some pages show another offer, and some a captcha."""
     c = F.col
     tier = F.struct(c("l_quantity").alias("beginAmount"), c("l_extendedprice").alias("price"))
-    by = fx.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_quantity").cast("int").alias("moq"), F.count("*").alias("days"), F.collect_list(tier).alias("x"), F.max("l_returnflag").alias("flag"), F.max("l_suppkey").alias("years"))
-    kind = F.when(c("flag") == "R", "factory").when(c("flag") == "N", "trader")
-    rich = F.to_json(F.struct(F.struct(c("x").alias("priceTiers"), F.struct(kind.alias("companyType"), c("years").alias("companyYears")).alias("company")).alias("data"), F.array(F.struct(F.lit("产地").alias("attrName"), F.concat(F.lit("cn "), c("moq").cast("string")).alias("attrValue"))).alias("attributes")))
-    html = F.concat(F.lit('<script>var a = {"moq": 1};</script><p>'), c("moq").cast("string"), F.lit("件起 "), c("days").cast("string"), F.lit(" 天"), F.when(c("years") > 50, " glass").otherwise(""), F.lit("</p><script>window.data = "), rich, F.lit(";</script>"))
-    o = detail.offer_evidence(by.select("l_orderkey", html.alias("html")), "l_orderkey")
-    return o.select("l_orderkey", "moq", "delivery_days", F.size("price_tiers").cast("long").alias("n_tiers"), "base_price_cny", "supplier_type", "factory", "supplier_years", "origin", F.array_join("risk_flags", ",").alias("risks"))
+    by = fx.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_quantity").cast("int").alias("moq"), F.count("*").alias("days"), F.array_sort(F.collect_list(tier)).alias("x"), F.max("l_returnflag").alias("flag"), F.max("l_suppkey").alias("years"))
+    kind = F.when(c("flag") == "R", "factory").when(c("flag") == "N", "trading")
+    key = F.concat(F.lit("88"), F.lpad(c("l_orderkey").cast("string"), 9, "0"))
+    shown = F.when(c("l_orderkey") % 5 == 0, F.concat(F.lit("9"), key)).otherwise(key)
+    rich = F.to_json(F.struct(shown.alias("offerId"), F.struct(c("x").alias("priceTiers"), F.struct(kind.alias("companyType"), c("years").alias("companyYears")).alias("company")).alias("data"), F.array(F.struct(F.lit("产地").alias("attrName"), F.concat(F.lit("cn "), c("moq").cast("string")).alias("attrValue"))).alias("attributes")))
+    html = F.concat(
+        F.lit('<script>var a = {"moq": 1};</script><p>包装尺寸 '), c("moq").cast("string"), F.lit("*5*7cm 材质 "), F.when(c("moq") % 2 == 0, "304不锈钢").otherwise("硅胶"), F.lit(" 交期 "), c("days").cast("string"), F.lit("天"),
+        F.when(c("years") > 50, " magnet 外观专利").otherwise(""), F.when(c("l_orderkey") % 5 == 1, " 验证码").otherwise(""), F.lit("</p><script>window.data = "), rich, F.lit(";</script>"),
+    )
+    o = detail.offer_evidence(by.select("l_orderkey", html.alias("html"), key.alias("wanted")), "l_orderkey", expected_col="wanted")
+    return o.select(
+        "l_orderkey", "moq", "delivery_days", F.size("price_tiers").cast("long").alias("n_tiers"), "base_price_cny", "supplier_type", c("is_factory").alias("factory"), "supplier_years", "origin",
+        F.array_join(F.coalesce("risk_flags", F.array().cast("array<string>")), ",").alias("risks"), "material", c("product_dimensions_cm").alias("sides"), "error_code",
+    ).withColumn("n_tiers", F.when(c("error_code").isNull(), c("n_tiers")))
+
 
 
 # --- exports -------------------------------------------------------------------------------------

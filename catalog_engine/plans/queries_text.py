@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as nm
 from ..functions import predicates as pr
 from ..functions import supplier
-from ..operators import joins, matching, setops, text
+from ..operators import joins, matching, setops, specs, text
 from ..sources import readers, writers
 from . import fixtures as fx
 from .queries import half_up, query
@@ -20,22 +20,6 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return fx.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-# --- cells: text forms of numbers, durations and dates made from events ------------------------
-
-CELL_SQL = """cell AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '$' || (event_id * 7)::VARCHAR || '.5' WHEN 1 THEN '(' || (event_id % 50)::VARCHAR || ')' WHEN 2 THEN (event_id % 90 + 1)::VARCHAR || 'K+'
-  WHEN 3 THEN ' ' || (event_id % 100)::VARCHAR || '.25% ' WHEN 4 THEN 'N/A' ELSE (event_id % 9 + 1)::VARCHAR || ',' || lpad((event_id % 1000)::VARCHAR, 3, '0') END AS cell FROM events)"""
-
-
-def cells(spark: SparkSession, d: str) -> DataFrame:
-    i, s = F.col("event_id"), lambda c: c.cast("string")
-    k = i % 6
-    cell = (
-        F.when(k == 0, F.concat(F.lit("$"), s(i * 7), F.lit(".5"))).when(k == 1, F.concat(F.lit("("), s(i % 50), F.lit(")"))).when(k == 2, F.concat(s(i % 90 + 1), F.lit("K+")))
-        .when(k == 3, F.concat(F.lit(" "), s(i % 100), F.lit(".25% "))).when(k == 4, F.lit("N/A")).otherwise(F.concat(s(i % 9 + 1), F.lit(","), F.lpad(s(i % 1000), 3, "0")))
-    )
-    return events(spark, d).select("event_id", cell.alias("cell"))
-
-
 @query("normalize_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
 def normalize_date(spark, d):
     k = F.col("o_orderkey") % 4
@@ -163,9 +147,15 @@ def visual_check_eligible(spark, d):
     return fx.offers(spark, d).filter(pr.visual_check_eligible(F.col("fba_ready"), F.col("match_quality_score"), F.col("delivery_days") / 60, conflicts)).select("asin", "offer_id")
 
 
-@query("search_page_kind", "SELECT page_id, CASE WHEN regexp_matches(lower(html), 'captcha|robot check|enter the characters') THEN 'captcha' WHEN regexp_matches(lower(html), 'no results for|did not match any') THEN 'no_results' WHEN lower(html) LIKE '%<article%' OR lower(html) LIKE '%data-asin=%' THEN 'results_detected' ELSE 'unexpected' END AS kind, CASE WHEN regexp_matches(lower(html), 'captcha') THEN 'CAPTCHA' END AS block_code FROM pages")
+_KIND = "CASE WHEN regexp_matches(lower(html), 'captcha|robot check|enter the characters') THEN 'captcha' WHEN regexp_matches(lower(html), 'no results for|did not match any') THEN 'no_results' WHEN lower(html) LIKE '%<article%' OR lower(html) LIKE '%data-asin=%' THEN 'results_detected' ELSE 'unexpected' END"
+_BLOCKED = "CASE " + " ".join(f"WHEN regexp_matches(lower(html), '{'|'.join(words)}') THEN '{code}'" for code, words in pr.BLOCK_WORDS.items()) + " END"
+
+
+@query("search_page_kind", f"SELECT page_id, {_KIND} AS kind, {_BLOCKED} AS block_code FROM (SELECT page_id, html || CASE page_id % 7 WHEN 0 THEN ' Sign In' WHEN 1 THEN ' 滑块' WHEN 2 THEN ' Rate Limit' ELSE '' END AS html FROM pages)")
 def search_page_kind(spark, d):
-    return fx.read(spark, d, "pages").select("page_id", pr.search_page_kind(F.col("html")).alias("kind"), pr.page_block_code(F.col("html")).alias("block_code"))
+    k = F.col("page_id") % 7
+    html = F.concat("html", F.when(k == 0, " Sign In").when(k == 1, " 滑块").when(k == 2, " Rate Limit").otherwise(""))
+    return fx.read(spark, d, "pages").select("page_id", pr.search_page_kind(html).alias("kind"), pr.page_block_code(html).alias("block_code"))
 
 
 # --- sources and sinks ---------------------------------------------------------------------------
@@ -215,11 +205,28 @@ def import_manifest(spark, d):
 # --- text to features ----------------------------------------------------------------------------
 
 
-@query("extract_specs", "SELECT p_partkey, CASE WHEN p_name NOT LIKE '%rod' THEN 'tool' END AS category, 'steel' AS material, CASE split_part(p_name, ' ', 1) WHEN 'red' THEN 'red' WHEN 'blue' THEN 'blue' WHEN 'green' THEN 'green' END AS color, p_size * 1000::DOUBLE AS capacity_ml, p_size AS pack_count FROM part")
+_GOODS = {"STANDARD": ("water bottle", "保温杯", "capacity_ml"), "SMALL": ("ant bait", "灭蚁用品", None), "ECONOMY": ("yoga mat", "瑜伽垫", None), "MEDIUM": ("deck box", "户外储物", None)}
+_pick = lambda i: "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in _GOODS.items()) + " END"
+
+
+@query(
+    "extract_specs",
+    f"SELECT p_partkey, {_pick(1)} AS category, CASE p_size % 3 WHEN 0 THEN '不锈钢' WHEN 1 THEN '塑料' ELSE '木' END AS material, CASE split_part(p_name, ' ', 1) WHEN 'red' THEN '红色' WHEN 'blue' THEN '蓝色' WHEN 'green' THEN '绿色' END AS color, "
+    + half_up("CASE p_size % 2 WHEN 0 THEN p_size * 29.5735::DOUBLE ELSE p_size * 1000::DOUBLE END", 1)
+    + " AS capacity_ml, CASE p_size % 4 WHEN 0 THEN 3 ELSE p_size END AS pack_count, "
+    + half_up("CASE p_size % 2 WHEN 0 THEN p_size * 28.3495::DOUBLE END", 1)
+    + " AS weight_g, "
+    + half_up("p_size * 2.54::DOUBLE", 2)
+    + " AS first_side, CASE WHEN p_size > 25 THEN '防水,可上锁' ELSE '' END AS features FROM part",
+)
 def extract_specs(spark, d):
-    s = F.col("p_size").cast("string")
-    p = fx.read(spark, d, "part").withColumn("t", F.concat("p_name", F.lit(" stainless steel "), s, F.lit(" L, pack of "), s))
-    return text.extract_specs(p, "t").select("p_partkey", "spec.category", "spec.material", "spec.color", "spec.capacity_ml", "spec.pack_count")
+    c, s = F.col, F.col("p_size").cast("string")
+    goods = F.coalesce(*[F.when(c("p_type") == k, F.lit(v[0])) for k, v in _GOODS.items()], F.lit("thing"))
+    made = F.when(c("p_size") % 3 == 0, "304").when(c("p_size") % 3 == 1, "PP").otherwise("teak")
+    held = F.when(c("p_size") % 2 == 0, F.concat(s, F.lit("oz"))).otherwise(F.concat(s, F.lit(" L")))
+    pack = F.when(c("p_size") % 4 == 0, F.lit("三件套")).otherwise(F.concat(F.lit("pack of "), s))
+    p = fx.read(spark, d, "part").withColumn("t", F.concat_ws(", ", "p_name", goods, made, held, pack, F.concat(s, F.lit(" x 4 x 5 inches")), F.when(c("p_size") > 25, F.lit("Waterproof lockable"))))
+    return specs.extract_specs(p, "t").select("p_partkey", *[f"spec.{n}" for n in ("category", "material", "color", "capacity_ml", "pack_count", "weight_g")], F.get("spec.dimensions_cm", F.lit(0)).alias("first_side"), F.array_join("spec.features", ",").alias("features"))
 
 
 @query("remove_brand_terms", "SELECT p_partkey, p_name || ' kit' AS clean, true AS had_brand FROM part")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import BUCKETS, append_new, replace_scopes
+
 
 def nested_candidates(products: DataFrame, offers: DataFrame, most: int = 10) -> DataFrame:
     """One record per candidate with its first offers by rank."""
@@ -41,16 +43,9 @@ def new_rows(rows: DataFrame, existing: DataFrame, key: str = "result_key") -> D
     return rows.dropDuplicates([key]).join(existing.select(key).distinct(), key, "left_anti")
 
 
-def append_snapshot(rows: DataFrame, path: str, key: str = "result_key") -> None:
-    """Append that can be repeated: rows already there are skipped."""
-    spark = rows.sparkSession
-    try:
-        existing = spark.read.parquet(path)
-    except Exception as e:  # a table that does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        existing = rows.limit(0)
-    new_rows(rows, existing, key).write.mode("append").parquet(path)
+def append_snapshot(rows: DataFrame, path: str, key: str = "result_key", buckets: int = BUCKETS) -> DataFrame:
+    """Append that can be repeated: rows already there are skipped. The table lies in hash buckets of the key, and only those that the rows fall into are read. Gives back the plan of the rows appended."""
+    return append_new(rows, path, key, buckets)
 
 
 def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], keep_old_when_empty: tuple[str, ...] = ()) -> DataFrame:
@@ -81,6 +76,11 @@ def replace_scope(existing: DataFrame, rows: DataFrame, keys: list[str]) -> Data
     return existing.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
 
 
+def write_scope(rows: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """``replace_scope`` on a table in hash buckets of the scope: only the touched buckets are read and overwritten."""
+    return replace_scopes(rows, path, keys, buckets)
+
+
 def manifest_verify(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Per set, whether every listed file is there with its size and hash. files: path, content."""
     have = files.select("path", F.length("content").cast("long").alias("have_size"), F.sha2(F.col("content").cast("binary"), 256).alias("have_sha256"))

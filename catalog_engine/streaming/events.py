@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.buckets import BUCKETS, merge
+
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 #: Legal status changes of an execution node; a status never follows itself (fixed values).
 TRANSITIONS = {
@@ -118,20 +120,69 @@ def ttl_state(events: DataFrame, keys: list[str], ttl_seconds: int, as_of: str)
     return latest.filter(age.between(0, ttl_seconds)).select(*keys, "row.*")
 
 
-def ttl_stream(events: DataFrame, keys: list[str], ttl: str, lateness: str = "10 minutes") -> DataFrame:
-    """Newest row of each key in stretches that no pause longer than the time to live ends; Spark drops a key's state when its last row has expired."""
-    source = events.withWatermark("ts", lateness)
-    out = source.groupBy(*keys, F.session_window("ts", ttl)).agg(F.max_by(F.struct("event_type", "value", "ts"), F.struct("ts", "event_id")).alias("row"), F.count("*").alias("writes"))
-    return out.select(*keys, "row.*", F.col("session_window.end").alias("expires_at"), "writes")
+class NewestProcessor(StatefulProcessor):
+    """Keeps the newest row of a key in state that expires a time after its last write, and gives out each new newest row. A row that is older than the kept one changes nothing while that one lives."""
+
+    def __init__(self, keys: list[str], ttl_ms: int):
+        self.keys, self.ttl_ms = keys, ttl_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "us long, event_id long, event_type string, value double", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept = self.newest.get() if self.newest.exists() else None
+        best = kept
+        for f in rows:
+            r = f.sort_values(["us", "event_id"]).iloc[-1]
+            row = (int(r["us"]), int(r["event_id"]), r["event_type"], None if pd.isna(r["value"]) else float(r["value"]))
+            if best is None or row[:2] > tuple(best[:2]):
+                best = row
+        if best is not kept:
+            self.newest.update(best)
+            yield pd.DataFrame([(*key, *best)], columns=[*self.keys, "us", "event_id", "event_type", "value"]).astype({"event_type": object, "value": float})
+
+    def close(self) -> None:
+        pass
 
-def attempt_stats(attempts: DataFrame, by: list[str]) -> DataFrame:
-    """Attempts, failures and duration percentiles; columns status and seconds."""
+
+def ttl_stream(events: DataFrame, keys: list[str], ttl_seconds: int) -> DataFrame:
+    """Newest row of each key as it changes, in update mode. Spark drops a key's state once the time to live has passed since its last write; ``live_rows`` reads what is alive. Such a query asks for empty batches to drop state in; with spark.sql.streaming.noDataMicroBatches.enabled off it can end with its input."""
+    types = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
+    source = events.select(*keys, "event_id", "event_type", "value", F.unix_micros("ts").alias("us"))
+    out = source.groupBy(*keys).transformWithStateInPandas(NewestProcessor(keys, ttl_seconds * 1000), f"{types}, us long, event_id long, event_type string, value double", "update", "processingTime")
+    return out.withColumn("ts", F.timestamp_micros("us")).drop("us")
+
+
+def live_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a ``ttl_stream`` holds: the newest row of each key with the time at which it ends, those that have ended left out."""
+    state = spark.read.format("statestore").option("stateVarName", "newest").load(checkpoint)
+    row, ends = F.col("value.value"), F.timestamp_millis("value.ttlExpirationMs")
+    return state.select("key.*", F.timestamp_micros(row["us"]).alias("ts"), row["event_id"].alias("event_id"), row["event_type"].alias("event_type"), row["value"].alias("value"), ends.alias("expires_at")).filter(F.col("expires_at") > F.current_timestamp())
+
+
+#: Compactors of a quantile sketch hold this many values each; the rank error of KLL at this size is below 1.4 % with 99 % confidence.
+SKETCH_K, RANK_ERROR = 200, 0.014
+
+
+def attempt_sketches(attempts: DataFrame, by: list[str]) -> DataFrame:
+    """Attempts, failures, longest and a quantile sketch of the durations of each group: columns status and seconds. Rows of parts or windows merge by ``merge_attempts``."""
     return attempts.groupBy(*by).agg(
-        F.count("*").alias("n_attempts"), F.count_if(F.col("status") == "F").alias("n_failed"), F.percentile("seconds", F.lit(0.5)).alias("p50"), F.percentile("seconds", F.lit(0.95)).alias("p95"), F.max("seconds").alias("longest")
+        F.count("*").alias("n_attempts"), F.count_if(F.col("status") == "F").alias("n_failed"), F.max("seconds").alias("longest"), F.kll_sketch_agg_double(F.col("seconds").cast("double"), SKETCH_K).alias("sketch")
     )
 
 
+def merge_attempts(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """The sketches of fewer, larger groups."""
+    return sketches.groupBy(*by).agg(F.sum("n_attempts").alias("n_attempts"), F.sum("n_failed").alias("n_failed"), F.max("longest").alias("longest"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+
+
+def attempt_stats(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Counts and duration percentiles out of sketches; a group without durations has none."""
+    filled = F.kll_sketch_get_n_double("sketch") > 0
+    at = lambda q: F.when(filled, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+    return sketches.select(*by, "n_attempts", "n_failed", at(0.5).alias("p50"), at(0.95).alias("p95"), "longest")
+
+
 def illegal_transitions(events: DataFrame, run: list[str], status: str = "status", allowed: dict[str, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
     """Consecutive statuses of a run that may not follow each other; an unknown status may follow or precede none."""
     w = Window.partitionBy(*run).orderBy("ts", "event_id")
@@ -143,24 +194,61 @@ def illegal_transitions(events: DataFrame, run: list[str], status: str = "status
     return pairs.filter(~F.coalesce(legal, F.lit(False))).select(*run, "event_id", "before", F.col(status).alias("after"))
 
 
+_ORDER = "struct<ts: timestamp, event_id: long>"
+
+
+def queue_parts(requests: DataFrame, key: list[str], most_keywords: int = 8) -> DataFrame:
+    """One mergeable row per key: first time, latest reason and its place, attempts, and the keywords with the place of their last mention.
+
+    Requests are counted by key and keyword first, and only the latest keywords of a
+    key are collected, so a key of any number of requests is a few rows.
+    """
+    place = F.struct("ts", "event_id")
+    said = requests.groupBy(*key, "event_type").agg(F.min("ts").alias("created_at"), F.max(place).cast(_ORDER).alias("last"), F.count("*").alias("attempts"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("last")))
+    words = said.withColumn("nth", nth).filter(F.col("nth") <= most_keywords).groupBy(*key).agg(F.collect_list(F.struct("last", "event_type")).alias("words"))
+    whole = said.groupBy(*key).agg(F.min("created_at").alias("created_at"), F.max_by("event_type", "last").alias("reason"), F.max("last").alias("last"), F.sum("attempts").alias("attempts"))
+    return whole.join(words, key)
+
+
+def join_queues(parts: DataFrame, key: list[str], most_keywords: int = 8, *more: Column) -> DataFrame:
+    """Mergeable rows of the same keys into one each."""
+    latest = F.transform(F.array_sort(F.flatten(F.collect_list("words"))), lambda w: F.struct(w["last"].alias("last"), w["event_type"].alias("event_type")))
+    merged = parts.groupBy(*key).agg(F.min("created_at").alias("created_at"), F.max_by("reason", "last").alias("reason"), F.max("last").alias("last"), F.sum("attempts").alias("attempts"), F.reverse(latest).alias("words"), *more)
+    first = F.filter("words", lambda w, i: ~F.exists(F.slice(F.col("words"), 1, F.greatest(i, F.lit(0))), lambda v: v["event_type"].eqNullSafe(w["event_type"])))
+    return merged.withColumn("words", F.slice(first, 1, most_keywords))
+
+
+def queue_rows(parts: DataFrame, key: list[str]) -> DataFrame:
+    newest_first = F.reverse(F.array_sort("words"))
+    return parts.select(*key, "created_at", "reason", "attempts", F.transform(newest_first, lambda w: w["event_type"]).alias("keywords"))
+
+
 def manual_queue(requests: DataFrame, key: list[str], most_keywords: int = 8) -> DataFrame:
     """One row per key: first time, latest reason, attempts, and the latest keywords."""
-    order = F.struct("ts", "event_id")
-    words = F.reverse(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))))
-    return requests.groupBy(*key).agg(F.min("ts").alias("created_at"), F.max_by("event_type", order).alias("reason"), F.count("*").alias("attempts"), F.slice(F.array_distinct(F.transform(words, lambda x: x["event_type"])), 1, most_keywords).alias("keywords"))
+    return queue_rows(queue_parts(requests, key, most_keywords), key)
 
 
-def upsert_queue(requests: DataFrame, path: str, key: list[str], checkpoint: str, most_keywords: int = 8):
-    """A stream of requests kept as the table of ``manual_queue`` at ``path``: each batch adds its requests and writes the next version, and a batch that comes again changes nothing."""
+def upsert_queue(requests: DataFrame, path: str, key: list[str], checkpoint: str, most_keywords: int = 8, buckets: int = BUCKETS):
+    """A stream of requests kept as a table of mergeable rows at ``path``: each batch is merged into the buckets it touches, and a row remembers the last batch it holds, so a batch that comes again changes nothing. ``read_queue`` shows the queue."""
 
     def handle(df: DataFrame, batch: int) -> None:
-        df.select(*key, "ts", "event_id", "event_type").write.mode("overwrite").parquet(f"{path}/requests/batch={batch}")
-        every = df.sparkSession.read.parquet(f"{path}/requests")
-        manual_queue(every, key, most_keywords).write.mode("overwrite").parquet(f"{path}/queue/version={batch}")
+        new = queue_parts(df, key, most_keywords).withColumn("batch", F.lit(batch).cast("long"))
+
+        def combine(old: DataFrame, now: DataFrame) -> DataFrame:
+            applied = old.filter(F.col("batch") >= batch).select(*key)
+            both = old.unionByName(now.join(applied, key, "left_anti"))
+            return join_queues(both, [*key, "bucket"], most_keywords, F.max("batch").alias("batch"))
+
+        merge(new, path, key, combine, new.schema, buckets)
 
     return continuous(requests, checkpoint, handle)
 
 
+def read_queue(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    return queue_rows(spark.read.parquet(path), key)
+
+
 def append_once(path: str, make):
     """A batch handler that writes ``make(df)`` under the batch's number, so that a batch that comes again replaces its own rows only."""
 

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from catalog_engine.sources import detail, readers, writers
+from catalog_engine.sources import readers, writers
 from catalog_engine.streaming import events as ev
 
 SF = "/root/testdata/sf0.001/events.parquet"
@@ -68,13 +68,6 @@ def test_shortlist_writes_both_parts(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/sellers").count() == 2 and spark.read.parquet(f"{tmp_path}/summary").count() == 2
 
 
-def test_offer_detail_islands(spark):
-    html = '<script>var x = {"moq": 5};</script><script>{"moq": 7, "price": 2.5, "deliveryDays": 3};</script> 9 pcs 起'
-    rows = detail.offer_evidence(spark.createDataFrame([(1, html), (2, "please log in"), (3, None)], "page_id int, html string")).orderBy("page_id").collect()
-    assert (rows[0]["moq"], rows[0]["base_price_cny"], rows[0]["delivery_days"]) == (7, 2.5, 3)
-    assert rows[1]["block_code"] == "AUTH_REQUIRED" and rows[2]["moq"] is None
-
-
 pytestmark_stream = pytest.mark.skipif(not os.path.exists(SF), reason="needs the driver's tables")
 
 
@@ -130,33 +123,140 @@ def test_stale_runs_are_reported_by_timer(spark, tmp_path):
     assert (1, 1, "retry_wait") in found and (2, 1, "retry_wait") in found
 
 
+def beats(spark, path, rows):
+    spark.createDataFrame(rows, "event_id long, t string, user_id long, value double").selectExpr("event_id", "cast(t as timestamp) ts", "user_id", "concat('type', event_id) event_type", "value", "'' props").coalesce(1).write.mode("append").parquet(path)
+
+
+@pytest.fixture
+def without_empty_batches(spark):
+    """A query with time-to-live state asks for another batch for ever; without empty ones it ends with its input."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, "true")
+
+
+@pytestmark_stream
+def test_ttl_stream_keeps_newest_rows_until_they_end(spark, tmp_path, without_empty_batches):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, ck = str(tmp_path / "src"), str(tmp_path / "ck")
+
+    def run(ttl):
+        seen = []
+        ev.ttl_stream(ev.read_events(spark, src, 9), ["user_id"], ttl).writeStream.foreachBatch(lambda df, i: seen.extend((r["user_id"], r["event_id"]) for r in df.collect())).outputMode("update").option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination(120)
+        return sorted(seen)
+
+    beats(spark, src, [(1, "2024-01-01 00:00:00", 1, 1.0), (5, "2024-01-05 00:00:00", 1, 2.0), (2, "2024-01-02 00:00:00", 2, None)])
+    assert run(3600) == [(1, 5), (2, 2)]
+    beats(spark, src, [(3, "2024-01-03 00:00:00", 1, 3.0), (4, "2024-01-04 00:00:00", 2, 4.0), (9, "2023-01-01 00:00:00", 3, 4.0)])
+    beats(spark, src, [(3, "2024-01-03 00:00:00", 1, 3.0)])  # late and again: the newer row stays
+    assert run(3600) == [(2, 4), (3, 9)]
+    live = ev.live_rows(spark, ck).collect()
+    want = spark.read.parquet(src).groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value", "ts"), F.struct("ts", "event_id")).alias("r")).select("user_id", "r.*")
+    key = lambda rows: sorted((r["user_id"], r["event_id"], r["event_type"], r["value"], r["ts"]) for r in rows)
+    assert key(live) == key(want.collect()) and all(r["expires_at"] is not None for r in live)
+
+
 @pytestmark_stream
-def test_ttl_stream_keeps_the_newest_row_of_each_stretch(spark, event_dir):
-    got = drained(spark, ev.ttl_stream(ev.read_events(spark, event_dir), ["user_id"], "2 days", "1 minute"), "ttl", "append")
-    rows = spark.read.parquet(event_dir).orderBy("user_id", "ts", "event_id").collect()
-    want, last, n = {}, None, 0
-    for r in rows:
-        n = n + 1 if last and last["user_id"] == r["user_id"] and (r["ts"] - last["ts"]).total_seconds() < 2 * 86400 else 1
-        want[r["user_id"], r["ts"]] = n
-        if n > 1:
-            del want[last["user_id"], last["ts"]]
-        last = r
-    found = {(r["user_id"], r["ts"]): r["writes"] for r in got.collect()}
-    assert found and set(found.items()) <= set(want.items())  # stretches still open at the end are not given out
+def test_ttl_stream_forgets_what_has_ended(spark, tmp_path, without_empty_batches):
+    import time
+
+    src, ck = str(tmp_path / "src"), str(tmp_path / "ck")
+    beats(spark, src, [(5, "2024-01-05 00:00:00", 1, 2.0)])
+    start = lambda: ev.ttl_stream(ev.read_events(spark, src), ["user_id"], 2).writeStream.foreachBatch(lambda df, i: seen.extend(r["event_id"] for r in df.collect())).outputMode("update").option("checkpointLocation", ck).trigger(availableNow=True).start()
+    seen = []
+    start().awaitTermination(120)
+    time.sleep(3)
+    assert ev.live_rows(spark, ck).count() == 0
+    beats(spark, src, [(3, "2024-01-03 00:00:00", 1, 3.0)])  # older, but what was kept has ended
+    start().awaitTermination(120)
+    assert seen == [5, 3]
 
 
 @pytestmark_stream
-def test_queue_and_scores_are_kept_once_per_batch(spark, event_dir, tmp_path):
+def test_queue_is_merged_by_bucket_and_batch(spark, event_dir, tmp_path):
     out = str(tmp_path / "queue")
-    ev.upsert_queue(ev.read_events(spark, event_dir), out, ["user_id"], str(tmp_path / "ck1")).awaitTermination(120)
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "queue" / "queue").iterdir() if "=" in p.name)
-    got = spark.read.parquet(f"{out}/queue/version={last}")
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, ev.manual_queue(spark.read.parquet(event_dir), ["user_id"]).select(*got.columns).collect()), key=str)
-    handle = ev.append_once(str(tmp_path / "scores"), lambda df: df.selectExpr("event_id", "value * 2 AS score"))
-    batch = spark.read.parquet(event_dir)
-    handle(batch, 0)
-    handle(batch, 0)  # a batch that comes again
-    assert spark.read.parquet(str(tmp_path / "scores")).count() == batch.count()
+    for name in ("a", "b"):  # a second query with a new checkpoint brings the same batches again
+        ev.upsert_queue(ev.read_events(spark, event_dir), out, ["user_id"], str(tmp_path / f"ck-{name}"), buckets=8).awaitTermination(120)
+        got = ev.read_queue(spark, out, ["user_id"])
+        want = ev.manual_queue(spark.read.parquet(event_dir), ["user_id"]).select(*got.columns)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_queue_rows_merge_in_any_parts(spark):
+    rows = [(i % 7, f"2024-01-01 00:00:{i % 60:02d}", i, f"w{i * 7 % 11}") for i in range(200)]
+    df = spark.createDataFrame(rows, "user_id long, t string, event_id long, event_type string").withColumn("ts", F.col("t").cast("timestamp"))
+    parts = [ev.queue_parts(df.filter(F.col("event_id") % 3 == k), ["user_id"], 4) for k in range(3)]
+    got = ev.queue_rows(ev.join_queues(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["user_id"], 4), ["user_id"])
+    for r in got.collect():
+        mine = sorted((t, e, w) for u, t, e, w in rows if u == r["user_id"])
+        words = list(dict.fromkeys(w for *_, w in reversed(mine)))
+        assert (r["attempts"], r["reason"], r["keywords"]) == (len(mine), mine[-1][2], words[:4])
+
+
+def test_append_reads_only_the_buckets_it_hits(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(2000).selectExpr("cast(id AS string) AS result_key", "id AS v")
+    writers.append_snapshot(rows, path, buckets=16)
+    one = rows.filter("v IN (7, 8)").unionByName(spark.createDataFrame([("new", 1), ("new", 1)], rows.schema))
+    plan = writers.append_snapshot(one, path, buckets=16)._jdf.queryExecution().executedPlan().toString()
+    table = spark.read.parquet(path)
+    assert table.count() == 2001 and table.select("result_key").distinct().count() == 2001
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "PartitionFilters: [" in plan and " IN (" in plan
+
+
+def test_replaced_scopes_leave_the_other_buckets_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(300).selectExpr("id % 30 AS run", "id % 3 AS asin", "id AS v")
+    writers.write_scope(rows, path, ["run", "asin"], buckets=8)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    new = spark.createDataFrame([(0, 0, -1), (0, 0, -2)], rows.schema)
+    for _ in range(2):
+        writers.write_scope(new, path, ["run", "asin"], buckets=8)
+    got = sorted(tuple(r) for r in spark.read.parquet(path).select("run", "asin", "v").collect())
+    assert got == sorted([(i % 30, i % 3, i) for i in range(300) if (i % 30, i % 3) != (0, 0)] + [(0, 0, -1), (0, 0, -2)])
+    kept = [p for p in before if p.exists()]
+    assert len({p.parent for p in before} - {p.parent for p in kept}) == 1
+
+
+@pytestmark_stream
+def test_scores_follow_the_streams(spark, tmp_path):
+    from catalog_engine.plans import fixtures as fx
+    from catalog_engine.plans.pipeline import score_products
+    from catalog_engine.streaming import scoring
+
+    d = os.path.dirname(SF)
+    products, offers = fx.products(spark, d), fx.offers(spark, d)
+    market = fx.market(spark, d).withColumn("asin", F.concat(F.lit("B0"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"))).drop("p_partkey")
+    first = products.withColumn("price", F.when(F.col("p_partkey") % 3 == 0, F.col("price") * 2).otherwise(F.col("price"))).withColumn("source_pos", F.lit(0).cast("long"))
+    for name, parts in (("p", [first, products.filter("p_partkey % 3 = 0")]), ("o", [offers.filter("source_pos % 2 = 0"), offers.filter("source_pos % 2 = 1")])):
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    stream = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    out = str(tmp_path / "scores")
+    start = lambda ck: scoring.continuous_scoring(stream("p", products.schema), stream("o", offers.schema), market, out, str(tmp_path / ck), buckets=8).awaitTermination(300)
+    start("ck")
+    show = lambda df: sorted((r["asin"], r["best_offer_id"], f"{r['total_score'] or 0:.9g}", r["passed"]) for r in df.collect())
+    want = show(score_products(products, offers, market))
+    assert show(scoring.current_scores(spark, out)) == want
+    rows = spark.read.parquet(f"{out}/results").count()
+    start("ck2")  # all batches come again
+    again = spark.read.parquet(f"{out}/results")
+    assert again.count() == rows and again.select("result_key").distinct().count() == rows and show(scoring.current_scores(spark, out)) == want
+
+
+def test_sketches_merge_within_their_error(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [("a", k, "F" if k % 5 == 0 else "S", rnd.lognormvariate(0, 2)) for k in range(30_000)] + [("b", 1, "S", None)]
+    df = spark.createDataFrame(rows, "stage string, k long, status string, seconds double").repartition(6)
+    parts = ev.attempt_sketches(df.withColumn("window", F.col("k") % 10), ["stage", "window"])
+    got = {r["stage"]: r for r in ev.attempt_stats(ev.merge_attempts(parts, ["stage"]), ["stage"]).collect()}
+    values = sorted(r[3] for r in rows if r[0] == "a")
+    assert (got["a"]["n_attempts"], got["a"]["n_failed"], got["a"]["longest"]) == (30_000, 6_000, values[-1]) and got["b"]["p50"] is None
+    for q, name in ((0.5, "p50"), (0.95, "p95")):
+        assert abs(sum(v <= got["a"][name] for v in values) / len(values) - q) <= 3 * ev.RANK_ERROR
 
 
 def test_positions_follow_the_file_however_it_is_split(spark, tmp_path):
@@ -180,12 +280,3 @@ def test_error_classes(spark):
     rows += [("", "CancellationRequested", "captcha", "cancelled"), ("", "FileNotFoundError", "", "permanent"), (None, None, "Rate limit hit", "retryable"), ("", "OSError", "captcha shown", "human_required"), (None, None, None, "permanent")]
     df = spark.createDataFrame(rows, "c string, k string, m string, want string")
     assert all(r["got"] == r["want"] for r in df.select("want", pr.error_class(F.col("c"), F.col("k"), F.col("m")).alias("got")).collect())
-
-
-def test_product_page_fields(spark):
-    html = '<div id="feature-bullets"><ul><li><span>A &amp; b</span></li><li> </li></ul></div><div id="merchant-info">Sold by Acme Ltd and Fulfilled by Big Co</div><div id="altImages"><img src="http://x/1.jpg"><img src="data:1"></div><th>Item Weight</th><td>1.5 kilograms</td>'
-    e = {r["field_name"]: r for r in detail.product_evidence(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).filter("entity_ref = 1").collect()}
-    assert len(e) == 25 and e["bullet_points"]["value"] == '["A & b"]' and e["seller"]["value"] == "Acme Ltd" and e["secondary_images"]["value"] == '["http://x/1.jpg"]'
-    assert e["weight_kg"]["value"] == "1.5" and e["title"]["status"] == "missing" and e["title"]["expires_at"] is None
-    own = detail.product_evidence(spark.createDataFrame([(1, "x")], "page_id int, html string"), parser=lambda h: {"whole": h}).first()
-    assert own["field_name"] == "whole" and own["value"] == "x"

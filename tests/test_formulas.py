@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog_engine.functions import cost, normalize, predicates, scores, supplier
-from catalog_engine.operators import matching, research, setops, text, windows
+from catalog_engine.operators import matching, research, setops, specs, windows
 
 PRODUCT = "asin string, price double, category string, length_cm double, width_cm double, height_cm double, weight_kg double, base_price_cny double, price_tiers array<struct<min_qty:double,price_cny:double>>"
 
@@ -125,11 +125,22 @@ def test_fit_ramps(spark):
     assert [x["d"] for x in r] == [0.5, 1.0, 0.0]
 
 
-def test_aliases_need_borders(spark):
-    t = F.col("t")
-    df = spark.createDataFrame([("holds 12 lbs",), ("a 2 L jug",), ("steel-grey box",), ("不锈钢锅",)], "t string")
-    got = df.select(text.capacity_ml(t).alias("c"), text.first_alias(t, matching.MATERIALS.items()).alias("m")).collect()
-    assert [x["c"] for x in got] == [None, 2000.0, None, None] and [x["m"] for x in got] == [None, None, "steel", "steel"]
+SPECS = [
+    ("Stainless Steel Insulated Water Bottle 24oz with Straw Lid, 2 Pack, 3 x 3 x 10 inch black", {"category": "保温杯", "material": "不锈钢", "color": "黑色", "capacity_ml": 709.8, "pack_count": 2, "dimensions_cm": [7.62, 7.62, 25.4]}, {"保温", "吸管"}),
+    ("304不锈钢保温杯 700ml 黑色 带吸管 2只装 7.5x7.5x25cm 380g", {"category": "保温杯", "material": "不锈钢", "capacity_ml": 700.0, "pack_count": 2, "dimensions_cm": [7.5, 7.5, 25.0], "weight_g": 380.0}, {"吸管"}),
+    ("Queen Size 4 Piece Sheet Set Comfy Breathable Cooling Sheets Deep Pockets Extra Soft Wrinkle Free White Microfiber", {"category": "床品套件", "material": "聚酯纤维", "color": "白色", "pack_count": 4}, {"床单式", "深口袋", "透气", "凉感", "柔软", "防皱"}),
+    ("床单三件套 纯色", {"pack_count": 3, "category": "床品套件"}, {"纯色", "床单式"}),
+    ("deck box 5 加仑 10 * 20 * 30 kg battery", {"capacity_ml": 18927.1, "dimensions_cm": [10.0, 20.0, 30.0], "weight_g": 30000.0, "risk_flags": ["battery"]}, set()),
+    ("model 1304 in 3040 grey, 12 lbs", {"material": None, "capacity_ml": None, "weight_g": 5443.1, "color": "灰色"}, set()),
+    (None, {"category": None, "pack_count": None, "dimensions_cm": None, "features": []}, set()),
+]
+
+
+def test_specs_of_texts(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(SPECS)], "i int, t string").withColumns({c: F.lit("clash") for c in ("_low", "_Numbers")})
+    got = {r["i"]: r["spec"].asDict() for r in specs.extract_specs(df, "t").collect()}
+    for i, (_, want, features) in enumerate(SPECS):
+        assert {k: got[i][k] for k in want} == want and features <= set(got[i]["features"])
 
 
 def test_reason_union_keeps_first_order(spark):
