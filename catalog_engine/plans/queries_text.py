@@ -224,7 +224,7 @@ def extract_specs(spark, d):
     goods = F.coalesce(*[F.when(c("p_type") == k, F.lit(v[0])) for k, v in _GOODS.items()], F.lit("thing"))
     made = F.when(c("p_size") % 3 == 0, "304").when(c("p_size") % 3 == 1, "PP").otherwise("teak")
     held = F.when(c("p_size") % 2 == 0, F.concat(s, F.lit("oz"))).otherwise(F.concat(s, F.lit(" L")))
-    pack = F.when(c("p_size") % 4 == 0, F.lit("三件套")).otherwise(F.concat(F.lit("pack of "), s))
+    pack = F.when(c("p_size") % 4 == 0, F.lit("三支装")).otherwise(F.concat(F.lit("pack of "), s))
     p = fx.read(spark, d, "part").withColumn("t", F.concat_ws(", ", "p_name", goods, made, held, pack, F.concat(s, F.lit(" x 4 x 5 inches")), F.when(c("p_size") > 25, F.lit("Waterproof lockable"))))
     return specs.extract_specs(p, "t").select("p_partkey", *[f"spec.{n}" for n in ("category", "material", "color", "capacity_ml", "pack_count", "weight_g")], F.get("spec.dimensions_cm", F.lit(0)).alias("first_side"), F.array_join("spec.features", ",").alias("features"))
 
