@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import checkpoint, filter_bits, row_key, written
+from .session import checkpoint, filter_bits, free_name, row_key, written
 from .textlib import U, mix, shingle_hashes, sub_batches
 
 BANDS, ROWS = 32, 5
@@ -301,17 +301,22 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The input's rows and columns with one document of each group: that of the least id, null ids last.
 
     Rows are told apart by a hash of the whole row, so that null ids and ids that
-    several texts share are judged like others. Rows without words stay, all of them.
+    several texts share are judged like others. Two rows whose hashes collide differ in
+    a second hash: both stay if one of them does, so a collision deletes nothing that
+    would have stayed. Rows without words stay, all of them.
     """
-    name = next(n for n in ("row", "row_", "row__") if n not in df.columns)
+    name = free_name(df, "row")
     keyed = df.withColumn(name, row_key(df))
     groups = near_duplicates(keyed, name, text_col, k, percent).select(F.col("doc_id").alias(name), "component_id", "n_shingles").distinct()
     ids = groups.join(keyed.select(name, F.col(id_col).alias("id")).distinct(), name)
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", name)).alias("best")
-    alone = groups.filter("n_shingles = 0").select(name)
-    kept = written(ids.filter("n_shingles > 0").groupBy("component_id").agg(best).select(f"best.{name}").withColumn("once", F.lit(True)).union(alone.withColumn("once", F.lit(False))), "near-kept")
-    one = keyed.join(kept.filter("once").select(name), name, "left_semi").dropDuplicates([name])
-    return one.select(*df.columns).unionByName(keyed.join(kept.filter("not once").select(name), name, "left_semi").select(*df.columns))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(name).alias("own"))).alias("best")
+    alone = groups.filter("n_shingles = 0").select(F.col(name).alias("own"))
+    kept = written(ids.filter("n_shingles > 0").groupBy("component_id").agg(best).select("best.own").withColumn("once", F.lit(True)).union(alone.withColumn("once", F.lit(False))), "near-kept")
+    of = lambda some: keyed.join(kept.filter(some).select(F.col("own").alias(name)), name, "left_semi")
+    second = free_name(keyed, "again")
+    one = of("once").withColumn(second, row_key(df, 1)).dropDuplicates([name, second])
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return one.select(*own).unionByName(of("not once").select(*own))
 
 
 ORACLE_SQL = r"""

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import SPACE
+from .session import SPACE, free_name
 
 WINDOW = 8
 #: Frequent function words of the four languages of the corpus, as plain text.
@@ -68,7 +68,7 @@ def _verdict(rule: Rule) -> Column:
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the metrics of the threshold table (all long) to each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = {n: next(c for c in (f"_{n}{'_' * i}" for i in range(len(df.columns) + 1)) if c not in df.columns) for n in ("words", "windows", "sorted", "starts", "lines")}
+    own = {n: free_name(df, f"_{n}") for n in ("words", "windows", "sorted", "starts", "lines")}
     stops = [w for s in STOP_WORDS for w in dict.fromkeys((s, s.capitalize()))]
     out = df.withColumn(own["words"], F.array_remove(F.split(text, SPACE), ""))
     out = out.withColumn(

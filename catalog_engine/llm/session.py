@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -33,21 +35,54 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Paths that ``written`` made inside the open ``scratch`` blocks, innermost last.
+_scratch: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table written once as Parquet in the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing reads any more, wherever they lie."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at the end but for the last one, the result; gives the list of their paths, of which the result's stays."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield paths
+    finally:
+        _scratch.pop()
+        remove(spark, paths[:-1])
+        del paths[:-1]
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for i in count() if (n := stem + "_" * i) not in taken)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_key(df: DataFrame) -> Column:
-    """A 64-bit hash of a whole row: equal rows share it, rows that differ anywhere do not. Columns of maps and variants are left out."""
+def row_key(df: DataFrame, seed: int = 0) -> Column:
+    """A 64-bit hash of a whole row: equal rows share it, rows that differ anywhere do not but for collisions, of which 10^10 rows have about three. Columns of maps and variants are left out. Another seed gives another hash."""
     plain = [F.col(f"`{f.name}`") for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
-    return F.xxhash64(*plain)
+    return F.xxhash64(*([F.lit(seed)] if seed else []), *plain)
 
 
 def filter_bits(hashes: DataFrame, bits: int, places) -> np.ndarray:

@@ -59,7 +59,7 @@ def rules_table(spark: SparkSession, rules: tuple[UrlRule, ...]) -> DataFrame:
     lit = lambda x: F.lit(x)
     rows = F.array(
         *[
-            F.struct(lit(r.name).alias("rule"), lit(r.verdict).alias("rule_verdict"), lit(r.regex).alias("regex"), F.array(*[lit(t) for t in r.tokens]).alias("tokens"), lit(r.tier).alias("tier"), lit(len(r.name)).alias("length"))
+            F.struct(lit(r.name).alias("rule"), lit(r.verdict).alias("rule_verdict"), lit(r.regex).alias("regex"), F.array(*[lit(t) for t in r.tokens]).cast("array<string>").alias("tokens"), lit(r.tier).alias("tier"), lit(len(r.name)).alias("length"))
             for r in rules
         ]
     )
@@ -79,13 +79,16 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: t
     blank = pages.filter("host = '' and path = ''")
     some = pages.filter("host <> '' or path <> ''")
     urls = some.groupBy("host", "path").count()
+    # rules without a token (hosts in other scripts, say) are filed under the empty one, which every URL then has
     tokens = F.array_distinct(F.array_remove(F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+"), ""))
+    if isinstance(rules, DataFrame) or any(not r.tokens for r in rules):
+        tokens = F.array_append(tokens, F.lit(""))
     tokens = urls.withColumn("token", F.explode(tokens))
     table = rules if isinstance(rules, DataFrame) else (rules_table(spark, rules) if rules else None)
     if table is None:
         found = pages.withColumns({"rule": F.lit(None).cast("string"), "rule_verdict": F.lit(None).cast("string"), "tier": F.lit(None).cast("int")})
     else:
-        literals = table.withColumn("token", F.explode("tokens"))
+        literals = table.withColumn("token", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))))
         often = tokens.join(literals.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.sum("count").alias("often"))
         rarest = Window.partitionBy("rule", "regex").orderBy("often", "token")
         index = literals.join(often, "token", "left").fillna({"often": 0}).withColumn("nth", F.row_number().over(rarest)).filter("nth = 1")

@@ -594,3 +594,27 @@ def test_matrix_has_exact_margins_and_hypergeometric_means():
     r = np.random.Generator(np.random.PCG64(1))
     big = [sharding.hypergeometric(r, 2_000_000_000, 2_000_000_000, 1000) for _ in range(300)]
     assert abs(np.mean(big) - 500) < 4 and 12 < np.std(big) < 20
+
+
+# --- column names, whatever their case ------------------------------------------------------------
+
+
+def test_columns_that_differ_in_case_come_back(spark):
+    names = ["Row", "ROW_", "row__", "Again", "_Words", "_LINES", "Own", "once"]
+    df = docs(spark, [(1, prose(60, 1), "a"), (2, prose(60, 1), "a"), (3, prose(60, 2), "b"), (None, None, "b")]).withColumns({c: F.lit(f"keep {c}") for c in names})
+    bench = spark.createDataFrame([(1, prose(60, 2))], "item_id long, text string")
+    kept = minhash.drop_near_duplicates(df)
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3] and kept.columns == df.columns
+    clean = decontam.drop_leaks(df, bench)
+    assert sorted((r["doc_id"] or 0) for r in clean.collect()) == [0, 1, 2]
+    measured = quality_rules.measure(df)
+    for out in (kept, clean, measured):
+        assert all(r[c] == f"keep {c}" for r in out.collect() for c in names)
+
+
+def test_rules_without_ascii_tokens(spark):
+    rules = (url_filter.site_rule("block", "例え/"), url_filter.site_rule("block", "com/"))
+    df = spark.createDataFrame([(1, "http://例え/a"), (2, "http://x.例え/"), (3, "http://a.com/"), (4, "http://a.org/"), (5, None)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, rules=rules).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(df, rules=url_filter.rules_table(spark, rules)).collect()} == got

@@ -70,3 +70,15 @@ def test_run_equals_plain_python(spark, sf):
     assert set(shards) == set(range(24)) and max(shards.values()) - min(shards.values()) <= 1
     for shard, n in shards.items():
         assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(n))
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark, sf):
+    import os
+
+    from catalog_engine.llm.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = corpus_pipeline.run(spark, sf).count()
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before}
+    assert rows and {n for n in left if n.startswith(("near-", "leak-", "mix-", "stage-"))} == {"stage-mixing"}
