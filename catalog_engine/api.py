@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
-from .operators.text import CATEGORY_NAMES, RELATION_NAMES, TYPE_QUALIFIERS
+from .functions import normalize as nm
+from .functions import scores
+from .plan_udtf import QueryPlanTable
 from .plans import fixtures
 from .rules import COST, SCORE
 
@@ -33,26 +36,39 @@ FUNCTIONS = (
 )
 
 
-def _query_plan_table() -> str:
-    """SQL of the table function query_plan_udtf: raw wording of each query type from a product's names, for lateral joins."""
-    named = lambda column, names, default: f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE {default} END"
-    around = lambda t: f"concat_ws(' ', generic_name, generic_name, '{TYPE_QUALIFIERS[t]}')"
-    category = named("category", CATEGORY_NAMES, "coalesce(nullif(trim(category), ''), '工业品')")
-    texts = {
-        "generic_name": "concat_ws(' ', generic_name, '通用产品')", "supply_chain_name": "concat_ws(' ', supply_name, '供应链')", **{t: around(t) for t in ("function", "material", "structure", "use_case", "specification")},
-        "package_quantity": "concat_ws(' ', CASE WHEN package_quantity > 0 THEN concat(package_quantity, '件装') ELSE '包装批发' END, generic_name)",
-        "replacement_consumable": f"concat_ws(' ', {named('relation', RELATION_NAMES, repr('通用产品'))}, supply_name)", "debranded_description": "concat_ws(' ', generic_name, '产品描述')",
-        "factory_synonym": "concat_ws(' ', supply_name, '生产厂家')", "alibaba_category": f"concat_ws(' ', '1688', {category}, supply_name)",
-    }
-    rows = ", ".join(f"named_struct('n', {i}, 'query_type', '{t}', 'text', {texts[t]})" for i, t in enumerate(TYPE_QUALIFIERS))
-    return f"CREATE OR REPLACE TEMPORARY FUNCTION query_plan_udtf(generic_name STRING, supply_name STRING, relation STRING, category STRING, package_quantity INT) RETURNS TABLE(n INT, query_type STRING, text STRING) RETURN SELECT inline(array({rows}))"
+_MEASURES = "weight DOUBLE, length DOUBLE, width DOUBLE, height DOUBLE"
+#: Name, parameters and Column function of what SQL users get from the library's own definitions.
+COLUMN_FUNCTIONS = (
+    ("parse_numeric", "s STRING", lambda: nm.numeric_parts(F.col("s"))[0]),
+    ("parse_lower_bound", "s STRING", lambda: nm.numeric_parts(F.col("s"))[1]),
+    ("parse_numeric_simple", "s STRING", lambda: nm.numeric_simple(F.col("s"))),
+    ("score_demand", "bsr_rank DOUBLE, monthly_sales DOUBLE, opportunity DOUBLE, search_volume DOUBLE, price DOUBLE, daily_sales DOUBLE", lambda: scores.score_demand(*map(F.col, ("bsr_rank", "monthly_sales", "opportunity", "search_volume", "price", "daily_sales")))),
+    ("score_competition", "listings DOUBLE, top10_share DOUBLE", lambda: scores.score_competition(F.col("listings"), F.col("top10_share"))),
+    (
+        "score_supply",
+        "n_offers DOUBLE, avg_repeat DOUBLE, min_moq DOUBLE, min_days DOUBLE, min_price DOUBLE, avg_match DOUBLE, factory_score DOUBLE, avg_sales DOUBLE, any_fba BOOLEAN",
+        lambda: scores.score_supply(),
+    ),
+    ("score_logistics", _MEASURES, lambda: scores.score_logistics(*map(F.col, ("weight", "length", "width", "height")))),
+    ("score_risk", "category STRING, brand STRING, title STRING, cv DOUBLE", lambda: scores.score_risk(*map(F.col, ("category", "brand", "title", "cv")))),
+    ("opportunity_estimate", "volume DOUBLE, rate DOUBLE, difficulty DOUBLE", lambda: scores.opportunity_estimate(*map(F.col, ("volume", "rate", "difficulty")))),
+)
+
+
+def sql_body(spark: SparkSession, parameters: str, column: Column) -> str:
+    """SQL text of a Column over columns named as the parameters."""
+    rows = spark.createDataFrame([], parameters)
+    whole = rows.select(column.alias("x"))._jdf.queryExecution().analyzed().expressions().head()
+    return whole.child().sql()
 
 
 def register(spark: SparkSession, sf_dir: str | None = None) -> None:
-    """Creates the SQL functions, and the domain views if a folder of tables is given."""
+    """Creates the SQL functions, the table function query_plan_udtf, and the domain views if a folder of tables is given."""
     for name, parameters, result, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
-    spark.sql(_query_plan_table())
+    for name, parameters, column in COLUMN_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS DOUBLE RETURN {sql_body(spark, parameters, column())}")
+    spark.udtf.register("query_plan_udtf", QueryPlanTable)
     if sf_dir:
         for name in ("products", "offers", "competitors", "market"):
             getattr(fixtures, name)(spark, sf_dir).createOrReplaceTempView(name)

@@ -53,8 +53,8 @@ def text(c: Column) -> Column:
     return F.when(~F.lower(t).isin(*NULL_TOKENS), t)
 
 
-def numeric(c: Column) -> Column:
-    """struct(exact, lower_bound) of a number cell: (5) is -5, currency words and signs, % and thousands marks are dropped, units multiply, a trailing + makes it a lower bound."""
+def numeric_parts(c: Column) -> tuple[Column, Column]:
+    """(exact, lower_bound) of a number cell: (5) is -5, currency words and signs, % and thousands marks are dropped, units multiply, a trailing + makes it a lower bound."""
     t = F.lower(text(c))
     bare = F.regexp_replace(t, r"^\((.*)\)$", "-$1")
     bare = F.regexp_replace(bare, rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(CURRENCY_WORDS)})(?![\p{{L}}\p{{N}}_])", "")
@@ -64,13 +64,18 @@ def numeric(c: Column) -> Column:
     scale = F.coalesce(F.try_element_at(table, F.regexp_extract(bare, number, 2)), F.lit(1.0))
     value = F.when(bare.rlike(number), F.regexp_extract(bare, number, 1).try_cast("double") * scale)
     plus = bare.endswith("+")
-    return F.struct(F.when(~plus, value).alias("exact"), F.when(plus, value).alias("lower_bound"))
+    return F.when(~plus, value), F.when(plus, value)
+
+
+def numeric(c: Column) -> Column:
+    """struct(exact, lower_bound) of a number cell."""
+    exact, bound = numeric_parts(c)
+    return F.struct(exact.alias("exact"), bound.alias("lower_bound"))
 
 
 def numeric_simple(c: Column) -> Column:
     """As numeric, but a trailing + is ignored; 4 decimals."""
-    n = numeric(c)
-    return F.round(F.coalesce(n["exact"], n["lower_bound"]), 4)
+    return F.round(F.coalesce(*numeric_parts(c)), 4)
 
 
 def duration_seconds(c: Column) -> Column:

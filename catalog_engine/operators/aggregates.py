@@ -155,19 +155,59 @@ def best_keyword(rows: DataFrame, keys: list[str], pos: str = "source_pos") -> D
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("best")).select(*keys, "best.*")
 
 
+def _rate(cond, of):
+    """Share of the rows of ``of`` that meet the condition, to six digits; null where there are none."""
+    return F.round(F.try_divide(F.count_if(of & cond).cast("double"), F.count_if(of).cast("double")), 6)
+
+
 def match_metrics(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Precision at 1 and 5, false-match rate and no-match accuracy over ranked and correct id lists; null where no case counts."""
-    ranked, right = F.col("ranked_ids"), F.col("correct_ids")
-    has = F.size(right) > 0
+    """Precision at 1 and 5 over cases that have a right offer; false-match rate and no-match accuracy over those that have none. Null where no case counts.
+
+    A case counts only with a ranked list; one with a right offer also needs no_match
+    to be false and correct_ids to be filled. A false match is a no-match case for
+    which anything was ranked.
+    """
+    ranked, right, none = F.col("ranked_ids"), F.col("correct_ids"), F.coalesce("no_match", F.lit(False))
+    has = ranked.isNotNull() & (F.col("no_match") == F.lit(False)) & (F.size(right) > 0)
+    has, none = F.coalesce(has, F.lit(False)), none & ranked.isNotNull()
     hit = lambda k: F.arrays_overlap(F.slice(ranked, 1, k), right)
-    rate = lambda cond, of: F.round(F.try_divide(F.count_if(of & cond).cast("double"), F.count_if(of).cast("double")), 6)
-    none = F.col("no_match")
     return cases.groupBy(*(by or [])).agg(
         F.count("*").alias("n_cases"),
-        rate(hit(1), has).alias("precision_at_1"),
-        rate(hit(5), has).alias("precision_at_5"),
-        rate(~hit(1), (F.size(ranked) > 0) & has).alias("false_match_rate"),
-        rate(F.size(ranked) == 0, none).alias("no_match_accuracy"),
+        _rate(hit(1), has).alias("precision_at_1"),
+        _rate(hit(5), has).alias("precision_at_5"),
+        _rate(F.size(ranked) > 0, none).alias("false_match_rate"),
+        _rate(F.size(ranked) == 0, none).alias("no_match_accuracy"),
+    )
+
+
+def recommendation_metrics(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Quality of recommendations over reviewed cases with a prediction.
+
+    Columns: recommendation_label, recommendation_status, supplier_count, mock_count,
+    field_completeness, retries, cost, pipeline_success. A mean or rate over all cases
+    is null unless every case has its field; supplier rates also need 0 <= mock <= all.
+    """
+    n = F.count("*")
+    every = lambda ok: (n > 0) & (F.count_if(F.coalesce(ok, F.lit(False))) == n)
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    total = lambda c: F.sum(F.col(c).cast("decimal(38,6)")).cast("double")
+    share = lambda a, b: F.round(F.try_divide(a, b), 6)
+    suppliers = every(number("supplier_count") & number("mock_count") & (F.col("supplier_count") >= 0) & (F.col("mock_count") >= 0) & (F.col("mock_count") <= F.col("supplier_count")))
+    status = F.col("recommendation_status")
+    known = every(status.isNotNull())
+    labelled = F.coalesce(F.col("recommendation_label").isin("recommend", "reject") & status.isNotNull(), F.lit(False))
+    recommended = labelled & (status == "recommend")
+    mean = lambda c: F.when(every(number(c)), share(total(c), n.cast("double")))
+    return cases.groupBy(*(by or [])).agg(
+        n.alias("n_cases"),
+        mean("field_completeness").alias("field_completeness"),
+        F.when(suppliers, share(total("supplier_count") - total("mock_count"), total("supplier_count"))).alias("real_supplier_rate"),
+        F.when(suppliers, share(total("mock_count"), total("supplier_count"))).alias("mock_contamination_rate"),
+        _rate(F.col("recommendation_label") == "recommend", recommended).alias("recommendation_precision"),
+        F.when(known, share(F.count_if(status == "needs_manual_review").cast("double"), n.cast("double"))).alias("manual_review_rate"),
+        F.when(every(number("cost")) & known, share(total("cost"), F.count_if(recommended).cast("double"))).alias("cost_per_approved_candidate"),
+        mean("retries").alias("average_retries"),
+        F.when(every(F.col("pipeline_success").isNotNull()), share(F.count_if("pipeline_success").cast("double"), n.cast("double"))).alias("pipeline_success_rate"),
     )
 
 
@@ -177,14 +217,15 @@ def all_or_nothing(cases: DataFrame, fields: list[str], by: list[str] | None = N
 
 
 def contract_metrics(cases: DataFrame, by: str = "category_id") -> DataFrame:
-    """Decision quality for each category and, where the category is null, over all."""
+    """Decision and reason quality for each category and, where the category is null, over all. A reason counts where one is expected: it is right if it is among the mismatch reasons."""
     good = F.col("decision") == F.col("expected_decision")
-    rate = lambda cond, of: F.round(F.try_divide(F.count_if(of & cond).cast("double"), F.count_if(of).cast("double")), 6)
+    asked = F.coalesce(F.col("expected_reason") != "", F.lit(False))
     return cases.groupingSets([[by], []], by).agg(
         F.count("*").alias("n_cases"),
-        rate(good, F.lit(True)).alias("decision_accuracy"),
-        rate(F.col("expected_decision") == "keep", F.col("decision") == "keep").alias("keep_precision"),
-        rate(F.col("decision") == "reject", F.col("expected_decision") == "reject").alias("reject_recall"),
+        _rate(good, F.lit(True)).alias("decision_accuracy"),
+        _rate(F.col("expected_decision") == "keep", F.col("decision") == "keep").alias("keep_precision"),
+        _rate(F.col("decision") == "reject", F.col("expected_decision") == "reject").alias("reject_recall"),
+        _rate(F.array_contains(F.coalesce("mismatch_reasons", F.array().cast("array<string>")), F.col("expected_reason")), asked).alias("reason_accuracy"),
     )
 
 
@@ -201,12 +242,23 @@ def status_counts(df: DataFrame, statuses: list[str], by: list[str] | None = Non
     return df.groupBy(*(by or [])).agg(*[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in statuses], F.count("*").alias("total"))
 
 
-def run_status_rollup(nodes: DataFrame, run: list[str]) -> DataFrame:
-    """One status per run: running, then human_required, retry_wait or pending, failed or timed_out, cancelled, else success."""
+def run_status_rollup(nodes: DataFrame, run: list[str], export_required: bool = True, stage: str = "stage", order: str = "node_id", cancelling: str | None = None) -> DataFrame:
+    """One status per run: running (cancel_requested if the run's flag says so), then human_required, retry_wait for waiting and pending nodes, failed or timed_out, cancelled.
+
+    Otherwise the export decides where one is required: without an export node the run
+    waits to be resumed (retry_wait), and if the last one has not succeeded it failed.
+    """
     has = lambda *s: F.bool_or(F.col("status").isin(*s))
-    flags = nodes.groupBy(*run).agg(has("running").alias("r"), has("human_required").alias("h"), has("retry_wait", "pending").alias("p"), has("failed", "timed_out").alias("f"), has("cancelled").alias("c"), F.count("*").alias("n_nodes"))
-    status = F.when(F.col("r"), "running").when(F.col("h"), "human_required").when(F.col("p"), "pending").when(F.col("f"), "failed").when(F.col("c"), "cancelled").otherwise("success")
-    return flags.select(*run, "n_nodes", status.alias("status"))
+    export = F.when(F.col(stage) == "export", F.col(order)) if export_required else F.lit(None).cast("long")
+    asked = F.bool_or(F.col(cancelling)) if cancelling else F.lit(False)
+    flags = nodes.groupBy(*run).agg(
+        has("running").alias("r"), has("human_required").alias("h"), has("retry_wait", "pending").alias("p"), has("failed", "timed_out").alias("f"), has("cancelled").alias("c"), F.count("*").alias("n_nodes"), F.max_by("status", export).alias("e"), asked.alias("a")
+    )
+    c = F.col
+    status = F.when(c("r"), F.when(c("a"), "cancel_requested").otherwise("running")).when(c("h"), "human_required").when(c("p"), "retry_wait").when(c("f"), "failed").when(c("c"), "cancelled")
+    if export_required:
+        status = status.when(c("e").isNull(), "retry_wait").when(c("e") != "succeeded", "failed")
+    return flags.select(*run, "n_nodes", status.otherwise("success").alias("status"))
 
 
 def histogram(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:

@@ -87,18 +87,6 @@ def query_hits(attempts: DataFrame, executions: DataFrame, offers: DataFrame) ->
     return attempts.join(executions, "query_text", "left").join(named, "query_text", "left")
 
 
-def keyword_containment(documents: DataFrame, keywords: DataFrame, id_col: str, text_col: str, key_col: str, word_col: str) -> DataFrame:
-    """(key, id, hits): texts that contain words of a key, by an inverted index of their distinct tokens.
-
-    Tokens are [a-z0-9]+ runs of the lower-cased text; the join is on the token, so
-    its work follows the matches and not the product of the two tables.
-    """
-    tokens = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+"))
-    index = documents.select(F.col(id_col), F.explode(tokens).alias("token"))
-    wanted = keywords.select(F.col(key_col), F.lower(F.col(word_col)).alias("token")).distinct()
-    return index.join(wanted, "token").groupBy(key_col, id_col).agg(F.count("*").alias("hits"))
-
-
 def _near(top_k: int, least: float):
     """Top neighbours of each query of a batch among the vectors of a chunk, by one product of matrices."""
 

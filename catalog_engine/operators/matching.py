@@ -76,6 +76,50 @@ def match_decision(mismatch: Column, malformed_visual: Column, manual_profile: C
     return F.struct(decision.alias("decision"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 4).alias("confidence"))
 
 
+#: Conflicts of a specification that no score outweighs, and evidence that a decision cannot do without (fixed values).
+HARD_SPECS = ("capacity", "dimensions", "material", "pack_count")
+CRITICAL_STATES = ("function", "product_type", "price", "moq")
+
+
+def match_evidence(states: dict[str, Column], spec: Column, profile: Column | None = None, visual_match: Column | None = None, malformed_visual: Column | None = None, brand_exclusive: Column | None = None, wants_quantity: Column | None = None) -> Column:
+    """struct(decision, confidence, mismatch, missing, passed) of a product and an offer.
+
+    ``states``: 1.0, 0.0 or null for function, product_type, price, moq and, where the
+    product asks for them, package_quantity (``wants_quantity``) and manufacturer (with a
+    profile). ``spec``: struct of compare_specs; ``profile``: struct of
+    profiles.compare, null where the product has none. Mismatches are named from the
+    states and conflicts, confidence is the mean of the known states and the profile's
+    (else the specification's) score.
+    """
+    none, false = F.array().cast("array<string>"), F.lit(False)
+    flag = lambda c: F.coalesce(c, false) if c is not None else false
+    has_profile = profile.isNotNull() if profile is not None else false
+    asked = {n: F.lit(True) for n in CRITICAL_STATES} | {"package_quantity": flag(wants_quantity), "manufacturer": has_profile}
+    state = {n: states[n] if n in states else F.lit(None).cast("double") for n in asked}
+    known = {n: asked[n] & state[n].isNotNull() for n in asked}
+    prefixed = lambda names, head: F.transform(F.coalesce(names, none), lambda x: F.concat(F.lit(head), x))
+    of_profile = lambda name, head: F.when(has_profile, prefixed(profile[name], head)).otherwise(none) if profile is not None else none
+    bad = {"product_type": "accessory_full_product_conflict", "package_quantity": "package_quantity_conflict", "function": "core_function_conflict"}
+    seen = F.coalesce(visual_match, F.lit(None).cast("boolean")) if visual_match is not None else F.lit(None).cast("boolean")
+    listed = lambda cs: F.array_compact(F.array(*cs))
+    hard = F.array_sort(F.array_intersect(spec["conflicts"], F.array(*[F.lit(x) for x in HARD_SPECS])))
+    mismatch = F.array_distinct(F.concat(
+        listed([*[F.when(asked[n] & (state[n] == 0), F.lit(m)) for n, m in bad.items()], F.when(flag(brand_exclusive), F.lit("brand_exclusive_conflict"))]),
+        prefixed(hard, "specification_conflict:"), of_profile("conflicts", "target_category_conflict:"),
+        listed([F.when(has_profile & (state["manufacturer"] == 0), F.lit("manufacturer_evidence_conflict")), F.when(~seen, F.lit("visual_mismatch"))]),
+    ))
+    malformed = flag(malformed_visual) & seen.isNull()
+    missing = F.array_sort(F.array_distinct(F.concat(listed([*[F.when(asked[n] & ~known[n], F.lit(n)) for n in asked], F.when(malformed, F.lit("visual"))]), of_profile("missing", "target_category:"))))
+    passed = F.array_distinct(F.concat(listed([F.when(known[n] & (state[n] == 1), F.lit(n)) for n in asked]), of_profile("matched", "target_category:"), listed([F.when(seen, F.lit("visual"))])))
+    score = F.when(has_profile, profile["score"]).otherwise(spec["score"]) if profile is not None else spec["score"]
+    total = sum((F.when(known[n], state[n]).otherwise(F.lit(0.0)) for n in asked), F.lit(0.0)) + score
+    count = sum((known[n].cast("int") for n in asked), F.lit(1))
+    manual = has_profile & (profile["decision"] == "manual_review") if profile is not None else false
+    critical = listed([F.when(asked[n], F.lit(n)) for n in asked])
+    verdict = match_decision(mismatch, malformed, F.coalesce(manual, false), missing, critical, total / count)
+    return F.struct(verdict["decision"].alias("decision"), verdict["confidence"].alias("confidence"), mismatch.alias("mismatch"), missing.alias("missing"), passed.alias("passed"))
+
+
 def type_match(target: Column, other: Column) -> Column:
     """1.0 or 0.0 where both kinds are known, else null."""
     known = (target != "unknown") & (other != "unknown")

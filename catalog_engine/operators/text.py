@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .specs import alias_present
+
+
 def brand_tokens(brand: Column) -> Column:
     """The brand and its words of two letters or more, lower case, longest first."""
     low = F.lower(F.trim(brand))
@@ -139,7 +140,7 @@ def rewrite_queries(plan: DataFrame, rates: DataFrame, products: DataFrame, iter
 def search_keywords(title: Column, core: tuple[str, ...], modifiers: tuple[str, ...]) -> Column:
     """Distinct core words of a title, and core x modifier pairs, two of each at most."""
     low = F.lower(F.coalesce(title, F.lit("")))
-    found = lambda words: F.slice(F.array_compact(F.array(*[F.when(alias_match(low, w), F.lit(w)) for w in words])), 1, 2)
+    found = lambda words: F.slice(F.array_compact(F.array(*[F.when(alias_present(low, w), F.lit(w)) for w in words])), 1, 2)
     pairs = F.flatten(F.transform(found(core), lambda c: F.transform(found(modifiers), lambda m: F.concat_ws(" ", m, c))))
     return F.array_distinct(F.concat(found(core), pairs))
 
@@ -168,7 +169,7 @@ def extract_links(df: DataFrame, keys: list[str], html: str, pattern: str) -> Da
     return df.select(*keys, F.posexplode(found).alias("rank", "link"))
 
 
-def json_objects(text: Column, depth: int = 3) -> Column:
+def json_objects(text: Column, depth: int = 24) -> Column:
     """JSON objects in a text, outermost first, with up to ``depth`` levels of braces inside; braces in quoted strings do not count."""
     quoted = r'"(?:[^"\\\\]|\\\\.)*+"'.replace("\\\\", "\\")
     inner = rf'\{{(?:[^{{}}"]|{quoted})*+\}}'

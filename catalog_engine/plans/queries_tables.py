@@ -221,23 +221,70 @@ def opportunity_estimate(spark, d):
     return events(spark, d).select("event_id", F.round(s, 6).alias("score"))
 
 
-@query("match_metrics", "SELECT lang, count(*) AS n_cases, " + half_up("avg((doc_id % 4 <> 2)::INT)", 6) + " AS precision_at_1, 1.0::DOUBLE AS precision_at_5, " + half_up("avg((doc_id % 4 = 2)::INT)", 6) + " AS false_match_rate FROM documents GROUP BY lang")
+_CASES = """c AS (
+  SELECT doc_id, lang, doc_id % 11 <> 0 AS reviewed, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE quality = 0 END AS no_match,
+    CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN [] ELSE list_transform(generate_series(0, (doc_id % 6)::BIGINT), lambda i: (doc_id + i * 3) % 10) END AS ranked,
+    CASE WHEN doc_id % 5 = 0 THEN [] ELSE [toxic, 4] END AS correct FROM labels JOIN documents USING (doc_id)),
+e AS (SELECT *, coalesce(no_match = false AND len(correct) > 0 AND ranked IS NOT NULL, false) AS m, coalesce(no_match, false) AND ranked IS NOT NULL AS z FROM c WHERE reviewed)"""
+_SHARE = lambda cond, of: half_up(f"count(*) FILTER (WHERE {of} AND {cond}) / nullif(count(*) FILTER (WHERE {of}), 0)::DOUBLE", 6)
+
+
+@query(
+    "match_metrics",
+    f"WITH {_CASES} SELECT lang, count(*) AS n_cases, {_SHARE('list_has_any(ranked[:1], correct)', 'm')} AS precision_at_1, {_SHARE('list_has_any(ranked[:5], correct)', 'm')} AS precision_at_5, {_SHARE('len(ranked) > 0', 'z')} AS false_match_rate, {_SHARE('len(ranked) = 0', 'z')} AS no_match_accuracy FROM e GROUP BY lang",
+)
 def match_metrics(spark, d):
-    i = F.col("doc_id")
-    m = fx.read(spark, d, "documents").select("lang", F.array(i % 4, i % 4 + 1, i % 4 + 2, i % 4 + 3).alias("ranked_ids"), F.array(F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(3).cast("long")).alias("correct_ids"), F.lit(False).alias("no_match"))
-    return ag.match_metrics(m, ["lang"]).select("lang", "n_cases", "precision_at_1", "precision_at_5", "false_match_rate")
-
-
-@query("recommendation_metrics", "SELECT lang, count(*) AS n_cases, " + half_up("sum(n_chars::DECIMAL(38,6))::DOUBLE / count(*)", 6) + " AS avg_chars, CASE WHEN bool_or(doc_id % 50 = 0) THEN NULL ELSE 0.0 END::DOUBLE AS avg_score FROM documents GROUP BY lang")
+    """Labelled documents as cases: label 0 means that there is no right offer; some cases have no ranked list, some an empty one."""
+    c, i = F.col, F.col("doc_id")
+    ranked = F.when(i % 7 == 0, F.lit(None)).when(i % 7 == 1, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), i % 6), lambda k: (i + k * 3) % 10))
+    right = F.when(i % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.array(c("toxic").cast("long"), F.lit(4).cast("long")))
+    cases = fx.read(spark, d, "labels").join(fx.read(spark, d, "documents").select("doc_id", "lang"), "doc_id").filter(i % 11 != 0)
+    m = cases.select("lang", F.when(i % 13 != 0, c("quality") == 0).alias("no_match"), ranked.alias("ranked_ids"), right.alias("correct_ids"))
+    return ag.match_metrics(m, ["lang"])
+
+
+_RECO = """r AS (
+  SELECT p_type, CASE p_partkey % 3 WHEN 0 THEN 'recommend' WHEN 1 THEN 'reject' END AS label, CASE WHEN p_type = 'PROMO' AND p_size = 7 THEN NULL WHEN p_size % 4 = 0 THEN 'needs_manual_review' WHEN p_size % 4 = 1 THEN 'reject' ELSE 'recommend' END AS status,
+    p_size AS suppliers, CASE WHEN p_type = 'LARGE' AND p_size = 9 THEN p_size + 1 ELSE p_size // 3 END AS mocks, CASE WHEN p_type <> 'SMALL' OR p_size <> 5 THEN p_retailprice / 2000 END AS completeness, p_size % 3 AS retries,
+    CASE WHEN p_type <> 'ECONOMY' OR p_size <> 11 THEN p_retailprice END AS cost, CASE WHEN p_type <> 'MEDIUM' OR p_size <> 13 THEN p_size > 10 END AS success FROM part)"""
+_EVERY = lambda cond, value: f"CASE WHEN count(*) FILTER (WHERE NOT coalesce({cond}, false)) = 0 THEN {half_up(value, 6)} END"
+_SUM = lambda x: f"sum({x}::DECIMAL(38,6))::DOUBLE"
+
+
+@query(
+    "recommendation_metrics",
+    f"WITH {_RECO} SELECT p_type, count(*) AS n_cases, {_EVERY('completeness IS NOT NULL', _SUM('completeness') + ' / count(*)')} AS field_completeness, "
+    + f"{_EVERY('mocks <= suppliers', '(sum(suppliers) - sum(mocks)) / sum(suppliers)::DOUBLE')} AS real_supplier_rate, {_EVERY('mocks <= suppliers', 'sum(mocks) / sum(suppliers)::DOUBLE')} AS mock_contamination_rate, "
+    + half_up("count(*) FILTER (WHERE label = 'recommend' AND status = 'recommend') / nullif(count(*) FILTER (WHERE label IS NOT NULL AND status = 'recommend'), 0)::DOUBLE", 6) + " AS recommendation_precision, "
+    + _EVERY("status IS NOT NULL", "count(*) FILTER (WHERE status = 'needs_manual_review') / count(*)::DOUBLE") + " AS manual_review_rate, "
+    + _EVERY("status IS NOT NULL AND cost IS NOT NULL", _SUM("cost") + " / nullif(count(*) FILTER (WHERE label IS NOT NULL AND status = 'recommend'), 0)::DOUBLE") + " AS cost_per_approved_candidate, "
+    + f"{_EVERY('true', 'sum(retries) / count(*)::DOUBLE')} AS average_retries, {_EVERY('success IS NOT NULL', 'count(*) FILTER (WHERE success) / count(*)::DOUBLE')} AS pipeline_success_rate FROM r GROUP BY p_type",
+)
 def recommendation_metrics(spark, d):
-    c = fx.read(spark, d, "documents").select("lang", F.col("n_chars").alias("chars"), F.when(F.col("doc_id") % 50 != 0, F.lit(0.0)).alias("score"))
-    return ag.all_or_nothing(c, ["chars", "score"], ["lang"])
-
-
-@query("contract_metrics", "SELECT category_id, count(*) AS n_cases, " + half_up("avg((d = e)::INT)", 6) + " AS decision_accuracy, " + half_up("count(*) FILTER (WHERE d = 'keep' AND e = 'keep') / count(*) FILTER (WHERE d = 'keep')::DOUBLE", 6) + " AS keep_precision, " + half_up("count(*) FILTER (WHERE d = 'reject' AND e = 'reject') / count(*) FILTER (WHERE e = 'reject')::DOUBLE", 6) + " AS reject_recall FROM (SELECT p_type AS category_id, CASE WHEN p_partkey % 3 = 0 THEN 'keep' ELSE 'reject' END AS d, CASE WHEN p_partkey % 2 = 0 THEN 'keep' ELSE 'reject' END AS e FROM part) GROUP BY GROUPING SETS ((category_id), ())")
+    """Parts as reviewed cases; for each type another field is missing once."""
+    c, s, t = F.col, F.col("p_size"), F.col("p_type")
+    lacks = lambda kind, size: (t == kind) & (s == size)
+    cases = fx.read(spark, d, "part").select(
+        "p_type", F.when(c("p_partkey") % 3 == 0, "recommend").when(c("p_partkey") % 3 == 1, "reject").alias("recommendation_label"),
+        F.when(~lacks("PROMO", 7), F.when(s % 4 == 0, "needs_manual_review").when(s % 4 == 1, "reject").otherwise("recommend")).alias("recommendation_status"),
+        s.alias("supplier_count"), F.when(lacks("LARGE", 9), s + 1).otherwise(F.floor(s / 3)).alias("mock_count"), F.when(~lacks("SMALL", 5), c("p_retailprice") / 2000).alias("field_completeness"), (s % 3).alias("retries"),
+        F.when(~lacks("ECONOMY", 11), c("p_retailprice")).alias("cost"), F.when(~lacks("MEDIUM", 13), s > 10).alias("pipeline_success"),
+    )
+    return ag.recommendation_metrics(cases, ["p_type"])
+
+
+@query(
+    "contract_metrics",
+    "SELECT category_id, count(*) AS n_cases, " + half_up("avg((d = e)::INT)", 6) + " AS decision_accuracy, " + half_up("count(*) FILTER (WHERE d = 'keep' AND e = 'keep') / count(*) FILTER (WHERE d = 'keep')::DOUBLE", 6) + " AS keep_precision, " + half_up("count(*) FILTER (WHERE d = 'reject' AND e = 'reject') / count(*) FILTER (WHERE e = 'reject')::DOUBLE", 6) + " AS reject_recall, "
+    + half_up("count(*) FILTER (WHERE r <> '' AND list_contains(m, r)) / nullif(count(*) FILTER (WHERE r <> ''), 0)::DOUBLE", 6) + " AS reason_accuracy "
+    + "FROM (SELECT p_type AS category_id, CASE WHEN p_partkey % 3 = 0 THEN 'keep' ELSE 'reject' END AS d, CASE WHEN p_partkey % 2 = 0 THEN 'keep' ELSE 'reject' END AS e, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'capacity' ELSE 'material' END AS r, CASE WHEN p_size % 5 = 0 THEN NULL ELSE ['material', p_brand] END AS m FROM part) GROUP BY GROUPING SETS ((category_id), ())",
+)
 def contract_metrics(spark, d):
-    k = F.col("p_partkey")
-    c = fx.read(spark, d, "part").select(F.col("p_type").alias("category_id"), F.when(k % 3 == 0, "keep").otherwise("reject").alias("decision"), F.when(k % 2 == 0, "keep").otherwise("reject").alias("expected_decision"))
+    k, s = F.col("p_partkey"), F.col("p_size")
+    c = fx.read(spark, d, "part").select(
+        F.col("p_type").alias("category_id"), F.when(k % 3 == 0, "keep").otherwise("reject").alias("decision"), F.when(k % 2 == 0, "keep").otherwise("reject").alias("expected_decision"),
+        F.when(s % 3 == 0, "").when(s % 3 == 1, "capacity").otherwise("material").alias("expected_reason"), F.when(s % 5 != 0, F.array(F.lit("material"), "p_brand")).alias("mismatch_reasons"),
+    )
     return ag.contract_metrics(c)
 
 
@@ -252,10 +299,17 @@ def manual_queue_summary(spark, d):
     return ag.status_counts(fx.read(spark, d, "orders").withColumnRenamed("o_orderstatus", "status"), ["O", "F"], ["o_orderpriority"])
 
 
-@query("run_status_rollup", "SELECT o_custkey, count(*) AS n_nodes, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'running' WHEN bool_or(o_orderstatus = 'F' AND o_orderkey % 9 = 0) THEN 'failed' ELSE 'success' END AS status FROM orders GROUP BY o_custkey")
+@query(
+    "run_status_rollup",
+    "WITH n AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 4 = 0 THEN 'running' WHEN o_orderstatus = 'F' AND o_orderkey % 29 = 0 THEN 'timed_out' WHEN o_orderkey % 37 = 0 THEN 'pending' ELSE 'succeeded' END AS s, o_orderpriority IN ('1-URGENT', '2-HIGH') AS x FROM orders) "
+    + "SELECT o_custkey, count(*) AS n_nodes, CASE WHEN bool_or(s = 'running') THEN CASE WHEN bool_or(o_orderkey % 8 = 0) THEN 'cancel_requested' ELSE 'running' END WHEN bool_or(s = 'pending') THEN 'retry_wait' WHEN bool_or(s = 'timed_out') THEN 'failed' WHEN NOT bool_or(x) THEN 'retry_wait' ELSE 'success' END AS status FROM n GROUP BY o_custkey",
+)
 def run_status_rollup(spark, d):
-    s = F.when(F.col("o_orderstatus") == "P", "running").when((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 9 == 0), "timed_out").otherwise("success")
-    return ag.run_status_rollup(fx.read(spark, d, "orders").withColumn("status", s), ["o_custkey"])
+    """Orders as nodes of their customer's run; urgent ones are its exports."""
+    k = F.col("o_orderkey")
+    s = F.when((F.col("o_orderstatus") == "P") & (k % 4 == 0), "running").when((F.col("o_orderstatus") == "F") & (k % 29 == 0), "timed_out").when(k % 37 == 0, "pending").otherwise("succeeded")
+    stage = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "export").otherwise("score")
+    return ag.run_status_rollup(fx.read(spark, d, "orders").select("o_custkey", k.alias("node_id"), s.alias("status"), stage.alias("stage"), (k % 8 == 0).alias("asked")), ["o_custkey"], cancelling="asked")
 
 
 @query("review_summary", fx.with_ctes(fx.OFFER) + "SELECT asin, count(*) FILTER (WHERE source_pos % 3 = 0) AS n_accepted, count(*) FILTER (WHERE source_pos % 3 = 1) AS n_rejected, count(*) FILTER (WHERE source_pos % 3 = 2) AS n_pending, count(*) AS total FROM (SELECT *, row_number() OVER (PARTITION BY asin ORDER BY source_pos) AS nth FROM offer) WHERE nth <= 5 GROUP BY asin")
@@ -292,13 +346,29 @@ def match_quality(spark, d):
     return fx.offers(spark, d).select("asin", "offer_id", m["score"].alias("score"))
 
 
-@query("match_evidence_decision", fx.with_ctes(fx.OFFER) + "SELECT asin, offer_id, CASE WHEN source = 'mock' THEN 'reject' WHEN is_factory IS NULL THEN 'retry' WHEN match_quality_score >= 0.70 THEN 'keep' ELSE 'manual_review' END AS decision, " + half_up("CASE WHEN source <> 'mock' AND is_factory IS NULL THEN least(match_quality_score, 0.49) ELSE match_quality_score END", 4) + " AS confidence FROM offer")
+_STATES = """st AS (
+  SELECT asin, offer_id, match_quality_score AS spec, CASE source_pos % 5 WHEN 0 THEN NULL WHEN 1 THEN 0.0 ELSE 1.0 END AS f, CASE source_pos % 7 WHEN 0 THEN 0.0 ELSE 1.0 END AS t, CASE WHEN base_price_cny > 20 THEN 1.0 END AS p, CASE WHEN moq <= 300 THEN 1.0 END AS m,
+    CASE WHEN delivery_days > 40 THEN NULL WHEN delivery_days > 30 THEN 0.0 ELSE 1.0 END AS q, delivery_days % 2 = 0 AS wants, source = 'mock' AS seen_bad, fba_ready AS seen_good, is_factory IS NULL AS malformed, monthly_sales > 2000 AS hard FROM offer),
+ev AS (SELECT *, list_filter([CASE WHEN t = 0 THEN 'accessory_full_product_conflict' END, CASE WHEN wants AND q = 0 THEN 'package_quantity_conflict' END, CASE WHEN f = 0 THEN 'core_function_conflict' END, CASE WHEN hard THEN 'specification_conflict:material' END, CASE WHEN seen_bad THEN 'visual_mismatch' END], lambda x: x IS NOT NULL) AS mis,
+  list_sort(list_filter([CASE WHEN f IS NULL THEN 'function' END, CASE WHEN p IS NULL THEN 'price' END, CASE WHEN m IS NULL THEN 'moq' END, CASE WHEN wants AND q IS NULL THEN 'package_quantity' END, CASE WHEN malformed AND NOT seen_bad AND NOT seen_good THEN 'visual' END], lambda x: x IS NOT NULL)) AS lacks,
+  (coalesce(f, 0) + t + coalesce(p, 0) + coalesce(m, 0) + CASE WHEN wants THEN coalesce(q, 0) ELSE 0 END + spec)::DOUBLE / (2 + (f IS NOT NULL)::INT + (p IS NOT NULL)::INT + (m IS NOT NULL)::INT + (wants AND q IS NOT NULL)::INT) AS mean FROM st),
+de AS (SELECT *, CASE WHEN len(mis) > 0 THEN 'reject' WHEN list_contains(lacks, 'visual') THEN 'manual_review' WHEN len(lacks) > 0 THEN 'retry' WHEN mean >= 0.70 THEN 'keep' ELSE 'manual_review' END AS decision FROM ev)"""
+
+
+@query(
+    "match_evidence_decision",
+    fx.with_ctes(fx.OFFER, _STATES) + "SELECT asin, offer_id, decision, " + half_up("greatest(0.0, least(1.0, CASE WHEN len(mis) = 0 AND len(lacks) > 0 THEN least(mean, 0.49::DOUBLE) ELSE mean END))", 4) + " AS confidence, array_to_string(mis, ',') AS mismatch, array_to_string(lacks, ',') AS missing FROM de",
+)
 def match_evidence_decision(spark, d):
-    c = F.col
-    mism = F.when(c("source") == "mock", F.array(F.lit("visual_mismatch"))).otherwise(none())
-    miss = F.when(c("is_factory").isNull(), F.array(F.lit("manufacturer"))).otherwise(none())
-    m = matching.match_decision(mism, F.lit(False), F.lit(False), miss, F.array(F.lit("manufacturer"), F.lit("price")), c("match_quality_score"))
-    return fx.offers(spark, d).select("asin", "offer_id", m.alias("m")).select("asin", "offer_id", "m.decision", "m.confidence")
+    c, n = F.col, F.lit(None).cast("double")
+    states = {
+        "function": F.when(c("source_pos") % 5 == 0, n).when(c("source_pos") % 5 == 1, 0.0).otherwise(1.0), "product_type": F.when(c("source_pos") % 7 == 0, 0.0).otherwise(1.0), "price": F.when(c("base_price_cny") > 20, 1.0), "moq": F.when(c("moq") <= 300, 1.0),
+        "package_quantity": F.when(c("delivery_days") > 40, n).when(c("delivery_days") > 30, 0.0).otherwise(1.0),
+    }
+    spec = F.struct(c("match_quality_score").alias("score"), F.when(c("monthly_sales") > 2000, F.array(F.lit("material"), F.lit("color"))).otherwise(none()).alias("conflicts"))
+    seen = F.when(c("source") == "mock", F.lit(False)).when(c("fba_ready"), F.lit(True))
+    m = matching.match_evidence(states, spec, visual_match=seen, malformed_visual=c("is_factory").isNull(), wants_quantity=c("delivery_days") % 2 == 0)
+    return fx.offers(spark, d).select("asin", "offer_id", m.alias("m")).select("asin", "offer_id", "m.decision", "m.confidence", F.array_join("m.mismatch", ",").alias("mismatch"), F.array_join("m.missing", ",").alias("missing"))
 
 
 @query("decision_brief", fx.with_ctes(*PIPELINE) + "SELECT asin, CASE WHEN passed THEN 'ready_to_sample' WHEN rejection <> '' THEN 'manual_verify' ELSE 'score_review' END AS action, CASE WHEN passed THEN 'high' ELSE 'medium' END AS confidence FROM scored")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as nm
 from ..functions import predicates as pr
 from ..functions import supplier
-from ..operators import joins, matching, setops, specs, text
+from ..operators import containment, joins, keywords, matching, setops, specs, text
 from ..sources import readers, writers
 from . import fixtures as fx
 from .queries import half_up, query
@@ -122,7 +122,7 @@ def title_anchor_match(spark, d):
 def offer_relevant(spark, d):
     k = F.col("p_partkey") % 7
     none = F.lit(None).cast("double")
-    rel = pr.offer_relevant(F.when(k == 0, F.col("p_partkey") % 2 == 0), F.when(k == 1, F.col("p_size") / 50), none, none, F.lit(False), F.array(F.lit("red"), F.lit("bolt")), F.col("p_name"))
+    rel = pr.offer_relevant(F.when(k == 0, F.col("p_partkey") % 2 == 0), F.when(k == 1, F.col("p_size") / 50), none, none, F.lit(False), F.lit("red bolt"), F.col("p_name"))
     return fx.read(spark, d, "part").select("p_partkey", rel.alias("relevant"))
 
 
@@ -235,8 +235,29 @@ def remove_brand_terms(spark, d):
     return fx.read(spark, d, "part").select("p_partkey", text.remove_brand_terms(t, b).alias("clean"), text.contains_brand(t, b).alias("had_brand"))
 
 
-@query("search_keywords", "SELECT p_partkey, CASE WHEN p_name LIKE '%bolt%' THEN CASE WHEN p_name LIKE '%red%' THEN 'bolt,red bolt' ELSE 'bolt' END WHEN p_name LIKE '%gear%' THEN CASE WHEN p_name LIKE '%red%' THEN 'gear,red gear' ELSE 'gear' END ELSE '' END AS words FROM part")
+_WANTED = {"STANDARD": ("Stainless Steel Insulated Water Bottle", "不锈钢水杯,水杯,不锈钢"), "SMALL": ("Plastic Yoga Mat", "塑料瑜伽垫,瑜伽垫,塑料"), "ECONOMY": ("Deck Box waterproof", "户外储物箱,防水"), "MEDIUM": ("Ant Bait Station", "灭蚁饵剂")}
+_of = lambda i, other: "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in _WANTED.items()) + f" ELSE {other} END"
+
+
+@query(
+    "search_keywords",
+    f"WITH t AS (SELECT *, {_of(0, 'p_name')} AS goods, {_of(1, repr(''))} AS rules FROM part), u AS (SELECT *, goods || ' ' || p_size || 'oz, pack of ' || p_size AS title, CASE p_type WHEN 'STANDARD' THEN '不锈钢保温杯,保温杯,水杯,不锈钢' ELSE rules END AS named FROM t), "
+    + "w AS (SELECT *, list_filter(list_transform(string_split(title, ' '), lambda x: trim(x, ' ,;:/()[]')), lambda x: x <> '') AS ws FROM u) "
+    + "SELECT p_partkey, array_to_string(list_filter(list_concat(CASE WHEN named = '' THEN []::VARCHAR[] ELSE string_split(named, ',') END, CASE WHEN array_to_string(ws[:8], ' ') = array_to_string(ws[:3], ' ') THEN [array_to_string(ws[:3], ' ')] "
+    + "WHEN array_to_string(ws[:8], ' ') = array_to_string(ws[:7], ' ') THEN [array_to_string(ws[:8], ' '), array_to_string(ws[:3], ' ')] ELSE [array_to_string(ws[:8], ' '), array_to_string(ws[:7], ' '), array_to_string(ws[:3], ' ')] END), lambda x: x <> ''), '|') AS words, "
+    + "CASE WHEN p_size * 29.5735 < 50 THEN '' WHEN p_size * 29.5735 >= 1000 THEN printf('%.1fL', p_size * 29.5735 / 1000) || '|大容量' ELSE printf('%.0fml', p_size * 29.5735) || CASE WHEN p_size * 29.5735 >= 500 THEN '|大容量' WHEN p_size * 29.5735 <= 200 THEN '|小容量' ELSE '' END END AS capacity, "
+    + "p_size || CASE p_type WHEN 'MEDIUM' THEN '盒装' ELSE '个装' END AS pack FROM w",
+)
 def search_keywords(spark, d):
+    goods = F.coalesce(*[F.when(F.col("p_type") == k, F.lit(v[0])) for k, v in _WANTED.items()], F.col("p_name"))
+    s = F.col("p_size").cast("string")
+    title = F.concat(goods, F.lit(" "), s, F.lit("oz, pack of "), s)
+    p = fx.read(spark, d, "part").withColumn("words", keywords.title_keywords(title)).withColumn("sizes", keywords.dimension_keywords(title))
+    return p.select("p_partkey", F.array_join("words", "|").alias("words"), F.array_join(F.slice("sizes", 1, F.size("sizes") - 1), "|").alias("capacity"), F.element_at("sizes", -1).alias("pack"))
+
+
+@query("core_keywords", "SELECT p_partkey, CASE WHEN p_name LIKE '%bolt%' THEN CASE WHEN p_name LIKE '%red%' THEN 'bolt,red bolt' ELSE 'bolt' END WHEN p_name LIKE '%gear%' THEN CASE WHEN p_name LIKE '%red%' THEN 'gear,red gear' ELSE 'gear' END ELSE '' END AS words FROM part")
+def core_keywords(spark, d):
     return fx.read(spark, d, "part").select("p_partkey", F.array_join(text.search_keywords(F.col("p_name"), ("bolt", "gear"), ("red",)), ",").alias("words"))
 
 
@@ -251,9 +272,12 @@ def colour_match(spark, d):
     return fx.read(spark, d, "part").select("p_partkey", matching.same(matching.alias_group(first, matching.COLOURS), matching.alias_group(F.lit("红色"), matching.COLOURS)).alias("same"))
 
 
-@query("extract_reasons", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '[\"r' || turn::VARCHAR || '\"]' END AS reasons FROM conversations")
+@query("extract_reasons", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '[\"r' || turn::VARCHAR || ' }\"]' END AS reasons FROM conversations")
 def extract_reasons(spark, d):
-    body = F.concat(F.lit('note {"a": 1} then '), F.when(F.col("turn") % 2 == 0, F.concat(F.lit('{"reasons": ["r'), F.col("turn").cast("string"), F.lit('"]} end'))).otherwise(F.lit("nothing")))
+    """Reasons behind another object and beside values that are nested as deep as the turn says."""
+    n = F.col("turn").cast("int") + 2
+    deep = F.concat(F.repeat(F.lit('{"x": '), n), F.lit('"{"'), F.repeat(F.lit("}"), n))
+    body = F.concat(F.lit('note {"a": 1} then '), F.when(F.col("turn") % 2 == 0, F.concat(F.lit('{"deep": '), deep, F.lit(', "reasons": ["r'), F.col("turn").cast("string"), F.lit(' }"]} end'))).otherwise(F.lit("nothing {")))
     return fx.read(spark, d, "conversations").select("conv_id", "turn", text.extract_reasons(body).alias("reasons"))
 
 
@@ -263,10 +287,28 @@ def flatten_attributes(spark, d):
     return fx.read(spark, d, "part").select("p_partkey", text.flatten_attributes(body).alias("lines"))
 
 
-@query("imported_offer_match", "WITH tok AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS token FROM documents), kw AS (SELECT DISTINCT p_type AS k, lower(w) AS token FROM (SELECT p_type, unnest(['the', 'of', lower(p_type)]) AS w FROM part)) SELECT k AS keyword, doc_id, count(*) AS hits FROM tok JOIN kw USING (token) GROUP BY ALL")
+_GROUPS = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, group in enumerate(containment.ALIASES) for t in group) + ") AS a(g, term)"
+
+
+@query(
+    "imported_offer_match",
+    "WITH kw AS (SELECT p_brand || ' ' || p_type AS key, unnest(list_concat(string_split(min(p_name), ' '), ['the', CASE p_type WHEN 'SMALL' THEN '保温杯' WHEN 'LARGE' THEN '铝' WHEN 'MEDIUM' THEN 'Bottle' ELSE 'Que' END])) AS w FROM part GROUP BY p_brand, p_type), "
+    + f"al AS (SELECT * FROM {_GROUPS}), grp AS (SELECT DISTINCT key, g FROM kw, al WHERE contains(lower(w), lower(term)) OR contains(lower(term), lower(w))), "
+    + "ex AS (SELECT DISTINCT key, w FROM kw UNION SELECT key, term FROM grp JOIN al USING (g)), "
+    + "doc AS (SELECT doc_id, lower(text || ' ' || lang || CASE doc_id % 9 WHEN 0 THEN ' 不锈钢保温杯' WHEN 1 THEN ' 铝' WHEN 2 THEN ' Vacuum Bottle' ELSE '' END) AS t FROM documents), "
+    + "sc AS (SELECT key, doc_id, count(*) AS score FROM ex JOIN doc ON contains(t, lower(w)) GROUP BY ALL) "
+    + "SELECT key, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, doc_id % 100 DESC, doc_id) AS rank FROM sc) WHERE rank <= 20",
+)
 def imported_offer_match(spark, d):
-    words = fx.read(spark, d, "part").select(F.col("p_type").alias("keyword"), F.explode(F.array(F.lit("the"), F.lit("of"), F.lower("p_type"))).alias("word")).distinct()
-    return joins.keyword_containment(fx.read(spark, d, "documents"), words, "doc_id", "text", "keyword", "word")
+    """Documents as offers and the goods of each brand and type as keys; one word is in nearly every text."""
+    c = F.col
+    extra = F.when(c("p_type") == "SMALL", "保温杯").when(c("p_type") == "LARGE", "铝").when(c("p_type") == "MEDIUM", "Bottle").otherwise("Que")
+    keys = fx.read(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_name").alias("name")).select(F.concat_ws(" ", "p_brand", "p_type").alias("key"), F.concat(F.split("name", " "), F.array(F.lit("the"), extra)).alias("words"))
+    k = c("doc_id") % 9
+    tail = F.when(k == 0, " 不锈钢保温杯").when(k == 1, " 铝").when(k == 2, " Vacuum Bottle").otherwise("")
+    docs = fx.read(spark, d, "documents").select("doc_id", "text", F.concat("lang", tail).alias("more"), (c("doc_id") % 100).alias("at"))
+    m = containment.imported_offer_match(docs, keys, "doc_id", ("text", "more"), "at")
+    return m.withColumn("rank", c("rank").cast("long"))
 
 
 @query("similar_offers", "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS sim FROM q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s WHERE sim >= 0.2) SELECT query_id, id, round(sim, 9) AS similarity, rank FROM r WHERE rank <= 20")
