@@ -138,10 +138,29 @@ def card_price_cny(c: Column) -> Column:
     return F.when((v > 0) & (v <= 9999), v)
 
 
+#: Wordings of a month's sales on offer cards, in order, and whether the number counts in ten thousands (fixed values).
+CARD_SALES = ((r"全网([\d.]+)万\+?件", True), (r"([\d.]+)万\+?件", True), (r"月销[量售]*([\d.]+)万\+?件", True), (r"月成交([\d.]+)万\+?", True), (r"(?:月销[量售]*|成交|已售|sold)\s*([\d.]+)万", True), (r"(?:月销[量售]*|成交|已售|sold)\s*([\d,]+)", False), (r"([\d,]+)\s*笔", False))
+SUPPLIER_WORDS = ("公司", "工厂", "厂家", "有限", "店")
+
+
 def card_monthly_sales(c: Column) -> Column:
-    pattern = r"(?:月销|成交|已售|sold)\s*(\d+(?:\.\d+)?)(万)?"
-    v = F.regexp_extract(F.lower(c), pattern, 1).try_cast("double")
-    return F.when(F.regexp_extract(F.lower(c), pattern, 2) == "万", v * 10000).otherwise(v)
+    """Sales of a month by the first wording that a card has."""
+    low = F.lower(c)
+    value = lambda p: F.replace(F.regexp_extract(low, p, 1), F.lit(","), F.lit("")).try_cast("double")
+    return F.coalesce(*[value(p) * 10000 if many else value(p) for p, many in CARD_SALES])
+
+
+def card_supplier(c: Column) -> Column:
+    """The last line of a card that names a kind of company, else its last line; 40 characters at most."""
+    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " "))), lambda x: x != "")
+    named = F.filter(lines, lambda x: x.rlike("|".join(SUPPLIER_WORDS)))
+    return F.substring(F.coalesce(F.try_element_at(named, F.lit(-1)), F.try_element_at(lines, F.lit(-1))), 1, 40)
+
+
+def card_offer_id(url: Column) -> Column:
+    """Offer id of an address: in its path, else its query."""
+    part = lambda p: F.nullif(F.regexp_extract(url, p, 1), F.lit(""))
+    return F.coalesce(part(r"(?i)/offer/(\d+)"), part(r"(?i)[?&]offerId=(\d+)"))
 
 
 def card_repeat_rate(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Field weights of the comparison (fixed values).
@@ -76,6 +76,18 @@ def match_decision(mismatch: Column, malformed_visual: Column, manual_profile: C
     return F.struct(decision.alias("decision"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 4).alias("confidence"))
 
 
+def pair_specs(targets: DataFrame, candidates: DataFrame, key: str, spec: str = "spec") -> DataFrame:
+    """Targets with each candidate of their key and ``match``: struct of compare_specs over the two specifications (structs of specs.extract_specs). Features count as hits where the candidate has them."""
+    other = {c: f"candidate_{c}" if c in targets.columns and c != key else c for c in candidates.columns}
+    pairs = targets.join(candidates.withColumnsRenamed(other), key)
+    a, b = (lambda n: F.col(f"{spec}.{n}")), (lambda n: F.col(f"{other[spec]}.{n}"))
+    names = {"category": "category", "material": "material", "color": "color", "pack_count": "pack_count", "capacity": "capacity_ml", "dimensions": "dimensions_cm"}
+    states = {"capacity": close_number(a("capacity_ml"), b("capacity_ml"), 0.12), "dimensions": close_dimensions(a("dimensions_cm"), b("dimensions_cm"))}
+    states |= {n: same(a(n), b(n)) for n in ("category", "material", "color", "pack_count")}
+    has = {n: a(c).isNotNull() for n, c in names.items()}
+    return pairs.withColumn("match", compare_specs(states, has, a("features"), F.size(F.array_intersect(a("features"), b("features")))))
+
+
 #: Conflicts of a specification that no score outweighs, and evidence that a decision cannot do without (fixed values).
 HARD_SPECS = ("capacity", "dimensions", "material", "pack_count")
 CRITICAL_STATES = ("function", "product_type", "price", "moq")

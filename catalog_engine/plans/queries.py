@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cost, scores, supplier
 from ..operators import aggregates, joins, research, windows
 from ..rules import COST, SCORE
+from ..sources import writers
 from ..sources.buckets import work_dir
 from ..streaming import scoring
 from . import fixtures as fx
@@ -254,6 +255,16 @@ def seller_shortlist(spark: SparkSession, d: str) -> DataFrame:
     return s.select("niche", "seller", "asin", "product_count", "launch_months", "fit_category", "fit_score", F.array_join("exclusion_reasons", ",").alias("exclusion_reasons"), F.col("rank_index").cast("long").alias("rank_index"))
 
 
+@query("shortlist_files", fx.with_ctes(fx.COMPETITOR, SELLERS, SHARES, SHORTLIST) + "SELECT excluded, fit_category, count(*) AS n, count(DISTINCT seller) AS n_sellers, (SELECT count(*) FROM short s WHERE s.fit_category IS NOT DISTINCT FROM t.fit_category) AS n_in_summary FROM short t GROUP BY excluded, fit_category")
+def shortlist_files(spark: SparkSession, d: str) -> DataFrame:
+    """The shortlist written in two partitions with its summary beside it, and both read back."""
+    path = work_dir(spark, "shortlist")
+    writers.write_seller_shortlist(research.shortlist(fx.competitors(spark, d), "2025-01-01"), path)
+    sellers = spark.read.parquet(f"{path}/sellers").withColumn("excluded", F.col("excluded").cast("boolean")).groupBy("excluded", "fit_category").agg(F.count("*").alias("n"), F.count_distinct("seller").alias("n_sellers"))
+    summary = spark.read.parquet(f"{path}/summary").select(F.col("fit_category").alias("kind"), F.col("n").alias("n_in_summary"))
+    return sellers.join(summary, F.col("fit_category").eqNullSafe(F.col("kind")), "left").drop("kind")
+
+
 @query("seller_aggregate", fx.with_ctes(fx.COMPETITOR, SELLERS) + "SELECT niche, seller, rep.asin AS asin, reported AS reported_product_count, sample_count AS sample_product_count, total_monthly_sales, total_monthly_revenue, array_to_string(brands, ',') AS brands FROM sel")
 def seller_aggregate(spark: SparkSession, d: str) -> DataFrame:
     s = aggregates.seller_aggregate(fx.competitors(spark, d), niche=["niche"])

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import cost
 from ..functions import normalize as nm
 from ..functions import predicates as pr
-from ..operators import matching, profiles, setops, text
+from ..operators import aggregates, matching, profiles, setops, text
 from ..sources import detail, readers, writers
 from ..streaming import events as ev
+from ..sources.buckets import work_dir
 from . import fixtures as fx
 from .queries import half_up, query
 from .queries_text import events
@@ -95,16 +96,25 @@ def parse_price_text(spark, d):
 
 @query(
     "offer_card_parsers",
-    "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, CASE WHEN l_extendedprice <= 9999 THEN l_extendedprice END AS price, l_quantity * CASE WHEN l_linestatus = 'O' THEN 10000 ELSE 1 END AS sales, round(l_discount * 100) / 100 AS repeat_rate, CASE WHEN l_returnflag <> 'N' THEN l_quantity::INT END AS moq FROM lineitem",
+    "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, CASE WHEN l_extendedprice <= 9999 THEN l_extendedprice END AS price, l_quantity * CASE WHEN l_linestatus = 'O' THEN 10000 ELSE 1 END AS sales, round(l_discount * 100) / 100 AS repeat_rate, CASE WHEN l_returnflag <> 'N' THEN l_quantity::INT END AS moq, "
+    + "CASE WHEN l_suppkey % 3 = 0 THEN '厂家 ' || l_suppkey WHEN l_suppkey % 3 = 1 THEN 'shop ' || l_suppkey ELSE l_suppkey || '有限公司' END AS supplier, CASE WHEN l_linenumber % 3 < 2 THEN (700000000 + l_orderkey)::VARCHAR END AS offer_id FROM lineitem",
 )
 def offer_card_parsers(spark, d):
-    whole = F.col("l_quantity").cast("int").cast("string")
+    c = F.col
+    whole, key = c("l_quantity").cast("int").cast("string"), c("l_suppkey").cast("string")
     cell = F.concat(
-        F.lit("¥"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit(" 月销"), whole, F.when(F.col("l_linestatus") == "O", F.lit("万")).otherwise(F.lit("件")),
-        F.lit(" 回头率"), F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("% "), F.when(F.col("l_returnflag") != "N", F.concat(whole, F.lit("个起批"))).otherwise(F.lit("")),
+        F.when(c("l_suppkey") % 3 == 0, F.concat(F.lit("厂家 "), key, F.lit("\n"))).otherwise(F.lit("")), F.lit("¥"), c("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit("\n"),
+        F.when(c("l_linestatus") == "O", F.concat(F.lit("全网"), whole, F.lit("万+件"))).when(c("l_linenumber") % 2 == 0, F.concat(F.lit(" 月销"), whole, F.lit("件"))).otherwise(F.concat(whole, F.lit(" 笔"))),
+        F.lit(" 回头率"), F.round(c("l_discount") * 100).cast("int").cast("string"), F.lit("% "), F.when(c("l_returnflag") != "N", F.concat(whole, F.lit("个起批"))).otherwise(F.lit("")),
+        F.when(c("l_suppkey") % 3 == 1, F.concat(F.lit("\n shop "), key)).when(c("l_suppkey") % 3 == 2, F.concat(F.lit("\n"), key, F.lit("有限公司\nmore"))).otherwise(F.lit("")),
     )
+    k, number = c("l_linenumber") % 3, (c("l_orderkey") + 700000000).cast("string")
+    url = F.when(k == 0, F.concat(F.lit("https://detail.example/offer/"), number, F.lit(".html"))).when(k == 1, F.concat(F.lit("https://m.example/x?a=1&offerId="), number)).otherwise(F.lit("https://detail.example/shop"))
     cards = fx.read(spark, d, "lineitem")
-    return cards.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", nm.card_price_cny(cell).alias("price"), nm.card_monthly_sales(cell).alias("sales"), nm.card_repeat_rate(cell).alias("repeat_rate"), nm.card_moq(cell).alias("moq"))
+    return cards.select(
+        "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", nm.card_price_cny(cell).alias("price"), nm.card_monthly_sales(cell).alias("sales"), nm.card_repeat_rate(cell).alias("repeat_rate"), nm.card_moq(cell).alias("moq"),
+        nm.card_supplier(cell).alias("supplier"), nm.card_offer_id(url).alias("offer_id"),
+    )
 
 
 _UNITS = {"ECONOMY": ("pounds", 0.45359237), "LARGE": ("kg", 1.0), "MEDIUM": ("ounces", 0.028349523125), "STANDARD": ("g", 0.001), "PROMO": ("lbs", 0.45359237), "SMALL": ("oz", 0.028349523125)}
@@ -497,6 +507,70 @@ def candidates_flat(spark, d):
     return writers.flat_candidates(nested).select("asin", "title", "top_offer_id", "top_supplier", F.col("n_suppliers").cast("long").alias("n_suppliers"))
 
 
+@query("upsert_offers", "SELECT o_custkey, CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey::VARCHAR WHEN o_orderkey % 4 = 2 THEN 'u/' || o_orderkey ELSE 'unknown' END AS offer, max(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END) AS price FROM orders WHERE o_orderkey % 4 < 3 GROUP BY ALL")
+def upsert_offers(spark, d):
+    """Orders as offers of a customer: id, else address; offers without either are one, and left out here."""
+    c, k = F.col, F.col("o_orderkey")
+    o = fx.read(spark, d, "orders").select("o_custkey", F.when(k % 4 < 2, k.cast("string")).otherwise(" ").alias("offer_id"), F.when(k % 4 == 2, F.concat(F.lit("u/"), k.cast("string"))).alias("offer_url"), c("o_totalprice").alias("price"), (k % 3 == 0).alias("again"))
+    o = o.select("o_custkey", writers.offer_key().alias("offer"), "price", "again").filter("offer <> 'unknown'")
+    return writers.upsert(o.drop("again"), o.filter("again").select("o_custkey", "offer", (c("price") * 2).alias("price")), ["o_custkey", "offer"])
+
+
+@query("keyword_market", "SELECT o_custkey, arg_max(o_orderkey, (coalesce(sv, -1), coalesce(pv, -1), -o_orderkey)) AS o_orderkey, arg_max({v: pv}, (coalesce(sv, -1), coalesce(pv, -1), -o_orderkey)).v AS purchase_volume FROM (SELECT *, CASE WHEN o_orderkey % 5 > 0 THEN floor(o_totalprice / 50000) END AS sv, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 3)::DOUBLE END AS pv FROM orders) GROUP BY o_custkey")
+def keyword_market(spark, d):
+    """Orders as keyword rows: many share a search volume, so purchase volume and then the first row decide."""
+    k = F.col("o_orderkey")
+    rows = fx.read(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(k % 5 > 0, F.floor(F.col("o_totalprice") / 50000).cast("double")).alias("search_volume"), F.when(k % 7 > 0, (k % 3).cast("double")).alias("purchase_volume"), k.alias("source_pos"))
+    return aggregates.best_keyword(rows, ["o_custkey"]).select("o_custkey", "o_orderkey", "purchase_volume")
+
+
+_SPECS = """sp AS (SELECT p_partkey, CASE split_part(p_name, ' ', 1) WHEN 'red' THEN '红色' WHEN 'blue' THEN '蓝色' WHEN 'green' THEN '绿色' END AS color, CASE p_type WHEN 'SMALL' THEN '塑料' WHEN 'LARGE' THEN '木' END AS material, p_size * 1000.0::DOUBLE AS cap, p_size % 5 + 1 AS pack, p_size FROM part),
+pr AS (SELECT a.p_partkey, b.p_partkey AS other, a.color = b.color AS color, a.color IS NOT NULL AS has_color, a.material = b.material AS material, a.material IS NOT NULL AS has_material, abs(a.cap - b.cap) <= a.cap * 0.12::DOUBLE AS capacity, a.pack = b.pack AS pack_count FROM sp a JOIN sp b ON b.p_partkey = a.p_size * 7)"""
+_earn = lambda n, w, has="true": f"CASE WHEN {n} THEN {w}::DOUBLE WHEN {n} IS NULL AND {has} THEN {w}::DOUBLE * 0.35::DOUBLE ELSE 0.0::DOUBLE END"
+_of_all = lambda n, w, has: f"CASE WHEN {n} IS NOT NULL OR {has} THEN {w}::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+@query(
+    "pair_specs",
+    f"WITH {_SPECS} SELECT p_partkey, other, "
+    + half_up(f"({_earn('material', 1.2, 'has_material')} + {_earn('capacity', 1.0)} + {_earn('pack_count', 1.0)} + {_earn('color', 0.4, 'has_color')}) / ({_of_all('material', 1.2, 'has_material')} + 2.0::DOUBLE + {_of_all('color', 0.4, 'has_color')})", 4)
+    + " AS score, array_to_string(list_filter([CASE WHEN NOT material THEN 'material' END, CASE WHEN NOT capacity THEN 'capacity' END, CASE WHEN NOT pack_count THEN 'pack_count' END, CASE WHEN NOT color THEN 'color' END], lambda x: x IS NOT NULL), ',') AS conflicts FROM pr",
+)
+def pair_specs(spark, d):
+    """Specifications read from the texts of two parts, compared field by field."""
+    from ..operators import specs
+
+    c, s = F.col, F.col("p_size").cast("string")
+    made = F.when(c("p_type") == "SMALL", " plastic").when(c("p_type") == "LARGE", " wood").otherwise("")
+    goods = fx.read(spark, d, "part").select("p_partkey", (c("p_size") * 7).alias("points_to"), F.concat("p_name", made, F.lit(" "), s, F.lit(" L, pack of "), (c("p_size") % 5 + 1).cast("string")).alias("t"))
+    read = specs.extract_specs(goods, "t")
+    out = matching.pair_specs(read.withColumn("key", c("points_to")), read.select(c("p_partkey").alias("key"), c("p_partkey").alias("other"), "spec"), "key")
+    return out.select("p_partkey", "other", "match.score", F.array_join("match.conflicts", ",").alias("conflicts"))
+
+
+# --- tables written and read again ---------------------------------------------------------------
+
+
+@query("candidates_json", fx.with_ctes(fx.PRODUCT, fx.OFFER) + ", r AS (SELECT asin, list(offer_id ORDER BY source_pos) AS ids, count(*) AS n FROM offer GROUP BY asin) SELECT p.asin, " + half_up("p.price / 3", 4) + " AS net_profit, coalesce(least(n, 10), 0) AS n_suppliers, array_to_string(ids[:10], ',') AS offers FROM product p LEFT JOIN r USING (asin)")
+def candidates_json(spark, d):
+    """Nested records written as JSON, read back as export documents."""
+    from ..operators.windows import top_per_key
+
+    path = work_dir(spark, "candidates")
+    o = top_per_key(fx.offers(spark, d).select("asin", "offer_id", "source_pos"), ["asin"], [F.asc("source_pos")], 12, "offer_rank").drop("source_pos")
+    writers.write_candidates_json(fx.products(spark, d).select("asin", (F.col("price") / 3).alias("net_profit")), o, path)
+    back = readers.candidate_exports(spark, path, multi_line=False)
+    ids = F.transform(F.array_sort(F.transform("suppliers", lambda x: F.struct(x["offer_rank"].alias("n"), x["offer_id"].alias("id")))), lambda x: x["id"])
+    return back.select("asin", "net_profit", F.coalesce(F.size("suppliers"), F.lit(0)).cast("long").alias("n_suppliers"), F.array_join(ids, ",").alias("offers"))
+
+
+@query("canonical_headers", "SELECT event_id, event_type AS seller, value AS monthly_sales, user_id::VARCHAR AS note FROM events")
+def canonical_headers(spark, d):
+    """A competitor export with odd headers; the second seller column is not the seller."""
+    e = fx.read(spark, d, "events").select("event_id", F.col("event_type").alias("Store-Name"), F.col("value").alias(" 月销量 "), F.col("user_id").cast("string").alias("卖家"))
+    return nm.canonical_headers(e, readers.COMPETITOR_HEADERS, strict=False, required=("seller", "brand")).select("event_id", "seller", "monthly_sales", F.col("卖家").alias("note"))
+
+
 # --- product and offer pages made of parts and lines ---------------------------------------------
 
 

@@ -197,9 +197,9 @@ def manifest_verify(spark, d):
     return writers.manifest_verify(m, docs.select("path", "content"))
 
 
-@query("import_manifest", "SELECT event_type AS source_file, count(*) AS n_rows FROM events GROUP BY event_type")
+@query("import_manifest", "SELECT event_type AS source_file, count(*) AS n_rows, sha256(string_agg(DISTINCT h, '' ORDER BY h)) AS sha256 FROM (SELECT event_type, sha256('{\"event_id\":' || event_id || ',\"user_id\":' || user_id || '}') AS h FROM events) GROUP BY event_type")
 def import_manifest(spark, d):
-    return writers.import_manifest(events(spark, d).withColumn("source_file", F.col("event_type"))).select("source_file", "n_rows")
+    return writers.import_manifest(events(spark, d).select("event_id", "user_id", F.col("event_type").alias("source_file"))).select("source_file", "n_rows", "sha256")
 
 
 # --- text to features ----------------------------------------------------------------------------

@@ -136,9 +136,9 @@ def market_detail(df: DataFrame, json_col: str) -> DataFrame:
     ).drop(json_col)
 
 
-def candidate_exports(spark: SparkSession, path: str) -> DataFrame:
-    """All export documents under a path with their file name and time; unreadable ones are skipped."""
-    raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def candidate_exports(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All export documents under a path with their file name and time; unreadable ones are skipped. Documents are whole files, or lines of them."""
+    raw = spark.read.option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
     raw = raw.filter("_corrupt_record is null") if "_corrupt_record" in raw.columns else raw
     return raw.withColumns({"export_id": F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""), "exported_at": F.col("_metadata.file_modification_time")})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,31 @@ def flat_candidates(nested: DataFrame) -> DataFrame:
     return nested.select(*own, *[top[n].alias(f"top_{n}") for n in element], F.coalesce(F.size("suppliers"), F.lit(0)).alias("n_suppliers"), F.to_json("suppliers").alias("suppliers_json"))
 
 
+#: Headers of the flat export and the column or expression under each, in order (fixed values). ``top.`` is the first offer.
+EXPORT_COLUMNS = (
+    ("ASIN", "asin"), ("标题", "title"), ("品牌", "brand"), ("类目", "category"), ("售价($)", "price"), ("BSR排名", "bsr_rank"), ("评分", "rating"), ("评论数", "review_count"),
+    ("综合评分", "round(total_score, 1)"), ("利润率", "CASE WHEN profit_margin IS NOT NULL THEN format_string('%.1f%%', profit_margin * 100) END"), ("净利润($)", "round(net_profit, 2)"),
+    ("利润得分", "round(profit_score, 3)"), ("需求得分", "round(demand_score, 3)"), ("竞争得分", "round(competition_score, 3)"), ("供应得分", "round(supply_score, 3)"), ("物流得分", "round(logistics_score, 3)"), ("风险得分", "round(risk_score, 3)"),
+    ("采购成本($)", "round(purchase_cost, 2)"), ("头程($)", "round(shipping_cost, 2)"), ("FBA费($)", "round(fba_fee, 2)"), ("佣金($)", "round(commission, 2)"), ("广告费($)", "round(ad_cost, 2)"), ("退货损耗($)", "round(return_loss, 2)"),
+    ("供应商数", "coalesce(size(suppliers), 0)"), ("Top1供应商", "top.supplier"), ("Top1货源链接", "top.offer_url"), ("Top1采购价(CNY)", "top.base_price_cny"), ("Top1 MOQ", "top.moq"),
+    ("Top1来源", "top.source"), ("Top1视觉相似", "round(top.image_similarity, 3)"), ("Top1匹配分", "round(top.match_quality_score, 3)"), ("Top1候选分", "top.candidate_score"), ("Top1供应商质量分", "top.quality_score"), ("Top1业务条件分", "top.business_score"),
+    ("通过筛选", "CASE WHEN passed THEN '✓' ELSE '✗' END"), ("审核状态", "review_status"), ("拒绝原因", "array_join(rejection_reasons, ', ')"),
+    ("Schema版本", "schema_version"), ("Run Ref", "run_ref"), ("查询计划与命中率", "to_json(query_plan)"), ("匹配证据", "to_json(match_evidence)"), ("推荐状态", "recommendation_status"),
+    ("推荐原因", "to_json(recommendation_reasons)"), ("证据拒绝原因", "to_json(evidence_rejection_reasons)"), ("人工核验任务", "to_json(manual_verification_tasks)"),
+)
+_NAME = re.compile(r"\b(?:top\.)?(?!round|format_string|coalesce|size|array_join|to_json|CASE|WHEN|THEN|ELSE|END)[a-z][a-z_0-9]*")
+
+
+def export_rows(candidates: DataFrame) -> DataFrame:
+    """The 45 columns of the flat export, one row per candidate; cells whose column the table does not have are null."""
+    offers = candidates.schema["suppliers"].dataType.elementType.names if "suppliers" in candidates.columns else []
+    known = {c.lower() for c in candidates.columns} | {f"top.{n}".lower() for n in offers}
+    staged = candidates.withColumn("top", F.get("suppliers", F.lit(0))) if offers else candidates
+    bare = lambda e: re.sub(r"'[^']*'", "", e)
+    there = lambda e: all(n.lower() in known for n in _NAME.findall(bare(e)))
+    return staged.select(*[(F.expr(e) if there(e) else F.lit(None).cast("string")).alias(header) for header, e in EXPORT_COLUMNS])
+
+
 def write_candidates_flat(nested: DataFrame, path: str, fmt: str = "parquet") -> None:
     flat_candidates(nested).write.mode("overwrite").format(fmt).save(path)
 

@@ -42,6 +42,18 @@ def test_candidates_round_trip(spark, tmp_path):
     assert flat["n_suppliers"] == 0 and flat["top_offer_id"] is None
 
 
+def test_flat_export_has_all_columns(spark, tmp_path):
+    offers = spark.createDataFrame([("a", 1, "Acme", 2.5, 7, 0.12345), ("a", 2, "Other", 2.0, 9, None)], "asin string, offer_rank int, supplier string, base_price_cny double, moq int, match_quality_score double")
+    products = spark.createDataFrame([("a", "t", 0.3123, 12.345, True, ["x", "y"]), ("b", "u", None, None, False, [])], "asin string, title string, profit_margin double, net_profit double, passed boolean, rejection_reasons array<string>")
+    out = writers.export_rows(writers.nested_candidates(products, offers))
+    assert len(out.columns) == 45 == len(set(out.columns))
+    a, b = out.orderBy("ASIN").collect()
+    assert (a["利润率"], a["净利润($)"], a["供应商数"], a["Top1供应商"], a["Top1匹配分"], a["通过筛选"], a["拒绝原因"], a["品牌"]) == ("31.2%", 12.35, 2, "Acme", 0.123, "✓", "x, y", None)
+    assert (b["利润率"], b["供应商数"], b["Top1供应商"], b["通过筛选"], b["拒绝原因"]) == (None, 0, None, "✗", "")
+    writers.write_candidates_flat(writers.nested_candidates(products, offers), str(tmp_path / "flat"))
+    assert spark.read.parquet(str(tmp_path / "flat")).count() == 2
+
+
 def test_candidate_exports_skip_broken_files(spark, tmp_path):
     (tmp_path / "candidates_1.json").write_text(json.dumps([{"asin": "a"}, {"asin": "b"}]))
     (tmp_path / "candidates_2.json").write_text("{broken")

@@ -13,8 +13,8 @@ TITLES = {
     "Extra Thick Non-Slip Yoga Mat for Home Fitness": (["瑜伽垫", "防滑", "Extra Thick Non-Slip Yoga Mat for Home Fitness", "Extra Thick Non-Slip Yoga Mat Home Fitness", "Extra Thick Non-Slip"], []),
     "Liquid Ant Killer Bait Stations for Indoor Ant Control, 12 Count": (["灭蚁饵剂"], ["12盒装"]),
     "Kitchen Towel Set of 4, 10x10x5 inches": (["毛巾"], ["4条装", "多尺寸规格"]),
-    "Set of 6 cups 2 gallon": ([], ["7.6L", "大容量", "6件套"]),
-    "solid 150 ml vial": ([], ["150ml", "小容量"]),
+    "Set of 6 cups 2 gallon": (["Set of 6 cups 2 gallon"], ["7.6L", "大容量", "6件套"]),
+    "solid 150 ml vial": (["solid 150 ml vial"], ["150ml", "小容量"]),
     None: ([], []),
 }
 
