@@ -9,13 +9,21 @@ collected by gram or by key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..sources.buckets import work_dir
 from .windows import top_per_key
 
 GRAM = 3
+#: Grams of words that may be sent to every task (8 MB).
+MOST_SENT = 1 << 20
 #: Words that stand for each other: a keyword that holds one of a group, or is held by one, stands for all of it (fixed values).
 ALIASES = (
     ("水杯", "保温杯", "杯子", "运动水壶", "water bottle", "tumbler", "bottle"),
@@ -52,24 +60,74 @@ def expand_keywords(words: Column, aliases: tuple[tuple[str, ...], ...] = ALIASE
     return F.array_distinct(F.flatten(F.transform(kept, one)))
 
 
-def _grams(text: Column, size: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
+def _codes(text: str, size: int) -> np.ndarray:
+    """Every run of so many characters as one number: 21 bits a character, and the run's length on top."""
+    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    n = max(0, len(signs) - size + 1)
+    out = np.zeros(n, np.int64)
+    for i in range(size):
+        out = (out << 21) | signs[i : i + n]
+    return out if size == GRAM else out | (size << 42)
+
+
+def _marks(codes: np.ndarray) -> np.ndarray:
+    return (np.ascontiguousarray(codes).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _word_grams(words: pd.Series) -> pd.Series:
+    return pd.Series([np.unique(_codes(w, min(GRAM, len(w)))) for w in words])
+
 
+def _text_grams(sizes: list[int], wanted: np.ndarray | None):
+    """(id, gram) of texts: their distinct grams, of those wanted where the list is given."""
+    known = np.zeros(1 << 16, bool)
+    if wanted is not None:
+        wanted = np.sort(wanted)
+        known[_marks(wanted)] = True
 
-def containing_texts(texts: DataFrame, words: DataFrame, id_col: str, text_col: str, word_col: str) -> DataFrame:
-    """(id, word) of every text that holds a word, both lower-cased; ids name one text each. Null texts and empty words hold nothing."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, rows, grams, held = b.column("id"), [], [], 0
+            for i, text in enumerate(b.column("text")):
+                for size in sizes if text.is_valid else ():
+                    codes = _codes(text.as_py(), size)
+                    if wanted is not None:
+                        codes = codes[known[_marks(codes)]]
+                        codes = codes[wanted[np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)] == codes]
+                    codes = np.unique(codes)
+                    rows.append(np.full(len(codes), i))
+                    grams.append(codes)
+                    held += len(codes)
+                if held > 1 << 20 or i == b.num_rows - 1:
+                    if held:
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(grams))], names=["id", "gram"])
+                    rows, grams, held = [], [], 0
+
+    return run
+
+
+def containing_texts(texts: DataFrame, words: DataFrame, id_col: str, text_col: str, word_col: str, most_sent: int = MOST_SENT) -> DataFrame:
+    """(id, word) of every text that holds a word, both lower-cased; ids name one text each. Null texts and empty words hold nothing.
+
+    Grams of the words go to every task only while there are at most ``most_sent`` (8
+    bytes each), to spare the join what no word asks for; beyond, the join does it all.
+    """
     spark = texts.sparkSession
     pages = texts.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
-    wanted = words.select(F.lower(F.col(word_col)).alias("word")).filter("word <> ''").distinct().withColumn("size", F.least(F.lit(GRAM), F.length("word")))
-    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # of 1, 2 and 3
+    wanted = words.select(F.lower(F.col(word_col)).alias("word")).filter("word <> ''").distinct()
+    of_word = wanted.select("word", F.explode(_word_grams("word")).alias("gram"))
+    sizes = sorted(r["size"] for r in wanted.select(F.least(F.lit(GRAM), F.length("word")).alias("size")).distinct().collect())  # of 1, 2 and 3
     if not sizes:
         return pages.select("id", F.col("text").alias("word")).limit(0)
-    own = F.coalesce(*[F.when(F.col("size") == n, F.array_distinct(_grams(F.col("word"), n))) for n in sizes])
-    of_word = wanted.select("word", F.explode(own).alias("gram"))
-    found = pages.select("id", F.explode(F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in sizes]))).alias("gram")).join(of_word.select("gram").distinct(), "gram")
+    some = of_word.select("gram").distinct().limit(most_sent + 1).toPandas()["gram"].to_numpy()
+    schema = f"id {pages.schema['id'].dataType.simpleString()}, gram long"
+    found = pages.mapInArrow(_text_grams(sizes, some if len(some) <= most_sent else None), schema)
+    if len(some) > most_sent:
+        found = found.join(of_word.select("gram").distinct(), "gram").select("id", "gram")
     path = work_dir(spark, "gram-hits")
     found.write.parquet(path)
-    hits = spark.read.schema(found.schema).parquet(path)
+    hits = spark.read.schema(schema).parquet(path)
     often = hits.groupBy("gram").agg(F.count("*").alias("often"))
     # a word with a gram that no text has is in no text
     lookup = of_word.join(often, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("rarest")).filter("rarest.often > 0").select("word", "rarest.gram")

@@ -68,6 +68,13 @@ def test_matches_equal_a_plain_scan(spark):
     assert containment.imported_offer_match(o, k.limit(0)).count() == 0 and containment.imported_offer_match(o.limit(0), k).count() == 0
 
 
+def test_grams_beyond_what_is_sent_are_joined(spark):
+    texts = spark.createDataFrame([(1, "Abcde 水杯"), (2, "abd"), (3, None), (4, "")], "id long, text string")
+    words = spark.createDataFrame([("BCD",), ("水",), ("水杯",), ("ab",), ("xyz",), ("",), (None,)], "w string")
+    got = [sorted(map(tuple, containment.containing_texts(texts, words, "id", "text", "w", most_sent=n).collect())) for n in (0, 100)]
+    assert got[0] == got[1] == [(1, "ab"), (1, "bcd"), (1, "水"), (1, "水杯"), (2, "ab")]
+
+
 RELEVANT = [
     ("户外取暖器", "新款 户外取暖器大号", True), ("取暖器", "户外取暖器 包邮", True), ("取暖", "户外取暖器", False), ("户外 取暖器", "大号户外取暖器", True), ("户外 取暖器", "取暖器 户外", False),
     ("patio heater 取暖器", "patio HEATER 户外取暖器", True), ("patio heater cover set", "patio heater cover", True), ("patio heater", "patio heaters", False), ("a b", "a b", False), (None, "x", False), ("heater", "heater", False),
