@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +40,7 @@ RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag
 IN_HEAD = RAW - {"xmp", "textarea"} | frozenset("base basefont bgsound head html link meta noframes noscript template".split())
 #: Elements whose content is never shown as text.
 HIDDEN = frozenset("head noscript template svg select iframe object canvas audio video math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 PARTS = "nav header footer aside form menu button dialog figure figcaption table ul ol article main section blockquote pre h1 h2 h3 h4 h5 h6 p li td dd a".split()
 #: Class words by the kind of page part that they name.
@@ -71,6 +72,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, frozenset, int | None]] = []
     out: list[Block] = []
     pieces: list[str] = []
+    opened: Counter[str] = Counter()
     linked = links = hidden = 0
     at = 0
 
@@ -90,6 +92,7 @@ def blocks(page: str) -> list[Block]:
         for tag, _, _ in stack[k:]:
             hidden -= tag in HIDDEN
             links -= tag == "a"
+            opened[tag] -= 1
         del stack[k:]
 
     while at < len(page):
@@ -110,9 +113,8 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
-                leave(k)
+            if opened[tag]:  # else there is nothing to look for, however deep the page
+                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag == "body" or stack and stack[-1][0] == "head" and tag not in IN_HEAD:
             k = next((i for i, (t, _, _) in enumerate(stack) if t == "head"), None)
@@ -145,6 +147,7 @@ def blocks(page: str) -> list[Block]:
             if (d := LABEL.search(attrs)) is not None:
                 label = int(d[1])
         stack.append((tag, marks, label))
+        opened[tag] += 1
         hidden += tag in HIDDEN
         links += tag == "a"
     flush()

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from catalog_engine.llm import chat_format, spelling, whitening
+from catalog_engine.llm import chat_format, decontam, html_extract, spelling, whitening
 
 # --- op11 ----------------------------------------------------------------------------------------
 
@@ -193,3 +193,59 @@ def test_an_open_group_is_answered_in_batches(monkeypatch):
     one = lambda x, y: sum(a != b for a, b in zip(x, y)) == 1
     want = Counter({w: sum(one(w, v) for v in words[:6]) + (w in words[:2]) for w in words})
     assert got == +want
+
+
+# --- op4 and op8, what earlier tests left out -----------------------------------------------------
+
+
+def test_breaks_inside_a_word_join_it():
+    assert [b.text for b in html_extract.blocks("<p>super<wbr>cali <b>x</b>y</p><p>z")] == ["supercali xy", "z"]
+
+
+def test_pages_of_many_open_elements_take_linear_time():
+    import time
+
+    times = []
+    for n in (8_000, 32_000):
+        start = time.process_time()
+        html_extract.blocks("<div>" * n + "</span>" * n + "text")
+        times.append(time.process_time() - start)
+    assert times[1] < 12 * max(times[0], 0.02)
+
+
+def plain_leaks(docs, items):
+    """Every window of an item against every place of every document."""
+    out = set()
+    for d, text in docs:
+        w = text.lower().split()
+        for i, item in items:
+            v = item.lower().split()
+            n = min(decontam.WINDOW, len(v))
+            spare = n // 5 if n >= decontam.LEAST_WORDS else 0
+            for k in range(len(v) - n + 1):
+                if any(sum(a != b for a, b in zip(v[k : k + n], w[j : j + n])) <= spare for j in range(len(w) - n + 1)):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_leaks_equal_a_plain_scan_of_all_windows(spark):
+    """On texts over few words, so that windows agree by chance in all degrees about four fifths."""
+    rng = np.random.default_rng(11)
+    words = list("abcdefghijkl")
+    items = [(i, " ".join(rng.choice(words, int(rng.integers(1, 40))))) for i in range(25)]
+    docs = []
+    for d in range(120):
+        w = list(rng.choice(words, int(rng.integers(0, 60))))
+        if d % 2:
+            v = items[int(rng.integers(0, 25))][1].split()
+            v = [x if rng.random() > 0.18 else str(rng.choice(words)) for x in v]
+            at = int(rng.integers(0, len(w) + 1))
+            w[at:at] = v
+        docs.append((d, " ".join(w)))
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"))
+    firsts = {}
+    for i, t in items:
+        firsts.setdefault(t, i)
+    want = {(d, firsts[dict(items)[i]]) for d, i in plain_leaks(docs, items)}
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 60
