@@ -548,6 +548,56 @@ def pair_specs(spark, d):
     return out.select("p_partkey", "other", "match.score", F.array_join("match.conflicts", ",").alias("conflicts"))
 
 
+# --- every field of a category profile, and pages by selector -------------------------------------
+
+_FT, _IN, _GAL = 30.48, 2.54, 3.785411784
+
+
+@query(
+    "profile_fields",
+    "SELECT p_partkey, CASE k WHEN 0 THEN 'outdoor_storage' WHEN 1 THEN 'patio_heater' WHEN 2 THEN 'patio_furniture_sets' ELSE 'patio_umbrellas_shade' END AS category, CASE WHEN p_size > 45 THEN 'replacement' ELSE 'full_product' END AS relation, "
+    + "CASE k WHEN 0 THEN 'deck_box' WHEN 1 THEN 'pyramid_heater' WHEN 2 THEN CASE WHEN p_size > 45 THEN 'furniture_accessory' ELSE 'dining_set' END ELSE CASE WHEN p_size > 45 THEN 'replacement_canopy' ELSE 'market_umbrella' END END AS subtype, "
+    + f"CASE WHEN k = 0 THEN {half_up(f'CASE WHEN p_size % 2 = 0 THEN p_size * {_GAL}::DOUBLE ELSE p_size::DOUBLE END', 2)} END AS capacity_l, CASE WHEN k = 1 THEN p_size * 1000.0 END::DOUBLE AS heat_output_btu, CASE WHEN k = 1 THEN p_size * 10.0 END::DOUBLE AS power_w, CASE WHEN k = 1 THEN p_size + 0.5 END::DOUBLE AS heating_area_sqft, "
+    + f"CASE WHEN k = 2 THEN p_size + 1.0 END::DOUBLE AS piece_count, CASE WHEN k = 2 THEN p_size % 7 + 1.0 END::DOUBLE AS seating_count, CASE WHEN k = 3 THEN {half_up(f'p_size * {_FT}::DOUBLE', 2)} END AS canopy_diameter_cm, CASE WHEN k = 3 THEN 4.0 END::DOUBLE AS pole_diameter_cm, CASE WHEN k = 3 THEN p_size % 5 + 6.0 END::DOUBLE AS rib_count, CASE WHEN k = 3 THEN 200.0 + p_size END::DOUBLE AS fabric_gsm, "
+    + f"(p_size / 4.0)::DOUBLE AS weight_kg, CASE WHEN k = 0 THEN {half_up(f'p_size * {_IN}::DOUBLE', 2)} || ',10.16,12.7' ELSE '' END AS sides, CASE WHEN k = 1 THEN CASE p_size % 3 WHEN 0 THEN 'propane' WHEN 1 THEN 'natural_gas' ELSE 'electric' END END AS fuel_type, CASE WHEN p_size % 2 = 0 THEN 'round' ELSE 'square' END AS shape, "
+    + "CASE k WHEN 0 THEN 'resin' WHEN 1 THEN 'steel' WHEN 2 THEN 'rattan' ELSE 'polyester' END AS materials, CASE k WHEN 0 THEN 'lid,lock' WHEN 1 THEN 'reflector' WHEN 2 THEN 'sofa,chair,table' ELSE 'pole,rib' END AS components, CASE WHEN k = 0 THEN 'lockable' WHEN k = 3 THEN 'tilt' ELSE '' END AS features "
+    + "FROM (SELECT *, p_partkey % 4 AS k FROM part)",
+)
+def profile_fields(spark, d):
+    """A text of each category with all its measures, read back field by field."""
+    c, s = F.col, F.col("p_size").cast("string")
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    box = say("Resin Deck Box ", s, F.when(c("p_size") % 2 == 0, " Gallon").otherwise(" L"), ", lockable lid, ", s, " x 4 x 5 inches")
+    heater = say("Pyramid ", F.when(c("p_size") % 3 == 0, "propane").when(c("p_size") % 3 == 1, "natural gas").otherwise("infrared"), " patio heater with steel reflector, ", s, ",000 BTU, ", (c("p_size") * 10).cast("string"), " watts, ", s, ".5 sq. ft")
+    seats = say((c("p_size") + 1).cast("string"), "-Piece Patio Furniture dining set, seats ", (c("p_size") % 7 + 1).cast("string"), ", wicker sofa, chairs and table")
+    shade = say(s, " ft market umbrella with tilt, pole diameter: 4 cm, ", (c("p_size") % 5 + 6).cast("string"), " ribs, ", (c("p_size") + 200).cast("string"), "gsm polyester")
+    k = c("p_partkey") % 4
+    kind = F.when(k == 0, box).when(k == 1, heater).when(k == 2, seats).otherwise(shade)
+    text_ = say(kind, F.when(c("p_size") % 2 == 0, ", round").otherwise(", SQUARE"), ", item weight: ", (c("p_size") / 4).cast("string"), " kg", F.when(c("p_size") > 45, ", replacement").otherwise(""))
+    p = profiles.with_profile(fx.read(spark, d, "part"), text_, "p")
+    joined = lambda n: F.array_join(f"p.{n}", ",").alias(n)
+    plain = ["category", "relation", "subtype", "capacity_l", "heat_output_btu", "power_w", "heating_area_sqft", "piece_count", "seating_count", "canopy_diameter_cm", "pole_diameter_cm", "rib_count", "fabric_gsm", "weight_kg", "fuel_type", "shape"]
+    return p.select("p_partkey", *[F.col(f"p.{n}").alias(n) for n in plain], F.coalesce(F.array_join(F.transform("p.dimensions_cm", lambda x: x.cast("string")), ","), F.lit("")).alias("sides"), joined("materials"), joined("components"), joined("features"))
+
+
+_PAGE_RULES = {"title": (("text", "title"),), "heading": (("text", "article h1"), ("text", "h1")), "links": (("attrs", "nav a", "href"),), "language": (("attr", "html", "lang"),), "main": (("has", "article"),)}
+_ENTITY = lambda x: f"replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(
+    "page_selectors",
+    f"SELECT page_id, nullif(trim(regexp_replace({_ENTITY('regexp_extract(html, $$<title>([^<]*)</title>$$, 1)')}, '\\s+', ' ', 'g')), '') AS title, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS language, "
+    + "array_to_string(regexp_extract_all(array_to_string(regexp_extract_all(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), ' '), 'href=\"([^\"]*)\"', 1), ' ') AS links, contains(html, '<article') AS main FROM pages",
+)
+def page_selectors(spark, d):
+    """Fields of the given pages by selector, from one parse a page."""
+    from ..sources import markup
+
+    p = fx.read(spark, d, "pages").select("page_id", markup.selected(F.col("html"), _PAGE_RULES).alias("f"))
+    one = lambda n: F.get(f"f.{n}", F.lit(0))
+    return p.select("page_id", F.nullif(F.trim(F.regexp_replace(one("title"), r"\s+", " ")), F.lit("")).alias("title"), one("language").alias("language"), F.array_join("f.links", " ").alias("links"), (F.size("f.main") > 0).alias("main"))
+
+
 # --- tables written and read again ---------------------------------------------------------------
 
 
