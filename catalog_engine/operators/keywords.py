@@ -100,7 +100,10 @@ def title_keywords(title: Column) -> Column:
 def dimension_keywords(title: Column) -> Column:
     """Sizes of a title in local units: capacities with a word for large and small ones, pack counts with their measure word, and whether it has sides."""
     low = F.lower(F.coalesce(title, F.lit("")))
-    numbers = ms.pairs(low)
+    return ms.let(ms.pairs(low), lambda numbers: _dimensions(low, numbers))
+
+
+def _dimensions(low: Column, numbers: Column) -> Column:
     units = "|".join(r"fl\s*oz" if u == "fl oz" else u for u in TITLE_ML if u != "floz")
     unit = lambda p: F.regexp_replace(F.regexp_extract(p["after"], f"^({units})", 1), r"\s+", "")
     table = F.create_map(*[F.lit(x) for k, v in TITLE_ML.items() if k != "fl oz" for x in (k, v)])
