@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import predicates as pr
 from ..functions import scores
 from ..operators import aggregates as ag
 from ..operators import decisions, joins, matching, setops, windows
