@@ -46,7 +46,9 @@ def score_batch(products: DataFrame, offers: DataFrame, market: DataFrame, path:
     whole = {"products": StructType([*products.schema.fields, *kept]), "offers": StructType([*offers.schema.fields, *kept])}
     for name, rows in (("products", products), ("offers", offers)):
         write_buckets(rows.select("*", number, bucket(PRODUCT_KEY, buckets)), f"{path}/{name}", "overwrite", "batch")
-    arrived = products.select("asin").union(offers.select("asin")).distinct().select("asin", bucket(PRODUCT_KEY, buckets))
+    # what has arrived is read back from what was just written, so that the batch's own plan runs once
+    own = lambda name: read_buckets(spark, f"{path}/{name}", whole[name]).filter(F.col("batch") == batch).select("asin", "bucket")
+    arrived = own("products").union(own("offers")).distinct()
     numbers = touched(arrived)
 
     def state(name: str, keys: list[str]) -> DataFrame:
