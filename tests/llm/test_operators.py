@@ -478,46 +478,105 @@ def coded(rows, model):
         for j, w in enumerate(t):
             for order in (2, 3):
                 after[order][before(t, j, order)][w] |= {d} if train[d] else set()
-    steps, tried, hits = [], Counter(), Counter()
+    steps = []
+    token = np.array([hash_of[w] for t in texts for w in t], np.uint64)
+    place = np.array([j for t in texts for j in range(len(t))])
+    order = iter(textlib.mix(lm_mixing.contexts(token, place, 3) + token).tolist())
     for d, t in enumerate(texts):
-        own = defaultdict(list)
+        own, past = defaultdict(list), []
         for j, w in enumerate(t):
-            guess, case = None, None
+            follow = []
             last = own[before(t, j, 3)]
-            if last:
-                guess, case = last[-1], (0, bucket(len(last)), len(last) > 1 and last[-1] == last[-2])
-            for i, order in ((1, 3), (2, 2)):
-                if case is None:
-                    context = before(t, j, order)
-                    best = sorted(after[order][context].items(), key=lambda x: (-len(x[1]), hash_of[x[0]]))[:2]
-                    left = [(len(of - {d}), x) for x, of in best] + [(0, None)] * (2 - len(best))
-                    n, x = left[0] if left[0][0] >= left[1][0] else left[1]
-                    if n > 0:
-                        guess, case = x, (i, bucket(n), bucket(max(1, sum(map(len, after[order][context].values())) // n)))
+            follow.append((last[-1], bucket(len(last)), len(last) > 1 and last[-1] == last[-2]) if last else None)
+            for n_words in (3, 2):
+                of_all = after[n_words][before(t, j, n_words)]
+                best = sorted(of_all.items(), key=lambda x: (-len(x[1]), hash_of[x[0]]))[:2]
+                left = [(len(of - {d}), x) for x, of in best] + [(0, None)] * (2 - len(best))
+                n, x = left[0] if left[0][0] >= left[1][0] else left[1]
+                follow.append((x, bucket(n), bucket(max(1, sum(map(len, of_all.values())) // n))) if n > 0 else None)
             own[before(t, j, 3)].append(w)
-            steps.append((d, case, guess == w if case else None, w, kind_of(t[:j])))
-            if case and train[d]:
-                tried[case] += 1
-                hits[case] += guess == w
+            lead = next((i for i, f in enumerate(follow) if f), None)
+            step = {"d": d, "w": w, "kind": kind_of(t[:j]), "hit": None, "order": next(order)}
+            if lead is not None:
+                guess = follow[lead][0]
+                gate = tuple(0 if f is None else 1 + (f[0] != guess) for f in follow)
+                five = tuple(past[j - k] if j >= k else 0 for k in range(1, 6))
+                streak = next((i for i, x in enumerate(reversed(past)) if x != 2), len(past))
+                step |= {"hit": guess == w, "gate": gate, "states": [f and (*f[1:], f[0] != guess) for f in follow]}
+                step["contexts"] = [(lead, *follow[lead][1:], bucket(streak), five[0]), (gate, *five[:3]), five]
+            past.append(0 if lead is None else 1 + step["hit"])
+            steps.append(step)
+    p_of = bit_probabilities([x for x in steps if x["hit"] is not None], train)
     out, memo = [0.0] * len(texts), {}
-    for d, case, hit, w, kind in steps:
-        p = (hits[case] + 0.05) / (tried[case] + 1)
-        if hit:
+    for x in steps:
+        d, p = x["d"], p_of.get(id(x))
+        if x["hit"]:
             out[d] += math.log10(p)
             continue
-        if (w, kind) not in memo:
-            memo[w, kind] = spelled(w, kind)
-        out[d] += memo[w, kind] + (math.log10(1 - p) if case else 0)
+        if (x["w"], x["kind"]) not in memo:
+            memo[x["w"], x["kind"]] = spelled(x["w"], x["kind"])
+        out[d] += memo[x["w"], x["kind"]] + (math.log10(1 - p) if p is not None else 0)
     return out
 
 
-def test_lm_scores_equal_a_sequential_coder(spark):
+def bit_probabilities(steps, train):
+    """What the mixed match predictors say of each bit, one bit at a time; weights move after each mini-batch."""
+    counts, seen = Counter(), Counter()
+    for x in steps:
+        if train[x["d"]]:
+            counts.update((k, c, x["hit"]) for k, c in enumerate(x["contexts"]))
+    level = lambda n: max(i for i, g in enumerate(lm_mixing.GRID) if g <= n)
+    for x in steps:
+        states = list(x["states"])
+        for k, c in enumerate(x["contexts"]):
+            zero, one = (counts[k, c, bit] - (train[x["d"]] and x["hit"] == bit) for bit in (False, True))
+            states.append(int(lm_mixing._state[level(zero) * 256 + level(one)]))
+        x["states"] = states
+        if train[x["d"]]:
+            seen.update((k, s, x["hit"]) for k, s in enumerate(states))
+    for x in steps:
+        x["odds"] = [0.0 if s is None else math.log((seen[k, s, True] + 0.05) / (seen[k, s, False] + 0.95)) for k, s in enumerate(x["states"])]
+    weights = defaultdict(lambda: [lm_mixing.MATCH_START] * 6)
+    squares = defaultdict(lambda: [1e-6] * 6)
+    squash = lambda y: 1 / (1 + math.exp(-y))
+    mixed = lambda x: max(-16.0, min(16.0, sum(w * o for w, o in zip(weights[x["gate"]], x["odds"]))))
+    trained = [x for x in steps if train[x["d"]]]
+    batches = max(1, -(-len(trained) // lm_mixing.MATCH_MINI))
+    for b in range(batches):
+        by = defaultdict(list)
+        for x in trained:
+            if (x["order"] >> 32) * batches >> 32 == b:
+                by[x["gate"]].append((x, x["hit"] - squash(mixed(x))))
+        for gate, rows in by.items():
+            for k in range(6):
+                slope = sum(e * x["odds"][k] for x, e in rows) / len(rows)
+                squares[gate][k] += slope * slope
+                weights[gate][k] += lm_mixing.MATCH_RATE * slope / math.sqrt(squares[gate][k])
+    y = {id(x): mixed(x) for x in steps}
+    place = lambda x: round(max(-8, min(8, y[id(x)])) * 2)
+    after = Counter((x["gate"], place(x), x["hit"]) for x in trained)
+    out = {}
+    for x in steps:
+        start, cell = squash(place(x) / 2), (x["gate"], place(x))
+        ones = after[(*cell, True)] + 20 * start
+        refined = ones / (20 + after[(*cell, True)] + after[(*cell, False)])
+        out[id(x)] = max(1e-6, min(1 - 1e-6, (squash(y[id(x)]) + refined) / 2))
+    return out
+
+
+def test_lm_scores_equal_a_sequential_coder(spark, monkeypatch):
     rows = [(i, (t or "")[:400] if i in (6, 7) else t, s) for i, t, s in corpus(30)]
     df = docs(spark, rows)
     model = lm_mixing.fit(df)
     got = sorted((str(r["doc_id"]), r["score"]) for r in lm_mixing.score(df, model=model).collect())
     want = sorted((str(i), x) for (i, _, _), x in zip(rows, coded(rows, model)))
     assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-5)
+    # the same with several mini-batches, as one region in this process
+    monkeypatch.setattr(lm_mixing, "MATCH_MINI", 300)
+    t = lm_mixing._region(pa.array([t or "" for _, t, _ in rows]), model.weights)
+    train = np.array([not held(i) for i, _, _ in rows])
+    bits = lm_mixing.match_bits(t["token"], t["doc"], t["place"], train[t["doc"]], lm_mixing.spell(lm_mixing.Speller(model.mixer), model.code, t))
+    assert np.bincount(t["doc"], weights=bits) == pytest.approx(np.array(coded(rows, model)), rel=1e-5)
     # copies are told apart: others' words predict them, their own do not
     by = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_mixing.score(df, model=model).collect()}
     assert min(by[900 + i] for i in range(12)) > max(by[10 + i] for i in range(30) if i != 3)
@@ -541,6 +600,24 @@ def test_lm_regions_bound_copies_and_keep_every_row(spark, monkeypatch):
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _, _ in rows)
 
 
+def test_match_bits_adapt_along_a_copy():
+    """A long copy of a training text costs less a word in its later part, and less than with outcomes forgotten."""
+    rng = np.random.default_rng(3)
+    body = [rng.integers(1, 400, 300).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(40)]
+    texts = [*body, *[b.copy() for b in body[:8]]]
+    token, doc = np.concatenate(texts), np.repeat(np.arange(len(texts)), 300)
+    place, train = np.tile(np.arange(300), len(texts)), doc < 40
+    spelled = np.full(len(token), -3.0)
+    s = lm_mixing.match_bits(token, doc, place, train, spelled)
+    copy = doc >= 40
+    assert s[copy & (place > 150)].mean() > s[copy & (place < 20)].mean()
+    assert s[copy & (place > 150)].mean() > -0.1 and s[~copy & (doc >= 8)].mean() > -3.2
+    shuffled = rng.permutation(len(texts))
+    again = np.concatenate([np.flatnonzero(doc == d) for d in shuffled])
+    t = lm_mixing.match_bits(token[again], np.repeat(np.arange(len(texts)), 300), place[again], train[again], spelled)
+    assert t == pytest.approx(s[again], rel=1e-9)
+
+
 def test_spelling_is_a_distribution():
     rng = np.random.default_rng(5)
     m = lm_mixing.Mixer([rng.integers(0, 1 << 16, 1 << bits).astype(np.uint16) for *_, bits in lm_mixing.PREDICTORS])
