@@ -162,6 +162,7 @@ def live_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 #: Compactors of a quantile sketch hold this many values each; the rank error of KLL at this size is below 1.4 % with 99 % confidence.
 SKETCH_K, RANK_ERROR = 200, 0.014
+PERCENTILES = {"p50": 0.5, "p95": 0.95}
 
 
 def attempt_sketches(attempts: DataFrame, by: list[str]) -> DataFrame:
@@ -183,6 +184,46 @@ def attempt_stats(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.select(*by, "n_attempts", "n_failed", at(0.5).alias("p50"), at(0.95).alias("p95"), "longest")
 
 
+def _same(by: list[str], left: str, right: str) -> Column:
+    """Equal keys of two aliased tables; null equals null, as in grouping."""
+    out = F.lit(True)
+    for k in by:
+        out = out & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return out
+
+
+def attempt_percentiles(attempts: DataFrame, sketches: DataFrame, by: list[str], at: dict[str, float] = PERCENTILES) -> DataFrame:
+    """Exact duration percentiles of each group, interpolated between the two nearest ranks; a group without durations has no row.
+
+    The group's sketch only says where to split it into bins, of about RANK_ERROR of it
+    around each percentile. Every duration is counted into its bin; the counts give the
+    bins that hold a sought rank, and only these are shuffled, each ranked by itself.
+    However far off a sketch is, the result stays exact. A few numbers per group are
+    broadcast.
+    """
+    ranks = sorted({min(1.0, max(0.0, q + RANK_ERROR * i)) for q in at.values() for i in range(-3, 4)})
+    splits = F.when(F.kll_sketch_get_n_double("sketch") > 0, F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, ranks))))
+    durations = attempts.select(*by, F.col("seconds").cast("double").alias("seconds")).filter("seconds is not null")
+    bins = durations.alias("c").join(F.broadcast(sketches.select(*by, splits.alias("splits")).alias("s")), _same(by, "c", "s"))
+    place = sum((F.coalesce(F.col("seconds") > F.col("splits")[i], F.lit(False)).cast("int") for i in range(len(ranks))), F.lit(0))
+    bins = bins.select("c.*", place.alias("bin"))
+    group = Window.partitionBy(*by)
+    sizes = bins.groupBy(*by, "bin").agg(F.count("*").alias("held")).withColumns({"upto": F.sum("held").over(group.orderBy("bin")), "whole": F.sum("held").over(group)})
+    pos = {name: F.lit(q) * (F.col("whole") - 1) for name, q in at.items()}
+    sought = [r for p in pos.values() for r in (F.floor(p), F.ceil(p))]
+    wanted = F.lit(False)
+    for r in sought:
+        wanted = wanted | ((r >= F.col("upto") - F.col("held")) & (r < F.col("upto")))
+    found = bins.alias("c").join(F.broadcast(sizes.filter(wanted).alias("s")), _same([*by, "bin"], "c", "s")).select("c.*", "s.whole", (F.col("s.upto") - F.col("s.held")).alias("before"))
+    found = found.groupBy(*by, "bin", "whole", "before", "seconds").agg(F.count("*").alias("n"))
+    end = F.col("before") + F.sum("n").over(Window.partitionBy(*by, "bin").orderBy("seconds"))
+    found = found.withColumn("end", end)
+    value = lambda r: F.max(F.when((r < F.col("end")) & (r >= F.col("end") - F.col("n")), F.col("seconds")))
+    near = found.groupBy(*by, "whole").agg(*[value(f(p)).alias(f"{name}_{side}") for name, p in pos.items() for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    part = {name: p - F.floor(p) for name, p in pos.items()}
+    return near.select(*by, *[(F.col(f"{name}_lo") * (1 - d) + F.col(f"{name}_hi") * d).alias(name) for name, d in part.items()])
+
+
 def illegal_transitions(events: DataFrame, run: list[str], status: str = "status", allowed: dict[str, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
     """Consecutive statuses of a run that may not follow each other; an unknown status may follow or precede none."""
     w = Window.partitionBy(*run).orderBy("ts", "event_id")

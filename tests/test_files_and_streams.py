@@ -271,6 +271,31 @@ def test_sketches_merge_within_their_error(spark):
         assert abs(sum(v <= got["a"][name] for v in values) / len(values) - q) <= 3 * ev.RANK_ERROR
 
 
+def test_attempt_percentiles_are_exact(spark, tmp_path):
+    import duckdb
+
+    from catalog_engine.plans import queries, queries_inputs  # noqa: F401
+
+    duck = duckdb.connect()
+    # even and odd sizes, runs of equal prices, one row, a group without prices, and rows without a group
+    duck.execute("""CREATE TABLE orders AS SELECT i AS o_orderkey, i AS o_custkey, CASE WHEN i % 3 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus,
+        CASE WHEN i % 7 = 0 THEN NULL WHEN i % 5 < 2 THEN 777.77 ELSE (i * 7919 % 10007)::DOUBLE * i / 13 END AS o_totalprice, TIMESTAMP '1995-01-01' + INTERVAL (i % 400) DAY AS o_orderdate,
+        CASE WHEN i = 1 THEN 'one' WHEN i < 50 AND i % 7 = 0 THEN 'none' WHEN i % 4 > 0 THEN 'p' || i % 4 END AS o_orderpriority FROM range(1, 9000) t(i)""")
+    duck.execute(f"COPY orders TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    want = "SELECT o_orderpriority, round(quantile_cont(o_totalprice / 100, 0.5), 2), round(quantile_cont(o_totalprice / 100, 0.95), 2) FROM orders GROUP BY ALL"
+    order = lambda rows: sorted(rows, key=str)
+    got = queries.QUERIES["attempt_stats"](spark, str(tmp_path)).collect()
+    assert order((r["o_orderpriority"], r["p50"], r["p95"]) for r in got) == order(duck.execute(want).fetchall())
+    got = order(tuple(r) for r in got)
+    assert got == order(duck.execute(queries.ORACLE_SQL["attempt_stats"]).fetchall()) and len(got) == 6
+    # a sketch of other durations only makes the bins larger
+    o = spark.read.parquet(f"{tmp_path}/orders.parquet").select(F.lit("all").alias("stage"), (F.col("o_totalprice") / 100).alias("seconds"), F.lit("S").alias("status"))
+    off = ev.attempt_sketches(o.withColumn("seconds", -F.col("seconds")), ["stage"])
+    r = ev.attempt_percentiles(o, off, ["stage"]).first()
+    p50, p95 = duck.execute("SELECT quantile_cont(o_totalprice / 100, 0.5), quantile_cont(o_totalprice / 100, 0.95) FROM orders").fetchone()
+    assert abs(r["p50"] - p50) < 1e-9 * p50 and abs(r["p95"] - p95) < 1e-9 * p95
+
+
 def test_positions_follow_the_file_however_it_is_split(spark, tmp_path):
     with open(tmp_path / "long.csv", "w") as f:
         f.write("keyword,searches\n" + "".join(f"word {i},{i}\n" for i in range(20_000)))
