@@ -45,6 +45,8 @@ ELEMENT = U((1 << 52) - 1)
 FILTER_BITS = 1 << 25
 #: Classes on each side of a block of comparisons, and keys over which the classes of a component are spread.
 BLOCK, SALT = 1000, 16
+#: Nodes that a task's union-find holds before it gives out its forest and begins another.
+FOREST = 500_000
 
 
 def superminhash(rows: np.ndarray, elements: np.ndarray, n_rows: int, slots: int = SLOTS) -> np.ndarray:
@@ -153,7 +155,7 @@ def _full_sets(k: int, wanted):
 
 
 def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over the edges of a partition: each node with its root, which is the least node."""
+    """Union-find over the edges of a partition: each node with its root, which is the least node; a new forest after every FOREST nodes."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -164,34 +166,44 @@ def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parent[x], x = root, parent[x]
         return root
 
+    def rows() -> pd.DataFrame:
+        return pd.DataFrame([(x, r) for x in list(parent) if (r := find(x)) != x], columns=["a", "b"]).astype("int64")
+
     for f in frames:
         for a, b in zip(f["a"].tolist(), f["b"].tolist()):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    rows = [(x, r) for x in list(parent) if (r := find(x)) != x]
-    yield pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
+        if len(parent) > FOREST:
+            yield rows()
+            parent.clear()
+    yield rows()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of the edges (a, b) is a root or has one root, and none is both."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter(F.col("below") + F.col("above") > 1).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b), root being the least node it reaches; a root has no row.
 
-    Union-find shrinks each partition to a forest; then large and small stars, each
-    a grouped minimum and a join, until nothing changes.
+    Union-find shrinks each partition to a forest, and once more after a shuffle, which
+    joins small partitions; then large and small stars, each a grouped minimum and a
+    join, until the edges are stars. Few edges are stars at once, so that they take no
+    rounds.
     """
-    edges = checkpoint(edges.filter("a <> b").mapInPandas(_forest, "a long, b long").distinct())
-    while True:
+    forest = lambda e: e.mapInPandas(_forest, "a long, b long")
+    edges = checkpoint(forest(forest(edges.select("a", "b").filter("a <> b")).repartition("a")).distinct())
+    while not _stars(edges):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small = down.groupBy("a").agg(F.min("b").alias("m"))
-        new = down.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(small.select("a", F.col("m").alias("b"))).distinct()
-        new = checkpoint(new)
-        changed = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        edges = checkpoint(down.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(small.select("a", F.col("m").alias("b"))).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _agree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,11 +4,13 @@ import hashlib
 import itertools
 import json
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +112,37 @@ def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(docs(spark, [(1, None, "a"), (2, "", "a")])).filter("component_id = doc_id and kept").count() == 2
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    rnd = random.Random(4)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(rnd.randrange(2000, 4000), rnd.randrange(2000, 4000)) for _ in range(900)] + [(7, 7)]
+    rnd.shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    root = {x: x for e in edges for x in e}
+    while True:
+        new = dict(root)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == root:
+            break
+        root = new
+    want = sorted((x, r) for x, r in root.items() if x != r)
+    spark.sparkContext.setJobGroup("components", "")
+    got = minhash.components(df)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert jobs <= 12, jobs
+    # forests of a few nodes in partitions of a few edges leave work to the stars
+    monkeypatch.setattr(minhash, "_forest", lambda frames: (f for f in frames))
+    rounds = minhash.components(df.repartition(6))
+    assert sorted(tuple(r) for r in rounds.collect()) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(minhash, "FOREST", 3)
+    forests = pd.concat(minhash._forest(iter([pd.DataFrame(edges[i : i + 5], columns=["a", "b"]) for i in range(0, len(edges), 5)])))
+    assert sorted(tuple(r) for r in minhash.components(spark.createDataFrame(forests)).collect()) == want and forests["a"].isin(forests["b"]).any()
+
+
+
 def test_block_links_lose_no_pair():
     sets = [list(range(i, i + 40)) for i in range(0, 60, 3)]
     t = pa.table({"cls": pa.array(range(20), pa.int64()), "root": pa.array(range(20), pa.int64()), "elements": pa.array(sets, pa.list_(pa.int64())), "asks": pa.array([False] * 20)})
