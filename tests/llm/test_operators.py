@@ -453,6 +453,26 @@ def corpus(n=150):
     return [*ODD, *((10 + i, words(i), "s") for i in range(n)), *((900 + i, words(3) + f" tail{i % 2}", "s") for i in range(12))]
 
 
+def test_beginnings_that_tokens_share_are_laid_once():
+    words = ["running", "runner", "run", "runs", "rung", "ünder", "under", "x"] * 2
+    data, lens = np.frombuffer(("".join(words) + "\n").encode(), np.uint8), np.array([len(w.encode()) for w in words] + [1])
+    ends = np.cumsum(lens)
+    starts, kind = ends - lens, np.arange(len(lens)) // 8
+    levels = [np.random.default_rng(k).integers(0, 1 << 12, 1 << bits).astype(np.uint16) for k, (*_, bits) in enumerate(lm_mixing.PREDICTORS)]
+    code, speller = lm_mixing.Code(np.bincount(data, minlength=256) + 1), lm_mixing.Speller(lm_mixing.Mixer(levels))
+    whole, once = (lm_mixing.Steps(code, data, starts, ends, kind, once=x) for x in (False, True))
+    assert len(once.at) < len(whole.at)
+    got = speller.logs(once)
+    assert np.allclose(got, speller.logs(whole), atol=1e-9) and not np.allclose(got[:8], got[8:16])
+    alone = [speller.logs(lm_mixing.Steps(code, data, starts[i : i + 1], ends[i : i + 1], kind[i : i + 1]))[0] for i in range(len(lens))]
+    assert np.allclose(got, alone, atol=1e-9)
+    # tokens that their match bits guess are not spelled, others as before
+    t = {"token": np.array([hash(w) & (1 << 62) - 1 for w in [*words, "\n"]], np.uint64), "kind": kind, "start": starts, "end": ends, "data": data}
+    some = lm_mixing.spell(speller, code, t, np.array([0, 3]))
+    assert np.allclose(lm_mixing.spell(speller, code, t), got, atol=1e-9) and some[0] == some[3] == 0 and np.allclose(np.delete(some, [0, 3]), np.delete(got, [0, 3]), atol=1e-9)
+
+
+
 def test_lm_base_equals_brute_force_and_model_learns(spark):
     rows = corpus()
     got = lm_mixing.digest(lm_mixing.score(awkward(docs(spark, rows)))).collect()
