@@ -140,5 +140,15 @@ def test_offer_pages(spark):
     assert got[0]["provenance"]["moq"] == {"status": "extracted", "confidence": 0.95} and got[7]["provenance"]["moq"] == {"status": "missing", "confidence": None}
 
 
+def test_bare_numbers_are_no_material(spark):
+    objects = [
+        ({"offerId": "1", "companyYears": 304, "attributes": [{"name": "材质", "value": "硅胶"}]}, "硅胶"), ({"offerId": "1", "companyYears": 316, "companyType": "factory"}, "硅胶"), ({"offerId": "1", "price": 304, "x": [316, "铝"]}, "铝合金"),
+        ({"offerId": "1", "attributes": [{"name": "材质", "value": 304}]}, "不锈钢"), ({"offerId": "1", "subject": "304 保温杯"}, "不锈钢"), ({"offerId": "1", "x": ["stainless", 5, "steel"]}, "钢"),
+    ]
+    pages = spark.createDataFrame([(i, "<p>材质 硅胶</p>" + script(o)) for i, (o, _) in enumerate(objects)], "page_id int, html string")
+    got = {r["page_id"]: (r["material"], r["supplier_years"]) for r in detail.offer_evidence(pages).collect()}
+    assert [got[i][0] for i in range(len(objects))] == [want for _, want in objects] and (got[0][1], got[1][1]) == (304, 316)
+
+
 def test_offer_pages_of_an_empty_table(spark):
     assert detail.offer_evidence(spark.createDataFrame([], "page_id int, html string")).count() == 0
