@@ -81,10 +81,27 @@ def labels_predictions(labels: DataFrame, predictions: DataFrame, key: str = "ca
     return labels.filter("reviewed").join(predictions, key, "inner")
 
 
+#: Attempts of one text are dealt to so many tasks, and its offers to so many lists.
+DEALS, LISTS = 64, 64
+
+
 def query_hits(attempts: DataFrame, executions: DataFrame, offers: DataFrame) -> DataFrame:
-    """Attempts with their execution and the offers that name the query's text among their search queries."""
+    """Attempts with their execution and the offers that name the query's text among their search queries.
+
+    There are as many hits as attempts times offers of each text, so the attempts of one
+    text are dealt to many tasks before they meet its offers, which come as lists of a
+    64th of them: a task makes its hits one after another from a list.
+    """
+    spark = attempts.sparkSession
     named = offers.select("offer_id", F.explode("search_queries").alias("query_text"))
-    return attempts.join(executions, "query_text", "left").join(named, "query_text", "left")
+    without_id = F.array_repeat(F.lit(None).cast(offers.schema["offer_id"].dataType), F.count_if(F.col("offer_id").isNull()).cast("int"))
+    lists = named.groupBy("query_text", F.pmod(F.xxhash64("offer_id"), F.lit(LISTS)).alias("_list")).agg(F.concat(F.collect_list("offer_id"), without_id).alias("_ids"))
+    lists = lists.select("query_text", "_ids", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("_deal"))
+    tried = attempts.join(executions, "query_text", "left")
+    columns = tried.columns
+    n = max(DEALS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = tried.withColumn("_deal", F.pmod(F.xxhash64(*columns), F.lit(DEALS)).cast("int")).repartition(n, "query_text", "_deal")
+    return dealt.join(lists, ["query_text", "_deal"], "left").select(*columns, F.explode_outer("_ids").alias("offer_id"))
 
 
 def _near(top_k: int, least: float):
