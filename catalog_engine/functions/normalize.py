@@ -47,23 +47,42 @@ def canonical_headers(df: DataFrame, aliases: dict[str, list[str]], strict: bool
     return df.select(*columns)
 
 
+def spaced(c: Column) -> Column:
+    """Trimmed, runs of space as one."""
+    return F.trim(F.regexp_replace(c, r"[ \t\n\x0B\f\r]+", " "))
+
+
+def known(t: Column) -> Column:
+    """Null tokens are null."""
+    return F.when(~F.lower(t).isin(*NULL_TOKENS), t)
+
+
 def text(c: Column) -> Column:
     """Trimmed, runs of space as one; null tokens are null."""
-    t = F.trim(F.regexp_replace(c, r"[ \t\n\x0B\f\r]+", " "))
-    return F.when(~F.lower(t).isin(*NULL_TOKENS), t)
+    return known(spaced(c))
 
 
-def numeric_parts(c: Column) -> tuple[Column, Column]:
-    """(exact, lower_bound) of a number cell: (5) is -5, currency words and signs, % and thousands marks are dropped, units multiply, a trailing + makes it a lower bound."""
-    t = F.lower(text(c))
-    bare = F.regexp_replace(t, r"^\((.*)\)$", "-$1")
-    bare = F.regexp_replace(bare, rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(CURRENCY_WORDS)})(?![\p{{L}}\p{{N}}_])", "")
-    bare = F.translate(bare, CURRENCY_SIGNS + "%, ", "")
+def bare_number(t: Column) -> Column:
+    """What is left of a number's text: (5) is -5, currency words and signs, % and thousands marks are dropped."""
+    low = F.lower(t)
+    bare = F.when(low.startswith("("), F.regexp_replace(low, r"^\((.*)\)$", "-$1")).otherwise(low)
+    words = "|".join(CURRENCY_WORDS)
+    bare = F.when(low.rlike(words), F.regexp_replace(bare, rf"(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])", "")).otherwise(bare)  # most texts have none and need no look around
+    return F.translate(bare, CURRENCY_SIGNS + "%, ", "")
+
+
+def number_value(bare: Column) -> Column:
+    """Value of a bare number, its unit multiplied; null if it is none."""
     number = r"^([+-]?(?:\d+(?:\.\d*)?|\.\d+))(k|m|b|千|万|百万|亿)?(\+)?$"
     table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in UNITS.items()))
     scale = F.coalesce(F.try_element_at(table, F.regexp_extract(bare, number, 2)), F.lit(1.0))
-    value = F.when(bare.rlike(number), F.regexp_extract(bare, number, 1).try_cast("double") * scale)
-    plus = bare.endswith("+")
+    return F.regexp_extract(bare, number, 1).try_cast("double") * scale
+
+
+def numeric_parts(c: Column) -> tuple[Column, Column]:
+    """(exact, lower_bound) of a number cell; a trailing + makes it a lower bound."""
+    bare = bare_number(text(c))
+    value, plus = number_value(bare), bare.endswith("+")
     return F.when(~plus, value), F.when(plus, value)
 
 
@@ -75,7 +94,7 @@ def numeric(c: Column) -> Column:
 
 def numeric_simple(c: Column) -> Column:
     """As numeric, but a trailing + is ignored; 4 decimals."""
-    return F.round(F.coalesce(*numeric_parts(c)), 4)
+    return F.round(number_value(bare_number(text(c))), 4)
 
 
 def duration_seconds(c: Column) -> Column:

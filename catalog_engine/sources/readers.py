@@ -34,6 +34,7 @@ COMPETITOR_HEADERS = {
     "monthly_revenue": ["revenue", "sales revenue", "月销售额", "销售额", "月营收", "月销额"],
     "seller_product_count": ["seller products", "product count", "products", "卖家商品数", "在售商品数", "商品数", "在售数"],
 }
+COMPETITOR_NUMBERS = ("price", "rating", "review_count", "monthly_sales", "monthly_revenue", "seller_product_count")
 
 
 def read_export(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -63,9 +64,14 @@ def keyword_rows(df: DataFrame) -> DataFrame:
 def competitor_rows(df: DataFrame) -> DataFrame:
     """Normalised competitor rows; a missing seller falls back to the brand."""
     df = nm.canonical_headers(df, COMPETITOR_HEADERS, strict=False, required=("seller", "brand"))
-    has = lambda c: nm.text(F.col(c)) if c in df.columns else F.lit(None).cast("string")
-    numbers = {c: nm.numeric_simple(has(c)) for c in ("price", "rating", "review_count", "monthly_sales", "monthly_revenue", "seller_product_count")}
-    return df.withColumns({"seller": F.coalesce(has("seller"), has("brand")), "asin": nm.asin(has("asin")), "title": has("title"), "brand": has("brand"), "launch_date": nm.date(has("launch_date")), **numbers})
+    names, taken = [c for c in COMPETITOR_HEADERS if c in df.columns], {c.lower() for c in df.columns}
+    texts, numbers = (next(n for i in range(len(taken) + 1) if (n := f"_{stem}{'_' * i}") not in taken) for stem in ("texts", "numbers"))
+    # cells go through as one array in steps: each is worked out once, and the code for a row stays small enough to be compiled
+    rows = df.withColumn(texts, F.transform(F.array(*[F.col(c).cast("string") for c in names]), nm.spaced)).withColumn(texts, F.transform(texts, nm.known))
+    has = lambda c: F.get(texts, F.lit(names.index(c))) if c in names else F.lit(None).cast("string")
+    rows = rows.withColumn(numbers, F.transform(F.transform(F.array(*map(has, COMPETITOR_NUMBERS)), nm.bare_number), lambda t: F.round(nm.number_value(t), 4)))
+    rows = rows.withColumns({c: has(c) for c in ("seller", "asin", "title", "brand", "launch_date")} | {c: F.get(numbers, F.lit(i)) for i, c in enumerate(COMPETITOR_NUMBERS)}).drop(texts, numbers)
+    return rows.withColumns({"seller": F.coalesce("seller", "brand"), "asin": nm.asin(F.col("asin")), "launch_date": nm.date(F.col("launch_date"))})
 
 
 def _first(v: Column, kind: str, *paths: str) -> Column:
