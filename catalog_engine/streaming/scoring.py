@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..plans.pipeline import score_products
-from ..sources.buckets import BUCKETS, bucket, read_buckets, touched, write_buckets
+from ..sources.buckets import BUCKETS, bucket, read_buckets, shuffles_removed, touched, write_buckets
 from .events import continuous
 
 PRODUCT_KEY, OFFER_KEY = ["asin"], ["asin", "offer_id"]
@@ -39,7 +39,12 @@ def fingerprints(products: DataFrame, offers: DataFrame) -> DataFrame:
 
 
 def score_batch(products: DataFrame, offers: DataFrame, market: DataFrame, path: str, batch: int, version: str = "source_pos", buckets: int = BUCKETS, score: Callable[..., DataFrame] = score_products) -> None:
-    """One batch: takes in its rows and scores the products that they touch."""
+    """One batch: takes in its rows and scores the products that they touch. On disk are its tables and the shuffles of one job at a time."""
+    with shuffles_removed(products.sparkSession):
+        _score_batch(products, offers, market, path, batch, version, buckets, score)
+
+
+def _score_batch(products: DataFrame, offers: DataFrame, market: DataFrame, path: str, batch: int, version: str, buckets: int, score: Callable[..., DataFrame]) -> None:
     spark = products.sparkSession
     number = F.lit(batch).cast("long").alias("batch")
     kept = [StructField("batch", LongType()), StructField("bucket", IntegerType())]
@@ -53,7 +58,8 @@ def score_batch(products: DataFrame, offers: DataFrame, market: DataFrame, path:
 
     def state(name: str, keys: list[str]) -> DataFrame:
         rows = read_buckets(spark, f"{path}/{name}", whole[name], numbers).filter(F.col("batch") <= batch)
-        return _newest(rows.join(arrived, ["bucket", "asin"], "left_semi"), keys, version)
+        # by asin alone (it gives the bucket), so that one shuffle serves this join, the newest rows, the pairs and their groups
+        return _newest(rows.join(arrived.select("asin"), "asin", "left_semi"), keys, version)
 
     now_products, now_offers = state("products", PRODUCT_KEY), state("offers", OFFER_KEY)
     scored = score(now_products, now_offers, market.join(arrived.select("asin"), "asin", "left_semi"))
